@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, line_dedup, mixing, sharding, topk
+from lodestone.llm import bpe, exact_dedup, line_dedup, mixing, sharding, topk, toxicity
 from lodestone.llm.common import table
 
 
@@ -50,8 +50,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"),
+        F.col("tox_evidence.id").alias("evidence"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_topk, op6_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_topk, op6_sharding, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
