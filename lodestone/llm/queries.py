@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, line_dedup, mixing, sharding, topk, toxicity
+from lodestone.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, sharding, topk, toxicity
 from lodestone.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "class_size")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -60,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_topk, op6_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_topk, op6_sharding, op9_jaccard_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -86,6 +91,18 @@ select doc_id, n_lines, n_removed, sha256(kept) as kept_sha256 from k""",
 with d as (select doc_id, {_NORM} as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.t) as text_sha256 from d join g using (t)""",
+    "op9_jaccard_join": r"""
+with recursive d as materialized (select row_number() over () as rn, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as materialized (select distinct rn, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as g
+  from (select rn, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as materialized (select rn, count(*) as n from s group by rn),
+both_ as (select a.rn as a, b.rn as b, count(*) as k from s as a join s as b on a.g = b.g and a.rn <> b.rn group by all),
+link as materialized (select a, b from both_ join n as x on x.rn = a join n as y on y.rn = b where k * 10 >= 8 * (x.n + y.n - k)),
+reach as (select a as rn, a as other from link union select reach.rn, link.b from reach join link on link.a = reach.other),
+class as (select r.rn, min(d.doc_id) as class_id, count(*) as class_size from reach as r join d on d.rn = r.other group by r.rn),
+deg as (select a as rn, count(*) as n_links from link group by a)
+select d.doc_id, coalesce(class_id, d.doc_id) as class_id, coalesce(n_links, 0) as n_links, coalesce(class_size, 1) as class_size
+from d left join class using (rn) left join deg using (rn)""",
     "op5_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
