@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, sharding, suffix_dedup, topk, toxicity
+from lodestone.llm import bpe, exact_dedup, hpylm, jaccard_join, line_dedup, mixing, sharding, suffix_dedup, topk, toxicity
 from lodestone.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_topk, op6_sharding, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_topk, op6_sharding, op7_hpylm, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
