@@ -41,9 +41,9 @@ from lodestone.llm.common import saved
 
 LENGTH, ANCHOR = 200, 64
 #: Bytes of text that are anchored in one go, and about the bytes of segments of a shard.
-CHUNK, SHARD = 1 << 18, 12_000_000
+CHUNK, SHARD = 1 << 18, 3_000_000
 #: Tuples that the queues of a shard hold in memory, and the most that are taken out in one go.
-HELD, TAKEN = 16_000_000, 1 << 20
+HELD, TAKEN = 4_000_000, 1 << 19
 #: Largest number of rows that is broadcast.
 BROADCAST_ROWS = 100_000
 U = np.uint64
@@ -187,24 +187,29 @@ def lms_order(text: np.ndarray, lms: np.ndarray, cap: int) -> tuple[np.ndarray,
     order = sorted(range(len(strings)), key=strings.__getitem__)
     rank_of = np.empty(len(strings), dtype=np.int64)
     rank_of[order] = np.arange(len(order))
-    ranks = [rank_of[name]]
-    step = 1
-    while ranks[-1].max() + 1 < m and step < cap:  # a name stands for two symbols or more, so twice the cap would do
-        last = ranks[-1]
-        after = np.zeros(m, dtype=np.int64)
-        after[:-step] = last[step:] + 1
-        ranks.append(np.unique(last * (m + 2) + after, return_inverse=True)[1].reshape(-1))
-        step *= 2
+    ranks, covers = [rank_of[name]], [1]
+    while ranks[-1].max() + 1 < m and covers[-1] < cap:  # a name stands for two symbols or more
+        last, step = ranks[-1], covers[-1]
+        bits = int(last.max() + 1).bit_length()
+        per = max(2, min(63 // bits, -(-cap // step)))  # as many ranks as a key holds
+        key = last + 1
+        for k in range(1, per):
+            after = np.zeros(m, dtype=np.int64)
+            after[: max(0, m - k * step)] = last[k * step :] + 1
+            key = (key << bits) | after
+        ranks.append(np.unique(key, return_inverse=True)[1].reshape(-1))
+        covers.append(step * per)
     order = np.argsort(ranks[-1], kind="stable")
     a, b = order[:-1], order[1:]
     same = np.zeros(len(a), dtype=np.int64)  # equal names
-    for level in range(len(ranks) - 1, -1, -1):
-        # ranks of a level stand for 2^level names
-        x, y = a + same, b + same
-        ok = (x < m) & (y < m)
-        eq = np.zeros(len(a), dtype=bool)
-        eq[ok] = ranks[level][x[ok]] == ranks[level][y[ok]]
-        same += eq * (1 << level)
+    for rank, step in zip(ranks[::-1], covers[::-1]):
+        go = np.arange(len(a))
+        while len(go):
+            x, y = a[go] + same[go], b[go] + same[go]
+            go = go[(x < m) & (y < m)]
+            go = go[rank[a[go] + same[go]] == rank[b[go] + same[go]]]
+            same[go] += step
+            go = go[same[go] < cap]
     start = np.append(lms, len(text))
     prefix = np.minimum(start[np.minimum(a + same, m)] - start[a], cap)
     # and symbols of the first names that differ
