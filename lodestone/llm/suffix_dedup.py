@@ -41,9 +41,9 @@ from lodestone.llm.common import saved
 
 LENGTH, ANCHOR = 200, 64
 #: Bytes of text that are anchored in one go, and about the bytes of segments of a shard.
-CHUNK, SHARD = 1 << 18, 3_000_000
+CHUNK, SHARD = 1 << 18, 1_500_000
 #: Tuples that the queues of a shard hold in memory, and the most that are taken out in one go.
-HELD, TAKEN = 4_000_000, 1 << 19
+HELD, TAKEN = 2_000_000, 1 << 18
 #: Largest number of rows that is broadcast.
 BROADCAST_ROWS = 100_000
 U = np.uint64
