@@ -83,7 +83,9 @@ CONTROL = re.compile("[\x1c-\x1f]")
 WORD_END = "</w>"
 NONE = np.int64(2**40)
 #: Chunks that a worker remembers; beyond, the tables are started anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Rows that are encoded, and handed on, together.
+ROWS = 200
 #: Parts in a matrix of words at most, unless one word has more.
 CELLS = 200_000
 
@@ -283,10 +285,12 @@ def _mapped(docs: DataFrame, tokenizer_path: str, text_col: str, fields: list[T.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(data.value)
         kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.list_(pa.int32()) if isinstance(f.dataType, T.ArrayType) else pa.string() for f in fields]
-        for batch in batches:
-            got = [make(*x) for x in bpe.encode_batch(batch.column(1).to_pylist())]
-            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                got = [make(*x) for x in bpe.encode_batch(batch.column(1).to_pylist())]
+                columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", *names])
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *fields])
     return rows.mapInArrow(run, schema).select("row.*", *names)
