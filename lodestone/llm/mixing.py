@@ -54,37 +54,34 @@ def hash_int(*parts: Column) -> Column:
 def exponent(sources: DataFrame, target_entropy: float, max_repeats: float, budget: int | None = None) -> float:
     """Bisect the exponent over ``sources`` (``tokens`` > 0); rounded to 6 digits.
 
-    One aggregation asks 15 exponents at once, which makes four binary steps.
+    One aggregation asks 255 exponents for each target, which makes eight binary steps.
     """
     stats = sources.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.min("tokens").alias("lo"), F.max("tokens").alias("hi")).first()
     if not stats["k"]:
         return 1.0
     share = F.col("tokens") / F.lit(float(stats["t"]))
     lo_share, hi_share = (stats[x] / float(stats["t"]) for x in ("lo", "hi"))
+    goal = target_entropy * math.log(stats["k"]) - 1e-12
 
-    def entropy_and_repeats(xs: list[float]) -> list[tuple[float, float]]:
-        z = [F.sum(F.pow(share, F.lit(a))).alias(f"z{i}") for i, a in enumerate(xs)]
-        s = [F.sum(F.pow(share, F.lit(a)) * F.log(share) * F.lit(a)).alias(f"s{i}") for i, a in enumerate(xs)]
-        got = sources.agg(*z, *s).first()
-        out = []
-        for i, a in enumerate(xs):
-            whole = budget if budget is not None else stats["hi"] / (hi_share**a / got[f"z{i}"])
-            out.append((math.log(got[f"z{i}"]) - got[f"s{i}"] / got[f"z{i}"], whole * lo_share**a / got[f"z{i}"] / stats["lo"]))
+    def entropy_and_repeats(xs: list[float]) -> dict[float, tuple[float, float]]:
+        asked = sources.select(share.alias("q"), F.explode(F.lit(xs)).alias("a"))
+        z = F.pow("q", "a")
+        out = {}
+        for r in asked.groupBy("a").agg(F.sum(z).alias("z"), F.sum(z * F.log("q") * F.col("a")).alias("s")).collect():
+            whole = budget if budget is not None else stats["hi"] / (hi_share ** r["a"] / r["z"])
+            out[r["a"]] = (math.log(r["z"]) - r["s"] / r["z"], whole * lo_share ** r["a"] / r["z"] / stats["lo"])
         return out
 
-    def boundary(low) -> float:
-        """Where in [0, 1] exponents stop to be ``low``."""
-        lo, hi = 0.0, 1.0
-        for _ in range(STEPS // 4):
-            xs = [lo + (hi - lo) * i / 16 for i in range(1, 16)]
-            n = sum(low(*x) for x in entropy_and_repeats(xs))
-            lo, hi = [lo, *xs][n], [*xs, hi][n]
-        return (lo + hi) / 2
-
-    goal = target_entropy * math.log(stats["k"]) - 1e-12
-    by_entropy = boundary(lambda h, _: h >= goal)
-    by_repeats = boundary(lambda _, r: r > max_repeats + 1e-12)
-    return round(max(by_entropy, by_repeats), 6)
+    # Where in [0, 1] exponents stop to give entropy enough, and where they stop to repeat too much.
+    low = [lambda h, _: h >= goal, lambda _, r: r > max_repeats + 1e-12]
+    ends = [(0.0, 1.0), (0.0, 1.0)]
+    for _ in range(STEPS // 8):
+        grids = [[lo + (hi - lo) * i / 256 for i in range(257)] for lo, hi in ends]
+        got = entropy_and_repeats(sorted({x for g in grids for x in g[1:-1]}))
+        for i, g in enumerate(grids):
+            n = sum(low[i](*got[x]) for x in g[1:-1])
+            ends[i] = (g[n], g[n + 1])
+    return round(max((lo + hi) / 2 for lo, hi in ends), 6)
 
 
 def plan(docs: DataFrame, source_col: str = "source", text_col: str = "text", target_entropy: float = 0.99, max_repeats: float = 2.0, budget: int | None = None) -> DataFrame:
@@ -97,7 +94,8 @@ def plan(docs: DataFrame, source_col: str = "source", text_col: str = "text", ta
     t = float(total["t"] or 1)
     z = some.agg(F.sum(F.pow(F.col("tokens") / t, F.lit(a)))).first()[0] or 1.0
     # one pass of the largest source: its share of the budget is its own size
-    whole = float(budget) if budget is not None else float(total["hi"] or 0) / ((float(total["hi"] or 0) / t) ** a / z)
+    hi = float(total["hi"] or 1)
+    whole = float(budget) if budget is not None else hi / ((hi / t) ** a / z)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / t, F.lit(a)) / z).otherwise(0.0)
     return per_source.select(
         "source",
