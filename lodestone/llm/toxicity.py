@@ -1,45 +1,49 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine of the whole texts.
 
-Terms are runs of letters of the lower-cased text. Labelled examples (at most
-``max_examples``, chosen by a hash of their id) give the terms that speak for
-the label: those that occur mostly in labelled texts, by a likelihood-ratio
-test. Document frequencies of these terms are counted over all documents.
+Terms are runs of letters of the lower-cased text, known by 63-bit hashes. All
+terms count: document frequencies are those over all documents, and a text's
+norm is that of all its terms. Labelled examples (at most ``max_examples``,
+chosen by a hash of their id) are indexed over all their terms.
 
-The index holds the examples in blocks of 64; each term knows the largest
-weight that it has in a block. A text's blocks are taken by descending upper
-bound, and scored exactly, until no bound can reach the k-th best cosine. The
-neighbours vote with weights that fall with their distance; the share of votes,
-drawn towards the base rate, is the score, and the neighbours are its evidence.
-A text that holds no such term gets the rate of the label among such examples.
+A text's terms are taken from the rarest to the most common. Before the common
+ones, whose lists are long, an upper bound on what they can add tells which
+examples can still be among the k best; if these are few, they alone are scored
+in full. The neighbours vote with weights that fall with their distance; the
+share of votes, drawn towards the base rate, is the score, and the neighbours
+are its evidence.
 
 Scale: examples are a bounded sample (a documented parameter), all else covers
-all rows; index and terms are broadcast, bounded by that sample; documents are
-mapped where they lie, without a shuffle.
+all rows; the index is broadcast, bounded by that sample. Terms that no example
+holds change no order, only a text's norm: their frequencies stay a table, and
+meet the terms of the texts in a join.
 
 Defined results
-- Null and empty texts hold no terms. Rows with a null id are never examples and never held out.
+- Null and empty texts hold no terms, and get the rate of the label among such examples. Rows with a null id are never examples and never held out.
 - A document is never its own neighbour. Of rows of labels that repeat an id the largest label counts; null labels don't.
 - Without any example the score is 0. Rows that repeat get the same result each. Extra columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import saved
+
 MAX_EXAMPLES = 20_000
-BLOCK = 64
 NEIGHBOURS = 15
-#: Likelihood ratio that a term must reach, and the least share of its texts that have the label.
-LEAST_G2, LEAST_SHARE = 24.0, 0.5
+#: Lists longer than this are common; so many examples are scored one by one rather than by the common lists.
+COMMON, FEW = 512, 128
 LETTERS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 500_000
 
@@ -70,61 +74,105 @@ class Terms:
         return Counter([t for got in found if got for t in got])
 
 
+class Hashes(Terms):
+    """Terms as hashes, whether known or not."""
+
+    def __init__(self):
+        super().__init__(None)
+
+    def of(self, chunk: str) -> tuple:
+        return tuple(hash_of(w) for w in LETTERS.findall(chunk))
+
+
+def hash_of(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+
+
 @dataclass
 class Index:
-    """Examples as rows of (term, weight), unit length; ``block_max[term, block]`` bounds the weights."""
+    """Examples as rows of (term, weight), unit length, and the same by term; ``keys`` are the hashes of the terms, ascending."""
 
-    terms: dict[str, int]
+    #: (hash, term) of the terms of the examples
+    words: DataFrame | None
+    keys: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     starts: np.ndarray
     cols: np.ndarray
     vals: np.ndarray
-    block_max: np.ndarray
+    n_docs: int
     empty_rate: float
     base_rate: float
+    #: (hash, df) of all terms that no example holds
+    rest: DataFrame | None
+
+    @property
+    def terms(self) -> dict[str, int]:
+        """The numbers of the terms, for a look at a small index; nothing else holds the words."""
+        return {r["term"]: int(np.searchsorted(self.keys, r["hash"])) for r in self.words.collect()}
+
+    def invert(self) -> None:
+        order = np.argsort(self.cols, kind="stable")
+        self.by_row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))[order]
+        self.by_val = self.vals[order].astype(np.float32)
+        self.by_start = np.searchsorted(self.cols[order], np.arange(len(self.idf) + 1))
+        self.top = np.zeros(len(self.idf))
+        np.maximum.at(self.top, self.cols, self.vals)
+        self.query = np.zeros(len(self.idf))
+
+    def split(self, counts: Counter) -> tuple[Counter, dict[int, int]]:
+        """Counts of hashes as those of the index's terms, and the others."""
+        found = np.fromiter(counts, dtype=np.int64, count=len(counts))
+        at = np.searchsorted(self.keys, found)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == found if len(self.keys) else np.zeros(len(found), dtype=bool)
+        n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+        return Counter(dict(zip(at[known].tolist(), n[known].tolist()))), dict(zip(found[~known].tolist(), n[~known].tolist()))
+
+    def weights(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        terms = np.array(sorted(counts), dtype=np.int64)
+        return terms, np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
 
     def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), dtype=np.int64)
-        w = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
+        terms, w = self.weights(counts)
         norm = math.sqrt(float((w * w).sum()))
         return terms, w / norm if norm else w
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples (cosine above 0), best first; ties to the earlier row."""
-        bounds = w @ self.block_max[terms]
-        order = np.argsort(-bounds, kind="stable")
-        q = np.zeros(len(self.idf))
-        q[terms] = w
-        rows, scores = np.empty(0, dtype=np.int64), np.empty(0)
-        at, step = 0, 4
-        while at < len(order) and bounds[order[at]] > 1e-12:
-            if len(scores) >= k and bounds[order[at]] < scores[k - 1] - 1e-12:
-                break
-            blocks = order[at : at + step]
-            at, step = at + step, min(step * 2, 64)
-            some = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            some = some[some < len(self.ids)]
-            lo, hi = self.starts[some], self.starts[some + 1]
-            flat = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
-            part = np.bincount(np.repeat(np.arange(len(some)), hi - lo), q[self.cols[flat]] * self.vals[flat], minlength=len(some))
-            good = part > 1e-12
-            if own is not None:
-                good &= self.ids[some] != own
-            rows, scores = np.concatenate([rows, some[good]]), np.concatenate([scores, part[good]])
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-        return rows, scores
-
-    def score(self, counts: Counter, own: int | None, k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        if not counts or not len(self.ids):
-            return self.empty_rate, np.empty(0, dtype=np.int64), np.empty(0)
-        rows, cos = self.nearest(*self.weigh(counts), k, own)
-        if not len(rows):
-            return self.base_rate, rows, cos
-        votes = 1.0 / (1.05 - np.minimum(cos, 1.0))
-        return float(((votes * self.labels[rows]).sum() + 0.5 * self.base_rate) / (votes.sum() + 0.5)), rows, cos
+        """Rows and products with ``w`` of the k nearest examples (above 0), best first; ties to the earlier row."""
+        if not hasattr(self, "by_row"):
+            self.invert()
+        size = self.by_start[terms + 1] - self.by_start[terms]
+        order = np.argsort(size, kind="stable")
+        rare = int(np.searchsorted(size[order], COMMON, side="right"))
+        total = np.zeros(len(self.ids))
+        mine = self.ids == own if own is not None else np.zeros(len(self.ids), dtype=bool)
+
+        def add(some: np.ndarray) -> None:
+            for t, x in zip(terms[some].tolist(), w[some].tolist()):
+                i, j = self.by_start[t], self.by_start[t + 1]
+                total[self.by_row[i:j]] += x * self.by_val[i:j]
+
+        def open_rows(more: float) -> np.ndarray:
+            """Rows that can be among the k best; ``more`` is the most that is still to come, besides rounding."""
+            reached = total[~mine]
+            least = np.partition(reached, -k)[-k] if len(reached) >= k else 0.0
+            return np.flatnonzero((total + more >= least * (1 - 1e-5)) & (total + more > 0) & ~mine)
+
+        add(order[:rare])
+        some = open_rows(float((w[order[rare:]] * self.top[terms[order[rare:]]]).sum()) * (1 + 1e-5))
+        if len(some) > FEW:
+            add(order[rare:])
+            some = open_rows(0.0)
+        self.query[terms] = w
+        lo, hi = self.starts[some], self.starts[some + 1]
+        flat = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum())) if len(some) else np.empty(0, dtype=np.int64)
+        part = np.bincount(np.repeat(np.arange(len(some)), hi - lo), self.query[self.cols[flat]] * self.vals[flat], minlength=len(some))
+        self.query[terms] = 0
+        good = part > 1e-12
+        rows, scores = some[good], part[good]
+        best = np.lexsort((rows, -scores))[:k]
+        return rows[best], scores[best]
 
 
 def held_out(id_col: Column, parts: int = 5) -> Column:
@@ -138,90 +186,109 @@ def examples(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic"
     return rows.orderBy(F.md5(F.col("ex_id").cast("string")), "ex_id").limit(max_examples)
 
 
-def _log_ratio(a: float, n: float, pos: float, total: float) -> float:
-    """G2 of a term with a positive texts among n, against the base rate pos / total."""
-    b, p = n - a, pos / total
-    return 2 * ((a * math.log(a / (n * p)) if a else 0) + (b * math.log(b / (n * (1 - p))) if b and p < 1 else 0))
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Index:
     spark = docs.sparkSession
     chosen = spark.createDataFrame(examples(labels, id_col, label_col, max_examples).collect(), "ex_id long, label int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("ex_id")).select("id", "label", "text")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, n, pos = Terms(None), Counter(), Counter()
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Terms(None)
+        for batch in batches:
+            found = sorted({w for text in batch.column(2).to_pylist() for w in find.count(text)})
+            yield pa.RecordBatch.from_arrays([pa.array([hash_of(w) for w in found], pa.int64()), pa.array(found, pa.string())], names=["hash", "term"])
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Hashes()
         for batch in batches:
-            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = set(find.count(text))
-                n.update(words)
-                if label:
-                    pos.update(words)
-        keys = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([pos[k] for k in keys], pa.int64())], names=["term", "n", "pos"])
-
-    count = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
-    total, positive = count["n"], count["pos"]
-    terms: list[str] = []
-    if positive:
-        sums = sample.mapInArrow(tally, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-        sums = sums.filter((F.col("pos") >= 3) & (F.col("pos") >= LEAST_SHARE * F.col("n")))
-        terms = sorted(r["term"] for r in sums.collect() if r["pos"] / r["n"] > positive / total and _log_ratio(r["pos"], r["n"], positive, total) >= LEAST_G2)
-    number = {t: i for i, t in enumerate(terms)}
-    shared = spark.sparkContext.broadcast(number)
+            got = [sorted(find.count(t).items()) for t in batch.column(2).to_pylist()]
+            packed = [pa.array([np.array([x[i] for x in g], dtype=np.int64).tobytes() for g in got], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["id", "label", "terms", "counts"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, df, n = Terms(shared.value), Counter(), 0
+        find, df, n = Hashes(), Counter(), 0
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], names=["hash", "df"])
+
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                df.update(set(find.count(text)))
+                df.update(find.count(text).keys())
                 n += 1
-        df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Terms(shared.value)
-        for batch in batches:
-            got = [find.count(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(g) for g in got], pa.list_(pa.int64())), pa.array([list(g.values()) for g in got], pa.list_(pa.int64()))],
-                names=["id", "label", "terms", "counts"],
-            )
-
-    df = {r["term"]: r["df"] for r in texts.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    n_docs = df.get(-1, 0)
-    idf = np.array([math.log((n_docs + 1) / (df.get(i, 0) + 0.5)) for i in range(len(terms))])
-    rows = sample.mapInArrow(vectors, "id long, label int, terms array<long>, counts array<long>").collect()
-    with_terms = sorted((r for r in rows if r["terms"]), key=lambda r: (r["id"], sorted(r["terms"])))
+                if len(df) > REMEMBERED:
+                    yield sent()
+                    df = Counter()
+        df[-1] = n  # no term's hash
+        yield sent()
+
+    known = saved(sample.mapInArrow(words, "hash long, term string").groupBy("hash").agg(F.min("term").alias("term")), "toxicity-terms")
+    df = saved(texts.mapInArrow(frequencies, "hash long, df long").groupBy("hash").agg(F.sum("df").alias("df")), "toxicity-df")
+    n_docs = (df.filter("hash = -1").agg(F.sum("df")).first() or [0])[0] or 0
+    table = known.join(df, "hash").select("hash", "df").toArrow().sort_by("hash")
+    keys = table["hash"].to_numpy()
+    idf = np.log((n_docs + 1) / (table["df"].to_numpy() + 0.5))
+
+    table = sample.mapInArrow(vectors, "id long, label int, terms binary, counts binary").toArrow()
+    rows = table.to_pylist()
+    del table
+    rest = df.filter("hash >= 0").join(known.select("hash"), "hash", "left_anti")
+    with_terms = sorted((r for r in rows if r["terms"]), key=lambda r: (r["id"], bytes(r["terms"]), bytes(r["counts"])))
     without = [r["label"] for r in rows if not r["terms"]]
-    index = Index(number, idf, np.array([r["id"] for r in with_terms], dtype=np.int64), np.array([r["label"] for r in with_terms], dtype=float), np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0), np.zeros((len(terms), 0)), 0.0, 0.0)
-    weighed = [index.weigh(Counter(dict(zip(r["terms"], r["counts"])))) for r in with_terms]
-    if weighed:
-        index.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in weighed])])
-        index.cols, index.vals = np.concatenate([t for t, _ in weighed]), np.concatenate([w for _, w in weighed])
-        blocks = np.repeat(np.arange(len(weighed)), np.diff(index.starts)) // BLOCK
-        index.block_max = np.zeros((len(terms), -(-len(weighed) // BLOCK)))
-        np.maximum.at(index.block_max, (index.cols, blocks), index.vals)
+    total, positive = len(rows), sum(r["label"] for r in rows)
+    index = Index(known, keys, idf, np.array([r["id"] for r in with_terms], dtype=np.int64), np.array([r["label"] for r in with_terms], dtype=float), np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0), n_docs, 0.0, 0.0, rest)
+    if with_terms:
+        index.starts = np.concatenate([[0], np.cumsum([len(r["terms"]) // 8 for r in with_terms])])
+        index.cols = np.concatenate([np.searchsorted(keys, np.frombuffer(r["terms"], dtype=np.int64)).astype(np.int32) for r in with_terms])
+        index.vals = np.empty(len(index.cols))
+        for r, i, j in zip(with_terms, index.starts[:-1].tolist(), index.starts[1:].tolist()):
+            w = (1 + np.log(np.frombuffer(r["counts"], dtype=np.int64))) * idf[index.cols[i:j]]
+            index.vals[i:j] = w / (math.sqrt(float((w * w).sum())) or 1.0)
         index.base_rate = float(index.labels.mean())
     index.empty_rate = (sum(without) + 0.5 * positive / total) / (len(without) + 0.5) if total else 0.0
     return index
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
-    """All columns of each row, then ``tox_score`` and ``tox_evidence`` (id, cosine, label of the neighbours)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    kept = [c for c in docs.columns if c not in ("tox_score", "tox_evidence")]
+def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
+    """The columns to ``keep`` (all) of each row, then ``tox_score`` and ``tox_evidence`` (id, cosine, label of the neighbours)."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(index, words=None, rest=None))
+    kept = [c for c in keep or docs.columns if c not in ("tox_score", "tox_evidence")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    evidence = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    near = pa.list_(pa.struct([("id", pa.int64()), ("product", pa.float64()), ("label", pa.int32())]))
+    others = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        find = Terms(index.terms)
+        find, number = Hashes(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            got = [index.score(find.count(text), own, k) for own, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            shown = [[{"id": int(index.ids[r]), "cosine": float(c), "label": int(index.labels[r])} for r, c in zip(g[1], g[2])] for g in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array(shown, evidence)], names=["row", "tox_score", "tox_evidence"])
+            squares, shown, left, empty = [], [], [], []
+            for own, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                counts = find.count(text)
+                inside, outside = index.split(counts)
+                terms, w = index.weights(inside)
+                got = index.nearest(terms, w, k, own) if len(terms) else ((), ())
+                squares.append(float((w * w).sum()))
+                shown.append([{"id": int(index.ids[r]), "product": float(c), "label": int(index.labels[r])} for r, c in zip(*got)])
+                left.append([{"hash": h, "n": n} for h, n in outside.items()] if len(got[0]) else [])
+                empty.append(not counts or not len(index.ids))
+            numbers = pa.array(range(number, number + batch.num_rows), pa.int64())
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), numbers, pa.array(squares, pa.float64()), pa.array(shown, near), pa.array(left, others), pa.array(empty, pa.bool_())], names=["row", "number", "square", "near", "others", "empty"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, tox_score double, tox_evidence array<struct<id:bigint,cosine:double,label:int>>").select("row.*", "tox_score", "tox_evidence")
+    # written once: the numbers of the rows stay what they are
+    found = saved(rows.mapInArrow(run, f"row {kind}, number long, square double, near array<struct<id:bigint,product:double,label:int>>, others array<struct<hash:bigint,n:bigint>>, empty boolean"), "toxicity-near")
+    found = found.withColumn("row", F.col("row").cast(kind))
+    if index.rest is not None:
+        terms = found.select("number", F.inline("others"))
+        weight = (1 + F.log("n")) * F.log((F.lit(float(index.n_docs)) + 1) / (F.coalesce("df", F.lit(0)) + 0.5))
+        more = terms.join(index.rest, "hash", "left").groupBy("number").agg(F.sum(weight * weight).alias("more"))
+        found = found.join(more, "number", "left")
+    else:
+        found = found.withColumn("more", F.lit(0.0))
+    norm = F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
+    evidence = F.transform("near", lambda x: F.struct(x["id"].alias("id"), (x["product"] / norm).alias("cosine"), x["label"].alias("label")))
+    vote = lambda x: 1 / (1.05 - F.least(x["cosine"], F.lit(1.0)))
+    added = lambda f: F.aggregate("tox_evidence", F.lit(0.0), lambda a, x: a + f(x))
+    voted = (added(lambda x: vote(x) * x["label"]) + 0.5 * index.base_rate) / (added(vote) + 0.5)
+    found = found.select("row", "empty", evidence.alias("tox_evidence"))
+    return found.select("row.*", F.when(F.col("empty"), F.lit(float(index.empty_rate))).otherwise(voted).alias("tox_score"), "tox_evidence")

@@ -203,3 +203,26 @@ def test_toxicity_without_examples(spark):
     for d, n in ((docs, labels.limit(0)), (docs, labels.withColumn("toxic", labels["toxic"] * 0)), (docs.limit(0), labels)):
         clash = d.withColumn("row", d["text"]).withColumn("id", d["text"])
         assert {r.tox_score for r in toxicity.score(clash, toxicity.fit(clash, n)).collect()} <= {0.0}
+
+
+def test_every_example_and_every_term_counts(spark):
+    """Cosines of whole texts, by brute force: examples without a telling word, and words that no example holds."""
+    docs, labels = toxic_corpus(spark, 120)
+    docs = docs.union(spark.createDataFrame([(500, "waa wba unheard"), (501, "waa unheard unheard twice")], "doc_id long, text string"))
+    index = toxicity.fit(docs, labels)
+    texts = [(r.doc_id, Counter((r.text or "").split())) for r in docs.collect()]
+    df = Counter(w for _, c in texts for w in c)
+    vec = lambda c: {w: (1 + math.log(n)) * math.log((len(texts) + 1) / (df[w] + 0.5)) for w, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
+    chosen = {r.ex_id for r in toxicity.examples(labels).collect()}
+    held = [(i, vec(c)) for i, c in texts if i in chosen and c]
+    assert sorted(index.ids.tolist()) == sorted(i for i, _ in held)
+    got = toxicity.score(docs, index).collect()
+    by_id = {r.doc_id: r for r in got}
+    for i, c in texts:
+        if c and i not in (0, None):
+            q = vec(c)
+            want = sorted((sum(x * v.get(w, 0) for w, x in q.items()) / norm(q) / norm(v) for j, v in held if j != i), reverse=True)
+            want = [x for x in want if x > 1e-12][:15]
+            assert np.allclose([e.cosine for e in by_id[i].tox_evidence], want)
+    assert len(got) == len(texts)
