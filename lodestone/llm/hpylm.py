@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,8 +233,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 PART, PAIRS, WORDS, ANSWER, TABLES, ROOT, SUMS = range(7)
 
 
-def _send(ids: list, lens: list[int], hashes: list[np.ndarray], shift: int) -> Iterator[tuple]:
-    """Rows of one part."""
+def _send(ids: list, lens: list[int], hashes: list[np.ndarray], shift: int, place: tuple[int, int]) -> Iterator[tuple]:
+    """Rows of one part; ``place``: the Spark partition and the number of the part in it."""
     n_tokens = np.array(lens, dtype=np.int64)
     words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
     tokens = tokens.astype(np.int64)
@@ -241,8 +242,8 @@ def _send(ids: list, lens: list[int], hashes: list[np.ndarray], shift: int) -> I
     held = np.array([is_held_out(i) for i in ids], dtype=np.int64)
     known = np.array([i is not None for i in ids], dtype=np.int64)
     ids = np.array([i or 0 for i in ids], dtype=np.int64)
-    # a part is known by what it holds, so that a lost one comes back the same
-    part = int.from_bytes(hashlib.blake2b(ids.tobytes() + known.tobytes() + tokens[:4096].tobytes() + words[:64].tobytes(), digest_size=8).digest(), "little", signed=True)
+    # a part is known by its place and by what it holds: a lost one comes back the same, parts of equal rows stay apart
+    part = int.from_bytes(hashlib.blake2b(np.array(place, dtype=np.int64).tobytes() + ids.tobytes() + known.tobytes() + tokens[:4096].tobytes() + words[:64].tobytes(), digest_size=8).digest(), "little", signed=True)
     learnt = np.repeat(1 - held, n_tokens)
     _, key = pairs_of(tokens, n_tokens, end, len(words))
     order = np.argsort(key, kind="stable")
@@ -267,6 +268,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, shift: int, part_toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         ids, lens, hashes, n = [], [], [], 0
+        place, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -278,10 +280,10 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, shift: int, part_toke
                 hashes.append(got)
                 n += len(got)
                 if n >= part_tokens or len(ids) >= PART_DOCS:
-                    yield from (_batch([r]) for r in _send(ids, lens, hashes, shift))
-                    ids, lens, hashes, n = [], [], [], 0
+                    yield from (_batch([r]) for r in _send(ids, lens, hashes, shift, (place, number)))
+                    ids, lens, hashes, n, number = [], [], [], 0, number + 1
         if ids:
-            yield from (_batch([r]) for r in _send(ids, lens, hashes, shift))
+            yield from (_batch([r]) for r in _send(ids, lens, hashes, shift, (place, number)))
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, ROW)

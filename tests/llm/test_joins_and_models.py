@@ -84,6 +84,18 @@ def test_language_model(spark):
     assert hpylm.score(docs.limit(0)).collect() == []
 
 
+def test_equal_parts_stay_apart(spark):
+    """The same rows in two partitions, and equal parts in one partition."""
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    same = spark.createDataFrame([(None, "x y z")] * 6, "doc_id long, text string").coalesce(1)
+    got = hpylm.score(docs.union(docs).union(same), part_tokens=8).collect()
+    assert Counter(r.id for r in got) == {**{i: 2 for i in range(20)}, None: 6}
+    tokens = sum(4 * 2 for i in range(20) if not hpylm.is_held_out(i)) + 4 * 6
+    assert {r.train_tokens for r in got} == {tokens}
+    for i in [None, *range(20)]:
+        assert np.ptp([r.score for r in got if r.id == i]) < 1e-9
+
+
 def test_restaurant_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     c = np.array([1, 2, 3, 30, 500])
