@@ -14,7 +14,10 @@ all their combinations follows from the averages.
 
 On Spark: documents become parts of about a million tokens. A part sends the
 counts of its pairs to the bucket of the pair's first word, and those of its
-words to the bucket of the word: packed arrays, already summed. A bucket seats
+words to the bucket of the word: packed arrays, already summed. Where parts are
+many, groups of parts sum their lists first, about as many groups as parts in
+each, and pass the answers on, so that a bucket meets a pair a group. Lists are
+summed a few at a time: what is unpacked are the distinct pairs. A bucket seats
 its restaurants, with the tables of its own contexts standing in for the whole
 root during sampling, answers each part with the pairs' seated probabilities and
 the contexts' back-off weights, and sends its tables to the words' buckets,
@@ -49,6 +52,8 @@ from lodestone.llm.common import saved
 
 #: Tokens and documents of a part (which bound a task's memory), and bytes of text for a bucket.
 PART_TOKENS, PART_DOCS, BUCKET_BYTES = 1_200_000, 60_000, 16_000_000
+#: Lists of parts that one group sums up (beyond, groups of parts are summed first), and pairs that wait to be summed.
+LISTS, PENDING = 256, 1_000_000
 #: Strengths of the contexts and of the root; sweeps before and during sampling; moves of a dish in a sweep.
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 BURN_IN, SAMPLES, MOVES = 3, 3, 2
@@ -230,7 +235,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-PART, PAIRS, WORDS, ANSWER, TABLES, ROOT, SUMS = range(7)
+PART, PAIRS, WORDS, ANSWER, TABLES, ROOT, SUMS, LIST = range(8)
 
 
 def _send(ids: list, lens: list[int], hashes: list[np.ndarray], shift: int, place: tuple[int, int]) -> Iterator[tuple]:
@@ -289,19 +294,65 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, shift: int, part_toke
     return rows.mapInArrow(run, ROW)
 
 
+def _sum(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    context, word, count = (np.concatenate([h[i] for h in held]) for i in range(3))
+    order = np.lexsort((word, context))
+    context, word, count = context[order], word[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
+    return context[first], word[first], np.add.reduceat(count, first)
+
+
+def sum_pairs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, words and counts of the distinct pairs of some lists, ascending; no more than these and a few lists are unpacked at once."""
+    held, n, distinct = [], 0, 0
+    for r in rows:
+        u, _, size, w, number, count = unpack(r["payload"])
+        held.append((np.repeat(u, size), w[number], count))
+        n += len(count)
+        if n > PENDING + 2 * distinct:
+            held = [_sum(held)]
+            n = distinct = len(held[0][2])
+    return _sum(held)
+
+
+def _words_of(rows: list[dict], bucket: int) -> Iterator[tuple]:
+    for r in rows:
+        yield _row(WORDS, bucket, r["part"], pack(*unpack(r["payload"])[:2]))
+
+
+def _answers(rows: list[dict], bucket: int, contexts: np.ndarray, words: np.ndarray, keys: np.ndarray, p: np.ndarray, back: np.ndarray) -> Iterator[tuple]:
+    """To each list what belongs to its pairs and its contexts, list by list."""
+    for r in rows:
+        u, _, size, w, number, _ = unpack(r["payload"])
+        u_at = np.searchsorted(contexts, u)
+        at = np.searchsorted(keys, np.repeat(u_at, size) * len(words) + np.searchsorted(words, w)[number])
+        yield _row(ANSWER, bucket, r["part"], pack(p[at], back[u_at]))
+
+
+def sum_lists(rows: list[dict], bucket: int, group: int) -> Iterator[tuple]:
+    """One list for a group of parts."""
+    c, w, count = sum_pairs(rows)
+    yield from _words_of(rows, bucket)
+    u, size = np.unique(c, return_counts=True)
+    own, number = np.unique(w, return_inverse=True)
+    yield _row(LIST, bucket, group, pack(u, np.zeros(len(u), dtype=np.int64), size, own, number, count))
+
+
+def pass_on(rows: list[dict], bucket: int) -> Iterator[tuple]:
+    """What a group was answered, to its parts."""
+    (answer,) = [unpack(r["payload"]) for r in rows if r["kind"] == ANSWER]
+    (u, _, size, words, number, _) = next(unpack(r["payload"]) for r in rows if r["kind"] == LIST)
+    keys = np.repeat(np.arange(len(u)), size) * len(words) + number
+    yield from _answers([r for r in rows if r["kind"] == PAIRS], bucket, u, words, keys, *answer)
+
+
 def seat_contexts(rows: list[dict], bucket: int, shift: int, seed: int) -> Iterator[tuple]:
-    """The restaurants of a bucket: answers for parts, tables for the root."""
-    got = [(r["part"], *unpack(r["payload"])) for r in rows]
-    for part, u, tokens, *_ in got:
-        yield _row(WORDS, bucket, part, pack(u, tokens))
-    got = [(part, u, size, w[number], count) for part, u, _, size, w, number, count in got]
-    u_all = np.concatenate([g[1] for g in got])
-    sizes = np.concatenate([g[2] for g in got])
-    contexts, u_at = np.unique(u_all, return_inverse=True)
-    words, w_at = np.unique(np.concatenate([g[3] for g in got]), return_inverse=True)
-    keys, at = np.unique(np.repeat(u_at, sizes) * len(words) + w_at, return_inverse=True)
-    count = np.bincount(at, np.concatenate([g[4] for g in got]), minlength=len(keys)).astype(np.int64)
-    where, dish = keys // len(words), keys % len(words)
+    """The restaurants of a bucket: answers for its lists, tables for the root."""
+    c, w, count = sum_pairs(rows)
+    contexts, where = np.unique(c, return_inverse=True)
+    words, dish = np.unique(w, return_inverse=True)
+    keys = where * len(words) + dish
+    del c, w
     total = np.bincount(where, count, minlength=len(contexts))
     seen = np.flatnonzero(count)
     d = discount(count)
@@ -320,10 +371,7 @@ def seat_contexts(rows: list[dict], bucket: int, shift: int, seed: int) -> Itera
     p = np.zeros(len(keys), dtype=np.float32)
     p[seen] = (count[seen] - d * t_sum / SAMPLES) / (STRENGTH + total[where[seen]])
     back = ((STRENGTH + d * place_sum / SAMPLES) / (STRENGTH + total)).astype(np.float32)
-    i = k = 0
-    for part, u, _, w, _ in got:
-        yield _row(ANSWER, bucket, part, pack(p[at[k : k + len(w)]], back[u_at[i : i + len(u)]]))
-        i, k = i + len(u), k + len(w)
+    yield from _answers(rows, bucket, contexts, words, keys, p, back)
     tables = np.bincount(dish[seen], seats.t, minlength=len(words)).astype(np.int64)
     some = np.flatnonzero(tables)
     if len(some):
@@ -390,20 +438,38 @@ def release(df: DataFrame) -> None:
         time.sleep(0.5)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS, bucket_bytes: int = BUCKET_BYTES, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS, bucket_bytes: int = BUCKET_BYTES, seed: int = 7, lists: int = LISTS) -> DataFrame:
     """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    size, n_docs = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.count(F.lit(1))).first()
+    size = size or 0
+    # no part but the last of a task is smaller; a token takes two bytes at least, but seldom less than six
+    n_parts = size // (6 * part_tokens) + n_docs // PART_DOCS + 1
+    groups = 1 if n_parts <= lists else max(-(-n_parts // lists), int(n_parts**0.5))
     depth = max(3, int(-(-size // bucket_bytes) - 1).bit_length())
     shift, share = BITS - depth, 1 << depth
 
+    names = [x.split()[0] for x in ROW.split(", ")]
+
+    def listed(table):
+        return table.select(["kind", "bucket", "part", "payload"]).to_pylist()
+
     def contexts(key, table):
-        rows = table.select(["kind", "bucket", "part", "payload"]).to_pylist()
-        pairs = [r for r in rows if r["kind"] == PAIRS]
-        out = list(seat_contexts(pairs, pairs[0]["bucket"], shift, seed)) if pairs else []
-        table = table.select([x.split()[0] for x in ROW.split(", ")])
-        other = table.filter(pc.not_equal(table.column("kind"), PAIRS))
+        pairs = listed(table.filter(pc.equal(table.column("kind"), PAIRS)))
+        out = [*_words_of(pairs, pairs[0]["bucket"]), *seat_contexts(pairs, pairs[0]["bucket"], shift, seed)] if pairs else []
+        other = table.select(names).filter(pc.not_equal(table.column("kind"), PAIRS))
         return pa.concat_tables([other, pa.Table.from_batches([_batch(out)])]).combine_chunks()
 
+    def grouped(key, table):
+        pairs = listed(table.filter(pc.equal(table.column("kind"), PAIRS)))
+        out = list(sum_lists(pairs, pairs[0]["bucket"], key[1].as_py())) if pairs else []
+        return pa.concat_tables([table.select(names), pa.Table.from_batches([_batch(out)])]).combine_chunks()
+
+    def seats(key, table):
+        return pa.Table.from_batches([_batch(list(seat_contexts(listed(table), key[0].as_py(), shift, seed)))])
+
+    def passed(key, table):
+        return pa.Table.from_batches([_batch(list(pass_on(listed(table), key[0].as_py())))])
+
     def roots(key, table):
         rows = table.select(["kind", "bucket", "part", "payload"]).to_pylist()
         asked, sent = [r for r in rows if r["kind"] == WORDS], [r for r in rows if r["kind"] == TABLES]
@@ -411,7 +477,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
 
     # a part's own row travels with some bucket, whichever, so that one pass over the texts is enough
     sent = tokenised(docs, id_col, text_col, shift, part_tokens).withColumn("to", F.col("bucket") % share)
-    seated = saved(sent.groupBy("to").applyInArrow(contexts, ROW), "hpylm-contexts")
+    group = F.pmod("part", F.lit(groups))
+    if groups == 1:
+        seated = saved(sent.groupBy("to").applyInArrow(contexts, ROW), "hpylm-contexts")
+    else:
+        summed = saved(sent.withColumn("group", group).groupBy("to", "group").applyInArrow(grouped, ROW), "hpylm-lists")
+        release(docs)
+        answered = saved(summed.filter(F.col("kind") == LIST).groupBy("bucket").applyInArrow(seats, ROW), "hpylm-contexts")
+        asked = summed.filter(F.col("kind").isin(PAIRS, LIST)).unionByName(answered.filter(F.col("kind") == ANSWER))
+        own = saved(asked.withColumn("group", group).groupBy("bucket", "group").applyInArrow(passed, ROW), "hpylm-answers")
+        seated = summed.filter(F.col("kind").isin(PART, WORDS)).unionByName(answered.filter(F.col("kind") == TABLES)).unionByName(own)
     del sent
     release(docs)
     rooted = saved(seated.filter(F.col("kind").isin(WORDS, TABLES)).groupBy("bucket").applyInArrow(roots, ROW), "hpylm-root")

@@ -96,6 +96,26 @@ def test_equal_parts_stay_apart(spark):
         assert np.ptp([r.score for r in got if r.id == i]) < 1e-9
 
 
+def test_hot_context_is_summed_by_groups_of_parts(spark):
+    """A word that all parts share: lists of groups rather than of parts reach its bucket, and no score changes."""
+    rng = random.Random(9)
+    texts = [" ".join(x for w in words(rng, 12) for x in ("hot", w)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    want = {r.id: r.score for r in hpylm.score(docs, part_tokens=50).collect()}
+    got = {r.id: r.score for r in hpylm.score(docs, part_tokens=50, lists=4).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_lists_are_summed_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(hpylm, "PENDING", 10)
+    seen, real = [], hpylm._sum
+    monkeypatch.setattr(hpylm, "_sum", lambda held: seen.append(sum(len(h[2]) for h in held)) or real(held))
+    one = np.arange(1, 6)
+    payload = hpylm.pack(np.array([7], dtype=np.uint64), np.array([15]), np.array([5]), one.astype(np.uint64), np.arange(5), one)
+    c, w, count = hpylm.sum_pairs([{"payload": payload}] * 400)
+    assert max(seen) <= 30 and c.tolist() == [7] * 5 and w.tolist() == one.tolist() and count.tolist() == (400 * one).tolist()
+
+
 def test_restaurant_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     c = np.array([1, 2, 3, 30, 500])
