@@ -1,28 +1,29 @@
-"""LM scoring by a hierarchical Pitman-Yor model of word pairs.
-
-Each context (the word before; the end token before the first word) has a
-restaurant whose customers are the words that follow it in the training texts.
-Its tables are customers of the one root restaurant, the parent that all
-contexts share, whose base measure is uniform over the known words and one
-unknown word. Seating is sampled by Gibbs: a customer leaves its table (alone
-there with the probability that the generalised Stirling numbers give) and sits
-down again by the Chinese-restaurant rule. Dishes of many customers are seated
-anew as a block, in steps that grow with the customers seated. After a burn-in
-the seatings of some sweeps are averaged, at both levels; as the levels are
-sampled independently given the tables, the average predictive probability over
-all their combinations follows from the averages.
-
-On Spark: documents become parts of about a million tokens. A part sends the
-counts of its pairs to the bucket of the pair's first word, and those of its
-words to the bucket of the word: packed arrays, already summed. Where parts are
-many, groups of parts sum their lists first, about as many groups as parts in
-each, and pass the answers on, so that a bucket meets a pair a group. Lists are
-summed a few at a time: what is unpacked are the distinct pairs. A bucket seats
-its restaurants, with the tables of its own contexts standing in for the whole
-root during sampling, answers each part with the pairs' seated probabilities and
-the contexts' back-off weights, and sends its tables to the words' buckets,
-which seat the root for all. Parts meet the answers and sum up their documents.
-Words are known by 48-bit hashes. Nothing passes through the driver but six sums.
+"""LM scoring by a hierarchical Pitman-Yor model of word triples.
+
+Three levels of Chinese restaurants. The last two words (u, v) are a context
+whose customers are the words that follow in the training texts; its tables are
+customers of the parent that all contexts ending in v share; the tables of the
+parents are customers of the one root, whose base measure is uniform over the
+known words and one unknown word. The end token stands before a text's start.
+
+Seating is sampled by Gibbs: in a sweep every customer leaves its table and sits
+down again by the Chinese-restaurant rule. A dish is known by its customers c
+and tables t; a customer sits alone with the probability S(c-1, t-1) / S(c, t)
+of generalised Stirling numbers. Most moves change nothing, so the sampler draws
+how many moves pass until the number of tables changes (a geometric number) and
+takes c moves in all: the law is that of one move after the other. The dishes of
+a restaurant move side by side. After a burn-in the predictive probabilities of
+some sweeps are averaged; their logarithms are summed up per document.
+
+On Spark: documents become parts of about a million tokens; a part sends each
+bucket the triples whose contexts the bucket holds, packed. All contexts ending
+in v are in one bucket, with their parent. A very frequent v is dealt over more
+buckets by a hash of u; then each of them has a parent of its own for v. The
+buckets seat their contexts once, with their own words standing in for the root,
+and send the tables to the words' buckets, which seat the root for all and
+answer each bucket. With this shared root the buckets seat anew, sample and sum
+up. The triples are shuffled once and read twice; no document, word or context
+passes through the driver but the list of very frequent words.
 
 Defined results
 - Null and empty texts are one end token. Rows with a null id are training rows.
@@ -33,469 +34,510 @@ Defined results
 
 from __future__ import annotations
 
-import gc
-import hashlib
+import functools
 import threading
-import time
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved
-
-#: Tokens and documents of a part (which bound a task's memory), and bytes of text for a bucket.
-PART_TOKENS, PART_DOCS, BUCKET_BYTES = 1_200_000, 60_000, 16_000_000
-#: Lists of parts that one group sums up (beyond, groups of parts are summed first), and pairs that wait to be summed.
-LISTS, PENDING = 256, 1_000_000
-#: Strengths of the contexts and of the root; sweeps before and during sampling; moves of a dish in a sweep.
-STRENGTH, ROOT_STRENGTH = 1.0, 1.0
-BURN_IN, SAMPLES, MOVES = 3, 3, 2
-#: Up to so many customers a dish is moved customer by customer.
-EXACT = 32
-BITS = 48
-ROW = "kind int, bucket long, part long, payload binary, n long, v long, customers long, tables double, ones long, twos long"
+#: Tokens and documents of a part, tokens of a bucket, and tokens that are seated in one go (they bound a task's memory).
+PART_TOKENS, PART_DOCS, BUCKET_TOKENS, SEATED_TOKENS = 2_000_000, 60_000, 4_000_000, 800_000
+#: A word of more tokens than this is dealt over several buckets; at most so many words are.
+CLASS_TOKENS, FREQUENT_WORDS = 250_000, 200_000
+#: Discounts and strengths of the root, the parents and the contexts.
+DISCOUNTS, STRENGTHS = (0.7, 0.8, 0.85), (1.0, 1.0, 1.0)
+#: Sweeps before sampling, and sampled sweeps.
+BURN_IN, SAMPLES = 2, 3
+#: Up to so many customers the Stirling ratios are exact; beyond they follow the tilted limit law.
+STIRLING = 1024
+REMEMBERED = 300_000
 U = np.uint64
 
 
-_deflate, _inflate = threading.local(), threading.local()
+# --- packed arrays -------------------------------------------------------------------------------
+
+_own = threading.local()
 
 
 def squeezed(x: np.ndarray) -> bytes:
     """The bytes of an array, place by place, compressed."""
-    if not hasattr(_deflate, "by"):
-        _deflate.by = zstandard.ZstdCompressor(level=1)
-    return _deflate.by.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes())
+    if not hasattr(_own, "deflate"):
+        _own.deflate, _own.inflate = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    return _own.deflate.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes())
 
 
-def spread(data: bytes, kind: type) -> np.ndarray:
-    if not hasattr(_inflate, "by"):
-        _inflate.by = zstandard.ZstdDecompressor()
-    size = np.dtype(kind).itemsize
-    flat = np.frombuffer(_inflate.by.decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(kind)
+def spread(data: bytes, kind: str) -> np.ndarray:
+    if not hasattr(_own, "inflate"):
+        _own.deflate, _own.inflate = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    flat = np.frombuffer(_own.inflate.decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: hashes in 6 bytes each, other integers in the smallest type that holds them, compressed."""
-    head, body = [len(arrays)], []
+    """Arrays as bytes: unsigned integers in the smallest type that holds them, hashes in 6 bytes."""
+    out = []
     for x in arrays:
         if x.dtype == U:
-            raw, kind = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), 0
-        elif not len(x):
-            raw, kind = b"", 99
+            kind, raw = b"hash", np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
         else:
-            if x.dtype.kind == "f":
-                x, kind = x.astype(np.float32), 104
-            elif x.min() >= 0:
+            if x.dtype.kind != "f" and len(x) and x.min() >= 0:
                 x = x.astype(np.min_scalar_type(int(x.max())))
-                kind = x.dtype.itemsize
-            else:
-                x, kind = x.astype(np.int64), 108
-            raw = squeezed(x)
-        head += [kind, len(raw)]
-        body.append(raw)
-    return np.array(head, dtype=np.int64).tobytes() + b"".join(body)
+            kind, raw = x.dtype.str.encode().ljust(4), squeezed(x) if len(x) else b""
+        out += [kind, len(raw).to_bytes(8, "little"), raw]
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
-    head = np.frombuffer(data, dtype=np.int64, count=1 + 2 * n)[1:].reshape(n, 2).tolist()
-    out, at = [], 8 * (1 + 2 * n)
-    for kind, size in head:
-        if kind == 0:
+    out, at = [], 0
+    while at < len(data):
+        kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 12], "little")
+        at += 12
+        if kind == b"hash":
             wide = np.zeros((size // 6, 8), dtype=np.uint8)
             wide[:, :6] = np.frombuffer(data, dtype=np.uint8, count=size, offset=at).reshape(-1, 6)
-            x = wide.reshape(-1).view("<u8").astype(U)
-        elif kind == 99:
-            x = np.empty(0, dtype=np.int64)
+            out.append(wide.reshape(-1).view("<u8"))
+        elif size:
+            out.append(spread(data[at : at + size], kind.decode().strip()))
         else:
-            x = spread(data[at : at + size], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64, 104: np.float32, 108: np.int64}[kind])
-            x = x if kind == 104 else x.astype(np.int64)
-        out.append(x)
+            out.append(np.empty(0, dtype=kind.decode().strip()))
         at += size
     return out
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=6).digest(), "little")
-        self[word] = h
-        return h
+# --- words ---------------------------------------------------------------------------------------
+
+
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 16
 
 
 #: The end token's hash is that of a string no word can be.
-END = int.from_bytes(hashlib.blake2b(b" ", digest_size=6).digest(), "little")
+END = hash_of(b" ")
+
+
+class WordNumbers(dict):
+    """Words in the order of their first use; the end token is 0."""
+
+    def __init__(self):
+        self[b" "] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def spans(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of equal values."""
-    cut = np.flatnonzero(np.diff(values)) + 1
-    return np.concatenate([[0], cut]), np.concatenate([cut, [len(values)]])
+def scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
-def pairs_of(tokens: np.ndarray, lens: np.ndarray, end: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, pair key) of every token; tokens are numbers of words."""
-    context = np.empty_like(tokens)
-    context[1:] = tokens[:-1]
-    context[np.cumsum(lens) - lens] = end
-    return context, context * n_words + tokens
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal values."""
+    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(values)]]).astype(np.int64)
 
 
-# --- Chinese restaurants -----------------------------------------------------------------------
+# --- Chinese restaurants -------------------------------------------------------------------------
 
 
-def alone_table(d: float, top: int = EXACT) -> np.ndarray:
-    """[c, t]: the probability that one of c customers at t tables sits alone, from the logarithms of generalised Stirling numbers."""
+@functools.lru_cache(maxsize=4)
+def stirling_ratios(d: float, top: int) -> np.ndarray:
+    """[c, t]: S(c-1, t-1) / S(c, t) for generalised Stirling numbers of discount d."""
+    out = np.zeros((top + 1, top + 1), dtype=np.float32)
+    last = np.full(top + 1, -np.inf)
+    last[0] = 0
     with np.errstate(divide="ignore"):
-        s = np.full((top + 1, top + 1), -np.inf)
-        s[0, 0] = 0
-        out = np.zeros((top + 1, top + 1))
         for c in range(1, top + 1):
             t = np.arange(1, c + 1)
-            stay = np.log(np.maximum(c - 1 - d * t, 0)) + s[c - 1, 1 : c + 1]
-            s[c, 1 : c + 1] = np.logaddexp(s[c - 1, :c], stay)
-            out[c, 1 : c + 1] = np.exp(s[c - 1, :c] - s[c, 1 : c + 1])
+            new = np.full(top + 1, -np.inf)
+            new[1 : c + 1] = np.logaddexp(last[:c], np.log(np.maximum(c - 1 - d * t, 0)) + last[1 : c + 1])
+            out[c, 1 : c + 1] = np.exp(last[:c] - new[1 : c + 1])
+            last = new
     return out
 
 
-def discount(counts: np.ndarray) -> float:
-    """From the numbers of ones and twos."""
-    ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-    return discount_of(ones, twos)
+@functools.lru_cache(maxsize=4)
+def sibuya_ones(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of Sibuya's law of discount d, tilted: logarithms of the mean, ascending, and the probability of 1."""
+    y = np.exp(np.linspace(-1e-4, -80, 4000))
+    return np.log((1 - y) * d * y ** (d - 1) / (1 - y**d)), d * (1 - y) / (1 - y**d)
 
 
-def discount_of(ones: int, twos: int) -> float:
-    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+def limit_ratios(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The same for many customers: table sizes follow Sibuya's law, tilted to the mean c / t."""
+    mean, ones = sibuya_ones(d)
+    return np.minimum(1.0, (t - 1) * np.interp(np.log(c / np.maximum(t, 1)), mean, ones) / (c - 1))
 
 
 class Seats:
-    """Tables of dishes: ``c`` customers and ``t`` tables of each dish, in the restaurant ``where``."""
+    """Dishes of restaurants: ``c`` customers and ``t`` tables of each, in the restaurant ``where``."""
 
     def __init__(self, c: np.ndarray, where: np.ndarray, n_places: int, d: float, strength: float, rng: np.random.Generator):
         self.c, self.where, self.d, self.strength, self.rng = c, where, d, strength, rng
         self.t = np.minimum(c, 1)
-        self.in_place = np.bincount(where, self.t, minlength=n_places)
-        self.few = np.flatnonzero((c >= 2) & (c <= EXACT))
-        self.many = np.flatnonzero(c > EXACT)
-        self.alone = alone_table(d)
-
-    def sweep(self, parent: np.ndarray, moves: int = MOVES) -> None:
-        """``parent``: the probability of each dish in the parent restaurant."""
-        rows = self.few
-        c, p, at = self.c[rows], parent[rows], self.where[rows]
-        for _ in range(moves if len(rows) else 0):
-            t = self.t[rows]
-            left = t - (self.rng.random(len(rows)) < self.alone[c, t])
-            fresh = (self.strength + self.d * (self.in_place[at] - (t - left))) * p
-            seated = c - 1 - self.d * left
-            new = left + ((left == 0) | (self.rng.random(len(rows)) * (fresh + seated) < fresh))
-            self._set(rows, new)
-        rows = self.many
-        if len(rows):
-            c, p, at = self.c[rows], parent[rows], self.where[rows]
-            others = self.in_place[at] - self.t[rows]
-            t, k = np.ones(len(rows), dtype=np.int64), np.ones(len(rows), dtype=np.int64)
-            while (k < c).any():
-                m = np.minimum(np.maximum(1, k // 4), c - k)
-                fresh = (self.strength + self.d * (others + t)) * p
-                t += self.rng.binomial(m, np.clip(fresh / (fresh + np.maximum(k - self.d * t, 1e-9)), 0, 1))
-                k += m
-            self._set(rows, np.minimum(t, c))
-
-    def _set(self, rows: np.ndarray, new: np.ndarray) -> None:
-        change = new - self.t[rows]
-        moved = np.flatnonzero(change)
-        np.add.at(self.in_place, self.where[rows[moved]], change[moved])
-        self.t[rows] = new
-
-
-# --- stages ------------------------------------------------------------------------------------
-
-
-def _row(kind: int, bucket: int, part: int, payload: bytes, n=0, v=0, customers=0, tables=0.0, ones=0, twos=0) -> tuple:
-    return kind, bucket, part, payload, n, v, customers, tables, ones, twos
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in ROW.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-
-PART, PAIRS, WORDS, ANSWER, TABLES, ROOT, SUMS, LIST = range(8)
-
-
-def _send(ids: list, lens: list[int], hashes: list[np.ndarray], shift: int, place: tuple[int, int]) -> Iterator[tuple]:
-    """Rows of one part; ``place``: the Spark partition and the number of the part in it."""
-    n_tokens = np.array(lens, dtype=np.int64)
-    words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-    tokens = tokens.astype(np.int64)
-    end = int(np.searchsorted(words, U(END)))
-    held = np.array([is_held_out(i) for i in ids], dtype=np.int64)
-    known = np.array([i is not None for i in ids], dtype=np.int64)
-    ids = np.array([i or 0 for i in ids], dtype=np.int64)
-    # a part is known by its place and by what it holds: a lost one comes back the same, parts of equal rows stay apart
-    part = int.from_bytes(hashlib.blake2b(np.array(place, dtype=np.int64).tobytes() + ids.tobytes() + known.tobytes() + tokens[:4096].tobytes() + words[:64].tobytes(), digest_size=8).digest(), "little", signed=True)
-    learnt = np.repeat(1 - held, n_tokens)
-    _, key = pairs_of(tokens, n_tokens, end, len(words))
-    order = np.argsort(key, kind="stable")
-    key, flags = key[order], learnt[order]
-    a, _ = spans(key)
-    keys, counts = key[a], np.add.reduceat(flags, a)
-    context, word = keys // len(words), keys % len(words)
-    of_word = (words >> U(shift)).astype(np.int64)
-    yield _row(PART, part & 0xFF, part, pack(ids, known, held, n_tokens, tokens, np.array([end, len(words)])))
-    # every word is the context of some token (its own bucket's), so one list serves both
-    total = np.bincount(tokens, learnt, minlength=len(words)).astype(np.int64)
-    followers = np.bincount(context, minlength=len(words))
-    at = 0
-    for i, j in zip(*spans(of_word)):
-        to = at + int(followers[i:j].sum())
-        own, number = np.unique(word[at:to], return_inverse=True)
-        yield _row(PAIRS, int(of_word[i]), part, pack(words[i:j], total[i:j], followers[i:j], words[own], number, counts[at:to]))
-        at = to
-
-
-def tokenised(docs: DataFrame, id_col: str, text_col: str, shift: int, part_tokens: int) -> DataFrame:
+        self.customers = np.bincount(where, c, minlength=n_places)
+        self.tables = np.bincount(where, self.t, minlength=n_places)
+
+    def alone(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        few = c <= STIRLING
+        table = stirling_ratios(self.d, STIRLING)
+        if few.all():
+            return table[c, t].astype(np.float64)
+        out = np.empty(len(c))
+        out[few] = table[c[few], t[few]]
+        out[~few] = limit_ratios(c[~few], t[~few], self.d)
+        return out
+
+    def sweep(self, parent: np.ndarray) -> None:
+        """Each customer moves once. ``parent``: the probability of each dish in the parent restaurant."""
+        rows = np.flatnonzero(self.c >= 2)
+        left = self.c[rows].astype(np.float64)
+        while len(rows):
+            c, t, p, at = self.c[rows], self.t[rows], parent[rows], self.where[rows]
+            alone, tables = self.alone(c, t), self.tables[at]
+            fresh, stay = (self.strength + self.d * (tables - 1)) * p, c - 1 - self.d * (t - 1)
+            down = alone * stay / (fresh + stay)
+            fresh, stay = (self.strength + self.d * tables) * p, c - 1 - self.d * t
+            # at one customer more than tables, all but one sit alone; nobody joins a table that is not there
+            up = np.where(t < c, (1 - alone) * fresh / (fresh + np.maximum(stay, 1e-12)), 0.0)
+            change = np.minimum(down + up, 1.0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                wait = np.ceil(np.log(1 - self.rng.random(len(rows))) / np.log1p(-np.minimum(change, 1 - 1e-12)))
+            left -= np.where(change > 0, np.maximum(wait, 1), np.inf)
+            step = np.where(self.rng.random(len(rows)) * change < up, 1, -1)
+            go = left >= 0
+            rows, left, step = rows[go], left[go], step[go]
+            self.t[rows] += step
+            np.add.at(self.tables, at[go], step)
+
+    def become(self, c: np.ndarray, parent: np.ndarray) -> None:
+        """Customers come and go, one at a time at each dish, until there are ``c``."""
+        down, up = np.flatnonzero(c < self.c), np.flatnonzero(c > self.c)
+        while len(down):
+            gone = self.rng.random(len(down)) < self.alone(self.c[down], self.t[down])
+            self.t[down] -= gone
+            np.subtract.at(self.tables, self.where[down[gone]], 1)
+            self.c[down] -= 1
+            down = down[c[down] < self.c[down]]
+        while len(up):
+            at = self.where[up]
+            fresh, stay = (self.strength + self.d * self.tables[at]) * parent[up], np.maximum(self.c[up] - self.d * self.t[up], 0)
+            new = (self.t[up] == 0) | (self.rng.random(len(up)) * (fresh + stay) < fresh)
+            self.t[up] += new
+            np.add.at(self.tables, at[new], 1)
+            self.c[up] += 1
+            up = up[c[up] > self.c[up]]
+        self.customers = np.bincount(self.where, self.c, minlength=len(self.tables))
+
+    def predictive(self, parent: np.ndarray) -> np.ndarray:
+        own = np.maximum(self.c - self.d * self.t, 0)
+        return (own + (self.strength + self.d * self.tables[self.where]) * parent) / (self.strength + self.customers[self.where])
+
+
+class Contexts:
+    """The distinct triples of a bucket, and the restaurants of (u, v) and of v."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, learnt: np.ndarray, n_words: int):
+        """Tokens as numbers below ``n_words``; ``learnt`` marks those of training texts."""
+        if n_words < 1 << 20:
+            key = (v * n_words + u) * n_words + w
+        else:  # the pairs' numbers, so that a key fits into 63 bits
+            key = np.unique(v * n_words + u, return_inverse=True)[1] * n_words + w
+        keys, at, self.of_token = np.unique(key, return_index=True, return_inverse=True)
+        self.count = np.bincount(self.of_token, learnt, minlength=len(keys)).astype(np.int64)
+        pairs = keys // n_words
+        self.context = np.cumsum(np.diff(pairs, prepend=pairs[0]) != 0)
+        dishes, self.up = np.unique(v[at] * n_words + w[at], return_inverse=True)
+        self.word = dishes % n_words
+        self.parent = np.cumsum(np.diff(dishes // n_words, prepend=dishes[0] // n_words) != 0)
+        self.n_contexts, self.n_parents = int(self.context[-1]) + 1, int(self.parent[-1]) + 1
+
+    def sample(self, root: np.ndarray | None, seed: list[int], burn_in: int, samples: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean predictive probabilities of the triples, and the parents' tables by word. Without a ``root`` (by word) the own tables stand in."""
+        rng = np.random.default_rng(seed)
+        low = Seats(self.count, self.context, self.n_contexts, DISCOUNTS[2], STRENGTHS[2], rng)
+        high = Seats(np.bincount(self.up, low.t, minlength=len(self.word)).astype(np.int64), self.parent, self.n_parents, DISCOUNTS[1], STRENGTHS[1], rng)
+        mean = np.zeros(len(self.count))
+        for sweep in range(burn_in + samples):
+            base = (self.own_root(high, n_words) if root is None else root)[self.word]
+            low.sweep(high.predictive(base)[self.up])
+            high.become(np.bincount(self.up, low.t, minlength=len(self.word)).astype(np.int64), base)
+            high.sweep(base)
+            if sweep >= burn_in:
+                mean += low.predictive(high.predictive(base)[self.up]) / samples
+        return mean, np.bincount(self.word, high.t, minlength=n_words).astype(np.int64)
+
+    def own_root(self, high: Seats, n_words: int) -> np.ndarray:
+        tables = np.bincount(self.word, high.t, minlength=n_words)
+        known = max(1, int((tables > 0).sum()))
+        d, strength = DISCOUNTS[0], STRENGTHS[0]
+        return (np.maximum(tables - d, 0) + (strength + d * known) / (known + 1)) / (strength + tables.sum())
+
+
+FIXED = 1 << 24
+
+
+def fixed(x: np.ndarray) -> np.ndarray:
+    """Sums of logarithms (0 or less) as whole numbers, which pack well."""
+    return np.round(x * -FIXED).astype(np.int64)
+
+
+# --- stages --------------------------------------------------------------------------------------
+
+SENT = "bucket long, part long, payload binary"
+ASKED = "wb long, bucket long, payload binary"
+ROOT = "bucket long, wb long, payload binary, n long, v long, customers long, tables double"
+
+
+def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
+def frequent_words(docs: DataFrame, share: float) -> DataFrame:
+    """``hash`` and ``n`` of words that are ``share`` of a task's tokens, counted there; and all tokens under hash -1."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        ids, lens, hashes, n = [], [], [], 0
-        place, number = TaskContext.get().partitionId(), 0
+        found, total = Counter(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                total += len(words) + 1
+                found.update(words)
+                if len(found) > REMEMBERED:
+                    found = Counter({w: n for w, n in found.items() if n > max(1.0, share * total / 4)})
+        most = [(hash_of(w), n) for w, n in found.items() if n >= max(2.0, share * total)] + [(-1, total)]
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in most], pa.int64()) for i in (0, 1)], names=["hash", "n"])
+
+    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def _send(part: int, ids: list, lens: list[int], known: dict[bytes, int], tokens: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray], n_buckets: int) -> Iterator[tuple]:
+    """What a part sends to the buckets; the first message also carries what is known of its documents."""
+    lens_ = np.array(lens, dtype=np.int64)
+    hashes = np.fromiter(map(hash_of, known), dtype=U, count=len(known))
+    hashes[0] = END
+    words, rank = np.unique(hashes, return_inverse=True)
+    w, end = rank.astype(np.int32)[np.concatenate(tokens)], np.int32(rank[0])
+    starts = np.cumsum(lens_) - lens_
+    v = np.roll(w, 1)
+    v[starts] = end
+    u = np.roll(v, 1)
+    u[starts] = end
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), lens_)
+    classes = np.ones(len(words), dtype=U)
+    at = np.searchsorted(frequent[0], words)
+    hit = np.flatnonzero(frequent[0][np.minimum(at, len(frequent[0]) - 1)] == words) if len(frequent[0]) else []
+    classes[hit] = frequent[1][at[hit]]
+    mixed = scattered(words)
+    bucket = (scattered(mixed[v] + mixed[u] % classes[v]) % U(n_buckets)).astype(np.int32)
+    order = np.argsort((v.astype(np.int64) * len(words) + u) * len(words) + w) if len(words) < 1 << 20 else np.lexsort((w, u, v))
+    if n_buckets > 1:
+        order = order[np.argsort(bucket[order], kind="stable")]
+    u, v, w, doc, bucket = (x[order] for x in (u, v, w, doc, bucket))
+    held = np.array([is_held_out(i) for i in ids], dtype=np.uint8)
+    meta = pack(np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is not None for i in ids], dtype=np.uint8), lens_)
+    for i, j in zip(*runs(bucket)):
+        own, number = numbered(len(words), u[i:j], v[i:j], w[i:j])
+        a, b = runs(number[1])
+        docs, (of_doc,) = numbered(len(ids), doc[i:j])
+        payload = pack(words[own], number[0], number[1][a], b - a, number[2], np.diff(docs, prepend=0), held[docs], of_doc)
+        yield int(bucket[i]), part, len(meta).to_bytes(8, "little") + meta + payload
+        meta = b""
+
+
+def numbered(n: int, *arrays: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values (below n) of some arrays, ascending, and the arrays as numbers of these."""
+    if 32 * len(arrays[0]) < n:
+        own, number = np.unique(np.concatenate(arrays), return_inverse=True)
+        return own, list(number.reshape(len(arrays), -1))
+    seen = np.zeros(n, dtype=bool)
+    for x in arrays:
+        seen[x] = True
+    number = np.cumsum(seen, dtype=np.int32) - 1
+    return np.flatnonzero(seen), [number[x] for x in arrays]
+
+
+def sent(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_buckets: int, part_tokens: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids, lens, tokens, n, number = WordNumbers(), [], [], [], 0, TaskContext.get().partitionId() << 24
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for row in _send(number, ids, lens, known, tokens, shared.value, n_buckets):
+                yield from _rows(["bucket", "part", "payload"], [pa.int64(), pa.int64(), pa.binary()], [row]).to_batches()
+
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-                got = np.empty(len(tokens) + 1, dtype=U)
-                got[:-1] = np.fromiter(map(known.__getitem__, tokens), dtype=U, count=len(tokens))
-                got[-1] = END
+                words = words_of(text)
+                words.append(b" ")
                 ids.append(i)
-                lens.append(len(got))
-                hashes.append(got)
-                n += len(got)
+                lens.append(len(words))
+                tokens.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
+                n += len(words)
                 if n >= part_tokens or len(ids) >= PART_DOCS:
-                    yield from (_batch([r]) for r in _send(ids, lens, hashes, shift, (place, number)))
-                    ids, lens, hashes, n, number = [], [], [], 0, number + 1
+                    yield from send()
+                    known, ids, lens, tokens, n, number = WordNumbers(), [], [], [], 0, number + 1
         if ids:
-            yield from (_batch([r]) for r in _send(ids, lens, hashes, shift, (place, number)))
-
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, ROW)
-
-
-def _sum(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    context, word, count = (np.concatenate([h[i] for h in held]) for i in range(3))
-    order = np.lexsort((word, context))
-    context, word, count = context[order], word[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
-    return context[first], word[first], np.add.reduceat(count, first)
-
-
-def sum_pairs(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, words and counts of the distinct pairs of some lists, ascending; no more than these and a few lists are unpacked at once."""
-    held, n, distinct = [], 0, 0
-    for r in rows:
-        u, _, size, w, number, count = unpack(r["payload"])
-        held.append((np.repeat(u, size), w[number], count))
-        n += len(count)
-        if n > PENDING + 2 * distinct:
-            held = [_sum(held)]
-            n = distinct = len(held[0][2])
-    return _sum(held)
-
-
-def _words_of(rows: list[dict], bucket: int) -> Iterator[tuple]:
-    for r in rows:
-        yield _row(WORDS, bucket, r["part"], pack(*unpack(r["payload"])[:2]))
-
-
-def _answers(rows: list[dict], bucket: int, contexts: np.ndarray, words: np.ndarray, keys: np.ndarray, p: np.ndarray, back: np.ndarray) -> Iterator[tuple]:
-    """To each list what belongs to its pairs and its contexts, list by list."""
-    for r in rows:
-        u, _, size, w, number, _ = unpack(r["payload"])
-        u_at = np.searchsorted(contexts, u)
-        at = np.searchsorted(keys, np.repeat(u_at, size) * len(words) + np.searchsorted(words, w)[number])
-        yield _row(ANSWER, bucket, r["part"], pack(p[at], back[u_at]))
-
-
-def sum_lists(rows: list[dict], bucket: int, group: int) -> Iterator[tuple]:
-    """One list for a group of parts."""
-    c, w, count = sum_pairs(rows)
-    yield from _words_of(rows, bucket)
-    u, size = np.unique(c, return_counts=True)
-    own, number = np.unique(w, return_inverse=True)
-    yield _row(LIST, bucket, group, pack(u, np.zeros(len(u), dtype=np.int64), size, own, number, count))
-
-
-def pass_on(rows: list[dict], bucket: int) -> Iterator[tuple]:
-    """What a group was answered, to its parts."""
-    (answer,) = [unpack(r["payload"]) for r in rows if r["kind"] == ANSWER]
-    (u, _, size, words, number, _) = next(unpack(r["payload"]) for r in rows if r["kind"] == LIST)
-    keys = np.repeat(np.arange(len(u)), size) * len(words) + number
-    yield from _answers([r for r in rows if r["kind"] == PAIRS], bucket, u, words, keys, *answer)
-
-
-def seat_contexts(rows: list[dict], bucket: int, shift: int, seed: int) -> Iterator[tuple]:
-    """The restaurants of a bucket: answers for its lists, tables for the root."""
-    c, w, count = sum_pairs(rows)
-    contexts, where = np.unique(c, return_inverse=True)
-    words, dish = np.unique(w, return_inverse=True)
-    keys = where * len(words) + dish
-    del c, w
-    total = np.bincount(where, count, minlength=len(contexts))
-    seen = np.flatnonzero(count)
-    d = discount(count)
-    rng = np.random.default_rng([seed, bucket])
-    seats = Seats(count[seen], where[seen], len(contexts), d, STRENGTH, rng)
-    t_sum, place_sum = np.zeros(len(seen)), np.zeros(len(contexts))
-    for sweep in range(BURN_IN + SAMPLES):
-        tables = np.bincount(dish[seen], seats.t, minlength=len(words))
-        d0 = discount(tables)
-        n_known = max(1, int((tables > 0).sum()))
-        root = (np.maximum(tables - d0, 0) + (ROOT_STRENGTH + d0 * n_known) / (n_known + 1)) / (ROOT_STRENGTH + tables.sum())
-        seats.sweep(root[dish[seen]])
-        if sweep >= BURN_IN:
-            t_sum += seats.t
-            place_sum += seats.in_place
-    p = np.zeros(len(keys), dtype=np.float32)
-    p[seen] = (count[seen] - d * t_sum / SAMPLES) / (STRENGTH + total[where[seen]])
-    back = ((STRENGTH + d * place_sum / SAMPLES) / (STRENGTH + total)).astype(np.float32)
-    yield from _answers(rows, bucket, contexts, words, keys, p, back)
-    tables = np.bincount(dish[seen], seats.t, minlength=len(words)).astype(np.int64)
-    some = np.flatnonzero(tables)
-    if len(some):
-        of_word = (words[some] >> U(shift)).astype(np.int64)
-        for i, j in zip(*spans(of_word)):
-            yield _row(TABLES, int(of_word[i]), 0, pack(words[some[i:j]], tables[some[i:j]]))
-
-
-def seat_root(asked: list[dict], sent: list[dict], bucket: int, share: int, seed: int) -> Iterator[tuple]:
-    """The root's dishes of a bucket: answers for parts, and sums. ``share``: the number of such buckets."""
-    words_of = [(r["part"], *unpack(r["payload"])) for r in asked]
-    words, at = np.unique(np.concatenate([x[1] for x in words_of]), return_inverse=True)
-    count = np.bincount(at, np.concatenate([x[2] for x in words_of]), minlength=len(words)).astype(np.int64)
-    customers = np.zeros(len(words), dtype=np.int64)
-    for r in sent:
-        w, t = unpack(r["payload"])
-        np.add.at(customers, np.searchsorted(words, w), t)
-    seen = np.flatnonzero(customers)
-    t_mean = np.zeros(len(words))
-    if len(seen):
-        v = len(seen) * share
-        d = discount(customers)
-        seats = Seats(customers[seen], np.zeros(len(seen), dtype=np.int64), 1, d, ROOT_STRENGTH, np.random.default_rng([seed, bucket, 1]))
-        for sweep in range(BURN_IN + SAMPLES):
-            seats.in_place[:] = seats.t.sum() * share  # the root's tables, of which this bucket has its share
-            seats.sweep(np.full(len(seen), 1 / (v + 1)))
-            if sweep >= BURN_IN:
-                t_mean[seen] += seats.t / SAMPLES
-    i = 0
-    for part, w, _ in words_of:
-        own = at[i : i + len(w)]
-        yield _row(ROOT, bucket, part, pack(count[own], customers[own], t_mean[own].astype(np.float32)))
-        i += len(w)
-    yield _row(SUMS, bucket, 0, b"", int(count.sum()), int((count > 0).sum()), int(customers.sum()), float(t_mean.sum()), int((customers == 1).sum()), int((customers == 2).sum()))
-
-
-def add_up(rows: list[dict], sums: dict) -> pa.Table:
-    """The documents of a part."""
-    by: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["kind"], r["bucket"])):
-        by.setdefault(r["kind"], []).append(unpack(r["payload"]))
-    number, known, held, lens, tokens, (end, n_words) = by[PART][0]
-    context, key = pairs_of(tokens, lens, end, n_words)
-    keys, at = np.unique(key, return_inverse=True)
-    p, back = (np.concatenate([x[i] for x in by[ANSWER]]).astype(np.float64) for i in (0, 1))
-    c, n, t = (np.concatenate([x[i] for x in by[ROOT]]).astype(np.float64) for i in (0, 1, 2))
-    d, total, v = discount_of(sums["ones"], sums["twos"]), sums["customers"], sums["v"]
-    root = (np.where(n > 0, n - d * t, 0) + (ROOT_STRENGTH + d * sums["tables"]) / (v + 1)) / (ROOT_STRENGTH + total)
-    starts = np.cumsum(lens) - lens
-    score = np.add.reduceat(np.log10(p[at] + back[context] * root[tokens]), starts)
-    base = np.add.reduceat(np.log10((c + 1) / (sums["n"] + v + 1))[tokens], starts)
-    n_known = np.add.reduceat((c > 0).astype(np.int64)[tokens], starts)
-    return pa.table({
-        "id": pa.array(number, mask=known == 0), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(lens), "n_known": pa.array(n_known),
-        "train_tokens": pa.array(np.full(len(lens), sums["n"])), "base_score": pa.array(base), "score": pa.array(score),
-    })
-
-
-def release(df: DataFrame) -> None:
-    """Let Spark delete shuffle files that no DataFrame needs any more, before the next stage writes its own."""
-    for _ in range(2):  # the second round finds what the first has let go
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS, bucket_bytes: int = BUCKET_BYTES, seed: int = 7, lists: int = LISTS) -> DataFrame:
+            yield from send()
+
+    return docs.select("id", "text").mapInArrow(run, SENT)
+
+
+class Bucket:
+    """The messages to a bucket: its tokens as numbers of its words, and of the documents of all its messages."""
+
+    def __init__(self, table: pa.Table):
+        rows = table.select(["part", "payload"]).sort_by("part").to_pylist()
+        self.parts, self.meta, self.docs, held, local = [], [], [], [], []
+        for r in rows:
+            cut = 8 + int.from_bytes(r["payload"][:8], "little")
+            self.parts.append(r["part"])
+            self.meta.append(r["payload"][8:cut])
+            own, u, v, n, w, docs, out, of_doc = unpack(r["payload"][cut:])
+            r["payload"] = None
+            self.docs.append(np.cumsum(docs.astype(np.int64)))
+            held.append(out)
+            local.append((own, u, np.repeat(v, n), w, of_doc))
+        self.words, numbers = np.unique(np.concatenate([x[0] for x in local]), return_inverse=True)
+        numbers = numbers.astype(np.int32)
+        size = sum(len(x[3]) for x in local)
+        self.u, self.v, self.w, self.of_doc = (np.empty(size, dtype=np.int32) for _ in range(4))
+        at = token = self.n_docs = 0
+        for i, docs in enumerate(self.docs):
+            (own, *of), local[i] = local[i], None
+            to, number = token + len(of[3]), numbers[at : at + len(own)]
+            for x, y in zip((self.u, self.v, self.w), of):
+                x[token:to] = number[y]
+            self.of_doc[token:to] = of[3].astype(np.int32) + self.n_docs
+            at, token, self.n_docs = at + len(own), to, self.n_docs + len(docs)
+        self.learnt = (1 - np.concatenate(held))[self.of_doc]
+        self.followers = np.unique(self.w)
+
+    def contexts(self) -> Iterator[tuple[np.ndarray, Contexts]]:
+        """The contexts by some of the last words at a time, and the tokens' places."""
+        n = -(-len(self.w) // SEATED_TOKENS)
+        some = (scattered(self.words + U(2)) % U(n)).astype(np.int32)[self.v]
+        for k in range(n):
+            rows = np.flatnonzero(some == k)
+            if len(rows):
+                yield rows, Contexts(*(x[rows].astype(np.int64) for x in (self.u, self.v, self.w)), self.learnt[rows], len(self.words))
+
+    def asks(self, n_word_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words that follow a context, by the words' buckets: numbers in order, and the bucket of each."""
+        wb = (scattered(self.words[self.followers] + U(1)) % U(n_word_buckets)).astype(np.int64)
+        order = np.argsort(wb, kind="stable")
+        return self.followers[order], wb[order]
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS, bucket_tokens: int = BUCKET_TOKENS, class_tokens: int = CLASS_TOKENS, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 7) -> DataFrame:
     """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    size, n_docs = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.count(F.lit(1))).first()
-    size = size or 0
-    # no part but the last of a task is smaller; a token takes two bytes at least, but seldom less than six
-    n_parts = size // (6 * part_tokens) + n_docs // PART_DOCS + 1
-    groups = 1 if n_parts <= lists else max(-(-n_parts // lists), int(n_parts**0.5))
-    depth = max(3, int(-(-size // bucket_bytes) - 1).bit_length())
-    shift, share = BITS - depth, 1 << depth
-
-    names = [x.split()[0] for x in ROW.split(", ")]
-
-    def listed(table):
-        return table.select(["kind", "bucket", "part", "payload"]).to_pylist()
-
-    def contexts(key, table):
-        pairs = listed(table.filter(pc.equal(table.column("kind"), PAIRS)))
-        out = [*_words_of(pairs, pairs[0]["bucket"]), *seat_contexts(pairs, pairs[0]["bucket"], shift, seed)] if pairs else []
-        other = table.select(names).filter(pc.not_equal(table.column("kind"), PAIRS))
-        return pa.concat_tables([other, pa.Table.from_batches([_batch(out)])]).combine_chunks()
-
-    def grouped(key, table):
-        pairs = listed(table.filter(pc.equal(table.column("kind"), PAIRS)))
-        out = list(sum_lists(pairs, pairs[0]["bucket"], key[1].as_py())) if pairs else []
-        return pa.concat_tables([table.select(names), pa.Table.from_batches([_batch(out)])]).combine_chunks()
-
-    def seats(key, table):
-        return pa.Table.from_batches([_batch(list(seat_contexts(listed(table), key[0].as_py(), shift, seed)))])
-
-    def passed(key, table):
-        return pa.Table.from_batches([_batch(list(pass_on(listed(table), key[0].as_py())))])
-
-    def roots(key, table):
-        rows = table.select(["kind", "bucket", "part", "payload"]).to_pylist()
-        asked, sent = [r for r in rows if r["kind"] == WORDS], [r for r in rows if r["kind"] == TABLES]
-        return pa.Table.from_batches([_batch(list(seat_root(asked, sent, asked[0]["bucket"], share, seed)))])
-
-    # a part's own row travels with some bucket, whichever, so that one pass over the texts is enough
-    sent = tokenised(docs, id_col, text_col, shift, part_tokens).withColumn("to", F.col("bucket") % share)
-    group = F.pmod("part", F.lit(groups))
-    if groups == 1:
-        seated = saved(sent.groupBy("to").applyInArrow(contexts, ROW), "hpylm-contexts")
-    else:
-        summed = saved(sent.withColumn("group", group).groupBy("to", "group").applyInArrow(grouped, ROW), "hpylm-lists")
-        release(docs)
-        answered = saved(summed.filter(F.col("kind") == LIST).groupBy("bucket").applyInArrow(seats, ROW), "hpylm-contexts")
-        asked = summed.filter(F.col("kind").isin(PAIRS, LIST)).unionByName(answered.filter(F.col("kind") == ANSWER))
-        own = saved(asked.withColumn("group", group).groupBy("bucket", "group").applyInArrow(passed, ROW), "hpylm-answers")
-        seated = summed.filter(F.col("kind").isin(PART, WORDS)).unionByName(answered.filter(F.col("kind") == TABLES)).unionByName(own)
-    del sent
-    release(docs)
-    rooted = saved(seated.filter(F.col("kind").isin(WORDS, TABLES)).groupBy("bucket").applyInArrow(roots, ROW), "hpylm-root")
-    release(docs)
-    sums = rooted.filter(F.col("kind") == SUMS).agg(*[F.sum(x).alias(x) for x in ("n", "v", "customers", "tables", "ones", "twos")]).first().asDict()
-    sums = {k: v or 0 for k, v in sums.items()}
-
-    def finish(key, table):
-        return add_up(table.select(["kind", "bucket", "payload"]).to_pylist(), sums)
-
-    rows = seated.filter(F.col("kind").isin(PART, ANSWER)).unionByName(rooted.filter(F.col("kind") == ROOT))
-    return rows.groupBy("part").applyInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counts = frequent_words(docs, class_tokens / 2 / max(1, size // 6))
+    total = (counts.filter("hash = -1").agg(F.sum("n")).first() or [0])[0] or 1
+    most = counts.filter(F.col("hash") >= 0).filter(F.col("n") > class_tokens).orderBy(F.desc("n"), "hash").limit(FREQUENT_WORDS).toArrow().sort_by("hash")
+    frequent = most["hash"].to_numpy().astype(U), (-(-most["n"].to_numpy() // class_tokens)).astype(U)
+    # a small corpus is dealt to all cores
+    n_buckets = max(-(-total // bucket_tokens), min(-(-total // SEATED_TOKENS), docs.sparkSession.sparkContext.defaultParallelism))
+    n_word_buckets = -(-n_buckets // 2)
+    messages = sent(docs, frequent, n_buckets, part_tokens)
+
+    def seat(key, table):
+        bucket = Bucket(table)
+        tables = np.zeros(len(bucket.words), dtype=np.int64)
+        for k, (_, contexts) in enumerate(bucket.contexts()):
+            tables += contexts.sample(None, [seed, key[0].as_py(), k], burn_in, 0, len(bucket.words))[1]
+        seen = np.bincount(bucket.w, bucket.learnt, minlength=len(bucket.words)).astype(np.int64)
+        asked, wb = bucket.asks(n_word_buckets)
+        cuts = np.searchsorted(wb, np.arange(n_word_buckets + 1))
+        rows = []
+        for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):  # each words' bucket is asked: its sums are needed
+            rows.append((k, key[0].as_py(), pack(bucket.words[asked[i:j]], tables[asked[i:j]], seen[asked[i:j]])))
+        return _rows(["wb", "bucket", "payload"], [pa.int64(), pa.int64(), pa.binary()], rows)
+
+    def seat_root(key, table):
+        rows = table.select(["bucket", "payload"]).sort_by("bucket").to_pylist()
+        got = [unpack(r["payload"]) for r in rows]
+        words, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        customers, seen = (np.bincount(at, np.concatenate([g[i] for g in got]), minlength=len(words)).astype(np.int64) for i in (1, 2))
+        d, strength = DISCOUNTS[0], STRENGTHS[0]
+        seats = Seats(customers, np.zeros(len(words), dtype=np.int64), 1, d, strength, np.random.default_rng([seed, key[0].as_py(), 1]))
+        base = np.full(len(words), 1 / (max(1, int((seen > 0).sum())) * n_word_buckets + 1))
+        mean = np.zeros(len(words))
+        for sweep in range(burn_in + samples):
+            seats.tables[:] = seats.t.sum() * n_word_buckets  # the root's tables, of which this bucket has its share
+            seats.sweep(base)
+            if sweep >= burn_in:
+                mean += seats.t / samples
+        weight = np.maximum(customers - d * mean, 0).astype(np.float32)
+        sums = int(seen.sum()), int((seen > 0).sum()), int(customers.sum()), float(mean.sum())
+        out, i = [], 0
+        for r, g in zip(rows, got):
+            own = at[i : i + len(g[0])]
+            out.append((r["bucket"], key[0].as_py(), pack(weight[own], seen[own]), *sums))
+            i += len(g[0])
+        return _rows([x.split()[0] for x in ROOT.split(", ")], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()], out)
+
+    def finish(key, table, answers):
+        bucket = Bucket(table)
+        rows = answers.sort_by("wb").to_pylist()
+        n, v, customers, tables = (sum(r[x] for r in rows) for x in ("n", "v", "customers", "tables"))
+        got = [unpack(r["payload"]) for r in rows]
+        asked, _ = bucket.asks(n_word_buckets)
+        d, strength = DISCOUNTS[0], STRENGTHS[0]
+        root, seen = np.zeros(len(bucket.words)), np.zeros(len(bucket.words), dtype=np.int64)
+        root[asked] = np.concatenate([g[0] for g in got])
+        seen[asked] = np.concatenate([g[1] for g in got])
+        root = (root + (strength + d * tables) / (v + 1)) / (strength + customers)
+        own = np.zeros(bucket.n_docs)
+        for k, (at, contexts) in enumerate(bucket.contexts()):
+            p, _ = contexts.sample(root, [seed, key[0].as_py(), k, 1], burn_in, samples, len(bucket.words))
+            own += np.bincount(bucket.of_doc[at], np.log10(p)[contexts.of_token], minlength=bucket.n_docs)
+        base = np.bincount(bucket.of_doc, np.log10((seen + 1) / (n + v + 1))[bucket.w], minlength=bucket.n_docs)
+        known = np.bincount(bucket.of_doc, seen[bucket.w] > 0, minlength=bucket.n_docs).astype(np.int64)
+        out, at = [], 0
+        for part, meta, docs in zip(bucket.parts, bucket.meta, bucket.docs):
+            to = at + len(docs)
+            out.append((part, n, meta, pack(np.diff(docs, prepend=0), fixed(own[at:to]), fixed(base[at:to]), known[at:to])))
+            at = to
+        return _rows(["part", "n", "meta", "payload"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], out)
+
+    def add_up(key, table):
+        rows = table.select(["n", "meta", "payload"]).to_pylist()
+        ids, known, lens = unpack(next(r["meta"] for r in rows if r["meta"]))
+        sums = np.zeros((3, len(ids)))
+        for r in sorted(rows, key=lambda r: r["payload"]):  # whatever order they come in, the sums are the same
+            docs, *values = unpack(r["payload"])
+            docs = np.cumsum(docs.astype(np.int64))
+            for total, x in zip(sums, values):
+                total[docs] += x
+        sums[:2] /= -FIXED
+        ids, mask = ids.astype(np.int64), known == 0
+        held = [is_held_out(None if m else i) for i, m in zip(ids.tolist(), mask.tolist())]
+        return pa.table({
+            "id": pa.array(ids, mask=mask), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(lens.astype(np.int64)), "n_known": pa.array(sums[2].astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(ids), rows[0]["n"], dtype=np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0]),
+        })
+
+    asked = messages.groupBy("bucket").applyInArrow(seat, ASKED)
+    answers = asked.groupBy("wb").applyInArrow(seat_root, ROOT)
+    summed = messages.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(finish, "part long, n long, meta binary, payload binary")
+    return summed.groupBy("part").applyInArrow(add_up, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

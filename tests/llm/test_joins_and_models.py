@@ -96,35 +96,118 @@ def test_equal_parts_stay_apart(spark):
         assert np.ptp([r.score for r in got if r.id == i]) < 1e-9
 
 
-def test_hot_context_is_summed_by_groups_of_parts(spark):
-    """A word that all parts share: lists of groups rather than of parts reach its bucket, and no score changes."""
+class PlainModel:
+    """The same hierarchy with tables kept one by one, and customers moved one by one through all levels."""
+
+    def __init__(self, triples, n_words, rng):
+        self.rng, self.n_words, self.seats = rng, n_words, {}
+        self.triples = triples
+        for key, w in triples:
+            self.add(key, w)
+
+    def p(self, key, w):
+        if key is None:
+            return 1 / (self.n_words + 1)
+        d, s = hpylm.DISCOUNTS[len(key)], hpylm.STRENGTHS[len(key)]
+        dishes = self.seats.get(key, {})
+        tables, n = sum(len(x) for x in dishes.values()), sum(sum(x) for x in dishes.values())
+        own = dishes.get(w, [])
+        return (sum(own) - d * len(own) + (s + d * tables) * self.p(key[1:] if key else None, w)) / (s + n)
+
+    def add(self, key, w):
+        if key is None:
+            return
+        d, s = hpylm.DISCOUNTS[len(key)], hpylm.STRENGTHS[len(key)]
+        dishes = self.seats.setdefault(key, {})
+        own, up = dishes.setdefault(w, []), key[1:] if key else None
+        tables = sum(len(x) for x in dishes.values())
+        x = self.rng.random() * (sum(own) - d * len(own) + (s + d * tables) * self.p(up, w))
+        for i, n in enumerate(own):
+            x -= n - d
+            if x < 0:
+                own[i] += 1
+                return
+        own.append(1)
+        self.add(up, w)
+
+    def remove(self, key, w):
+        if key is None:
+            return
+        own = self.seats[key][w]
+        i = self.rng.choices(range(len(own)), own)[0]
+        own[i] -= 1
+        if not own[i]:
+            del own[i]
+            self.remove(key[1:] if key else None, w)
+
+    def sweep(self):
+        for key, w in self.triples:
+            self.remove(key, w)
+            self.add(key, w)
+
+
+def test_score_against_customers_moved_one_by_one(spark):
+    rng = random.Random(6)
+    pool = [f"w{int(rng.paretovariate(0.9)) % 30}" for _ in range(3000)]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(3, 25))) for _ in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r for r in hpylm.score(docs, part_tokens=300, burn_in=20, samples=60).collect()}
+
+    def triples(t):
+        x = [b" ", b" ", *t.encode().split(), b" "]
+        return [((x[i - 2], x[i - 1]), x[i]) for i in range(2, len(x))]
+
+    learnt = [y for i, t in enumerate(texts) if not hpylm.is_held_out(i) for y in triples(t)]
+    model = PlainModel(learnt, len({w for _, w in learnt}), rng)
+    total = {i: np.zeros(len(triples(t))) for i, t in enumerate(texts)}
+    for sweep in range(80):
+        model.sweep()
+        if sweep >= 20:
+            for i, t in enumerate(texts):
+                total[i] += [model.p(*y) / 60 for y in triples(t)]
+    want = {i: float(np.log10(x).sum()) for i, x in total.items()}
+    for some in ([i for i in want if hpylm.is_held_out(i)], [i for i in want if not hpylm.is_held_out(i)]):
+        a, b = (sum(s[i] for i in some) for s in ({i: r.score for i, r in got.items()}, want))
+        assert abs(a - b) < 0.02 * abs(b)
+        assert all(abs(got[i].score - want[i]) < 0.03 * len(total[i]) for i in some)
+
+
+def test_probabilities_of_the_model_sum_to_one():
+    rng = np.random.default_rng(5)
+    u, v, w = rng.integers(0, 12, (3, 900))
+    w[:12] = np.arange(12)
+    asked = np.concatenate([w, np.arange(12)])  # each word once more after one context, not learnt
+    learnt = np.concatenate([np.ones(900, dtype=np.int64), np.zeros(12, dtype=np.int64)])
+    found = hpylm.Contexts(np.concatenate([u, np.full(12, u[0])]), np.concatenate([v, np.full(12, v[0])]), asked, learnt, 12)
+    root = rng.random(12)
+    p, _ = found.sample(root / root.sum(), [1], 3, 5, 12)
+    assert abs(p[found.of_token[-12:]].sum() - 1) < 1e-9
+
+
+def test_frequent_words_over_several_buckets(spark):
+    """A word that stands in every other place; parts, buckets and partitions of any size give the same counts."""
     rng = random.Random(9)
     texts = [" ".join(x for w in words(rng, 12) for x in ("hot", w)) for _ in range(120)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
-    want = {r.id: r.score for r in hpylm.score(docs, part_tokens=50).collect()}
-    got = {r.id: r.score for r in hpylm.score(docs, part_tokens=50, lists=4).collect()}
-    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.id: r for r in hpylm.score(docs).collect()}
+    got = {r.id: r for r in hpylm.score(docs.repartition(5), part_tokens=90, bucket_tokens=300, class_tokens=100).collect()}
+    assert all((got[i].n_known, got[i].n_tokens) == (want[i].n_known, want[i].n_tokens) and abs(got[i].base_score - want[i].base_score) < 1e-4 for i in want)
+    assert abs(sum(r.score for r in got.values()) / sum(r.score for r in want.values()) - 1) < 0.06
 
 
-def test_lists_are_summed_a_few_at_a_time(monkeypatch):
-    monkeypatch.setattr(hpylm, "PENDING", 10)
-    seen, real = [], hpylm._sum
-    monkeypatch.setattr(hpylm, "_sum", lambda held: seen.append(sum(len(h[2]) for h in held)) or real(held))
-    one = np.arange(1, 6)
-    payload = hpylm.pack(np.array([7], dtype=np.uint64), np.array([15]), np.array([5]), one.astype(np.uint64), np.arange(5), one)
-    c, w, count = hpylm.sum_pairs([{"payload": payload}] * 400)
-    assert max(seen) <= 30 and c.tolist() == [7] * 5 and w.tolist() == one.tolist() and count.tolist() == (400 * one).tolist()
-
-
-def test_restaurant_probabilities_sum_to_one():
+def test_seats_stay_possible():
     rng = np.random.default_rng(1)
-    c = np.array([1, 2, 3, 30, 500])
-    seats = hpylm.Seats(c, np.zeros(5, dtype=np.int64), 1, 0.6, 1.0, rng)
+    c = np.array([1, 2, 3, 30, 500, 5000, 100_000])
+    seats = hpylm.Seats(c.copy(), np.zeros(7, dtype=np.int64), 1, 0.6, 1.0, rng)
     for _ in range(4):
-        seats.sweep(np.full(5, 0.1))
-        assert (seats.t >= 1).all() and (seats.t <= c).all() and seats.in_place[0] == seats.t.sum()
-    alone = hpylm.alone_table(0.6)
-    assert alone[2, 2] == 1 and abs(alone[3, 1]) < 1e-12 and (alone <= 1 + 1e-9).all()
+        seats.sweep(np.full(7, 0.1))
+        assert (seats.t >= 1).all() and (seats.t <= c).all() and seats.tables[0] == seats.t.sum()
+    seats.become(np.array([0, 4, 1, 40, 400, 5001, 99_990]), np.full(7, 0.1))
+    assert seats.t[0] == 0 and (seats.t[1:] >= 1).all() and seats.customers[0] == seats.c.sum() and seats.tables[0] == seats.t.sum()
+    exact = hpylm.stirling_ratios(0.6, 1024)
+    assert exact[2, 2] == 1 and abs(exact[3, 1]) < 1e-6
+    t = np.array([2, 10, 40, 100, 300, 800])
+    assert np.allclose(hpylm.limit_ratios(np.full(6, 1024), t, 0.6), exact[1024, t], rtol=0.03)
 
 
 def test_mixing_gives_one_pass_at_least(spark):
