@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.mix(table(spark, sf_dir, "documents"))
+    drawn = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return drawn.select(F.col("row.doc_id").alias("doc_id"), "source", "n_tokens", "block", "pass", F.round("weight", 6).alias("weight"))
 
 
