@@ -1,178 +1,209 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine of the whole texts.
 
-Terms are runs of letters of the lower-cased text, known by 63-bit hashes. All
-terms count: document frequencies are those over all documents, and a text's
-norm is that of all its terms. Labelled examples (at most ``max_examples``,
-chosen by a hash of their id) are indexed over all their terms.
-
-A text's terms are taken from the rarest to the most common. Before the common
-ones, whose lists are long, an upper bound on what they can add tells which
-examples can still be among the k best; if these are few, they alone are scored
-in full. The neighbours vote with weights that fall with their distance; the
-share of votes, drawn towards the base rate, is the score, and the neighbours
-are its evidence.
+Terms are runs of three bytes of the lower-cased text, in which each run of
+ASCII characters other than letters is one blank: insults are found inside of
+other words and behind decorations, and there are 2^24 terms at most. A term
+weighs (1 + ln n) ln((N + 1) / (df + 0.5)); the document frequencies are those
+over all documents, and a text's norm is that of all its terms. Labelled
+examples (at most ``max_examples``, chosen by a hash of their id) are indexed
+over all their terms.
+
+The index holds posting lists: the examples are dealt into blocks, and a block
+has for each term its examples and weights, and their maximum. A batch of texts
+asks all blocks for a bound (the sum of weights times maxima) and goes to the
+blocks in the order of their bounds; a text leaves out a block whose bound is
+below its k-th best cosine so far. The cosines are exact. Examples of the same
+most frequent term stand together, which keeps languages apart and bounds low.
+
+The neighbours vote with weights that fall with their distance. The share of
+votes is calibrated on the examples themselves, each without its own vote, by
+isotonic regression; the nearest neighbours are the evidence.
 
 Scale: examples are a bounded sample (a documented parameter), all else covers
-all rows; the index is broadcast, bounded by that sample. Terms that no example
-holds change no order, only a text's norm: their frequencies stay a table, and
-meet the terms of the texts in a join.
+all rows. The index and the frequencies are broadcast; both have a fixed bound.
 
 Defined results
-- Null and empty texts hold no terms, and get the rate of the label among such examples. Rows with a null id are never examples and never held out.
-- A document is never its own neighbour. Of rows of labels that repeat an id the largest label counts; null labels don't.
+- Null and empty texts hold no terms, and get the base rate of the label. Rows with a null id are never examples and never held out.
+- A document is never its own neighbour. Of rows of labels that repeat an id the largest label counts; null labels don't. Of documents that repeat an example's id the least text is the example.
 - Without any example the score is 0. Rows that repeat get the same result each. Extra columns are left out.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved
+MAX_EXAMPLES = 4_000
+NEIGHBOURS, EVIDENCE = 60, 10
+#: Examples of a block, texts and bytes of text that are searched in one go.
+BLOCK, BATCH, BATCH_BYTES = 128, 256, 1 << 21
+TERMS = 1 << 24
+LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
-MAX_EXAMPLES = 20_000
-NEIGHBOURS = 15
-#: Lists longer than this are common; so many examples are scored one by one rather than by the common lists.
-COMMON, FEW = 512, 128
-LETTERS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 500_000
 
+def plain(text: str | None) -> bytes:
+    """The letters of a text: lower case, single blanks between words and at both ends."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split() if text else []
+    return b" " + b" ".join(words) + b" " if words else b""
 
-class Terms:
-    """Finds terms in texts; remembers what runs without white space hold."""
 
-    def __init__(self, known: dict[str, int] | None):
-        self.known = known
-        self.seen: dict[str, tuple] = {}
+def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, term and count of the distinct terms of each text, in order."""
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
+    if not len(raw):
+        return (np.empty(0, dtype=np.int64),) * 3
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    key = (owner[:-2] << 24) | (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+    key = np.sort(key[owner[:-2] == owner[2:]])
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first] >> 24, key[first] & (TERMS - 1), np.diff(np.append(first, len(key)))
 
-    def of(self, chunk: str) -> tuple:
-        words = LETTERS.findall(chunk)
-        return tuple(words) if self.known is None else tuple(self.known[w] for w in words if w in self.known)
 
-    def count(self, text: str | None) -> Counter:
-        if not text:
-            return Counter()
-        chunks = text.lower().split()
-        found = list(map(self.seen.get, chunks))
-        if None in found:
-            if len(self.seen) > REMEMBERED:
-                self.seen = {}
-            for i, got in enumerate(found):
-                if got is None:
-                    c = chunks[i]
-                    found[i] = self.seen[c] = self.of(c)
-        return Counter([t for got in found if got for t in got])
+def in_batches(texts: list) -> Iterator[tuple[int, list[bytes]]]:
+    """Numbers of the first texts, and texts ready to be counted, bounded in number and bytes."""
+    held, size, at = [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(plain(t))
+        size += len(held[-1])
+        if len(held) == BATCH or size > BATCH_BYTES:
+            yield at, held
+            held, size, at = [], 0, i + 1
+    if held:
+        yield at, held
 
 
-class Hashes(Terms):
-    """Terms as hashes, whether known or not."""
-
-    def __init__(self):
-        super().__init__(None)
-
-    def of(self, chunk: str) -> tuple:
-        return tuple(hash_of(w) for w in LETTERS.findall(chunk))
-
-
-def hash_of(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+def starts_of(groups: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(groups, np.arange(n + 1))
 
 
 @dataclass
 class Index:
-    """Examples as rows of (term, weight), unit length, and the same by term; ``keys`` are the hashes of the terms, ascending."""
+    """Frequencies of all terms, and the examples' posting lists: postings in the order of block, term, example."""
 
-    #: (hash, term) of the terms of the examples
-    words: DataFrame | None
-    keys: np.ndarray
-    idf: np.ndarray
+    n_docs: int
+    terms: np.ndarray
+    df: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    starts: np.ndarray
-    cols: np.ndarray
-    vals: np.ndarray
-    n_docs: int
-    empty_rate: float
-    base_rate: float
-    #: (hash, df) of all terms that no example holds
-    rest: DataFrame | None
+    size: int = BLOCK
+    block: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    #: Of each list (a term in a block): its term's number, where its postings begin, and its maximum.
+    list_term: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int32))
+    list_start: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    list_top: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.float32))
+    row: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int32))
+    weight: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.float32))
+    #: Calibration: votes, ascending, and the rate of the label there.
+    votes: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    rates: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     @property
-    def terms(self) -> dict[str, int]:
-        """The numbers of the terms, for a look at a small index; nothing else holds the words."""
-        return {r["term"]: int(np.searchsorted(self.keys, r["hash"])) for r in self.words.collect()}
-
-    def invert(self) -> None:
-        order = np.argsort(self.cols, kind="stable")
-        self.by_row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))[order]
-        self.by_val = self.vals[order].astype(np.float32)
-        self.by_start = np.searchsorted(self.cols[order], np.arange(len(self.idf) + 1))
-        self.top = np.zeros(len(self.idf))
-        np.maximum.at(self.top, self.cols, self.vals)
-        self.query = np.zeros(len(self.idf))
-
-    def split(self, counts: Counter) -> tuple[Counter, dict[int, int]]:
-        """Counts of hashes as those of the index's terms, and the others."""
-        found = np.fromiter(counts, dtype=np.int64, count=len(counts))
-        at = np.searchsorted(self.keys, found)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == found if len(self.keys) else np.zeros(len(found), dtype=bool)
-        n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-        return Counter(dict(zip(at[known].tolist(), n[known].tolist()))), dict(zip(found[~known].tolist(), n[~known].tolist()))
-
-    def weights(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), dtype=np.int64)
-        return terms, np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
-
-    def weigh(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        terms, w = self.weights(counts)
-        norm = math.sqrt(float((w * w).sum()))
-        return terms, w / norm if norm else w
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and products with ``w`` of the k nearest examples (above 0), best first; ties to the earlier row."""
-        if not hasattr(self, "by_row"):
-            self.invert()
-        size = self.by_start[terms + 1] - self.by_start[terms]
-        order = np.argsort(size, kind="stable")
-        rare = int(np.searchsorted(size[order], COMMON, side="right"))
-        total = np.zeros(len(self.ids))
-        mine = self.ids == own if own is not None else np.zeros(len(self.ids), dtype=bool)
-
-        def add(some: np.ndarray) -> None:
-            for t, x in zip(terms[some].tolist(), w[some].tolist()):
-                i, j = self.by_start[t], self.by_start[t + 1]
-                total[self.by_row[i:j]] += x * self.by_val[i:j]
-
-        def open_rows(more: float) -> np.ndarray:
-            """Rows that can be among the k best; ``more`` is the most that is still to come, besides rounding."""
-            reached = total[~mine]
-            least = np.partition(reached, -k)[-k] if len(reached) >= k else 0.0
-            return np.flatnonzero((total + more >= least * (1 - 1e-5)) & (total + more > 0) & ~mine)
-
-        add(order[:rare])
-        some = open_rows(float((w[order[rare:]] * self.top[terms[order[rare:]]]).sum()) * (1 + 1e-5))
-        if len(some) > FEW:
-            add(order[rare:])
-            some = open_rows(0.0)
-        self.query[terms] = w
-        lo, hi = self.starts[some], self.starts[some + 1]
-        flat = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum())) if len(some) else np.empty(0, dtype=np.int64)
-        part = np.bincount(np.repeat(np.arange(len(some)), hi - lo), self.query[self.cols[flat]] * self.vals[flat], minlength=len(some))
-        self.query[terms] = 0
-        good = part > 1e-12
-        rows, scores = some[good], part[good]
-        best = np.lexsort((rows, -scores))[:k]
-        return rows[best], scores[best]
+    def base_rate(self) -> float:
+        return float(self.labels.mean()) if len(self.labels) else 0.0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("number", "idf")}
+
+    def weights(self, text: np.ndarray, term: np.ndarray, n: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term's number and weight in a vector of length 1, from text, term and count."""
+        if not hasattr(self, "number"):
+            self.number = np.zeros(TERMS, dtype=np.int32)  # only the pages of known terms are ever touched
+            self.number[self.terms] = np.arange(len(self.terms))
+            self.idf = np.log((self.n_docs + 1) / (self.df + 0.5))
+        term = self.number[term]
+        w = (1 + np.log(n)) * self.idf[term]
+        norm = np.sqrt(np.bincount(text, w * w, minlength=n_texts))
+        return text, term, (w / np.where(norm > 0, norm, 1)[text]).astype(np.float32)
+
+    def invert(self, text: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
+        """Make the lists from the counts of the examples, which are in the order of ids and labels."""
+        n_texts = len(self.ids)
+        text, term, w = self.weights(text, term, n, n_texts)
+        # examples of the same most frequent term stand together
+        first = np.zeros(n_texts, dtype=np.int64)
+        order = np.lexsort((term, n, text))
+        first[text[order]] = term[order]
+        place = np.empty(n_texts, dtype=np.int64)
+        by_first = np.lexsort((self.ids, np.bincount(text, minlength=n_texts), first))
+        place[by_first] = np.arange(n_texts)
+        self.ids, self.labels = self.ids[by_first], self.labels[by_first]
+        row = place[text]
+        order = np.lexsort((row, term, row // self.size))
+        row, term, w = row[order], term[order], w[order]
+        block = row // self.size
+        begin = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.empty(0, dtype=np.int64)
+        self.row, self.weight = (row % self.size).astype(np.int32), w
+        self.list_term, self.list_start = term[begin].astype(np.int32), np.append(begin, len(row))
+        self.list_top = np.maximum.reduceat(w, begin) if len(begin) else np.empty(0, dtype=np.float32)
+        self.block = starts_of(block[begin], -(-n_texts // self.size))
+
+    def cosines(self, texts: list[bytes], own: list, k: int) -> np.ndarray:
+        """Cosines of the texts with all examples; -1 where a bound shows that one is not among the k best."""
+        out = np.full((len(texts), len(self.ids)), -1.0, dtype=np.float32)
+        text, term, w = self.weights(*counted(texts), len(texts))
+        if not len(text) or not len(self.ids):
+            return out
+        used, column = np.unique(term, return_inverse=True)
+        asked = np.zeros((len(texts), len(used)), dtype=np.float32)
+        asked[text, column] = w
+        where = np.full(len(self.terms), -1, dtype=np.int32)
+        where[used] = np.arange(len(used))
+        n_blocks = len(self.block) - 1
+        tops = np.zeros((len(used), n_blocks), dtype=np.float32)
+        of_list = where[self.list_term]
+        of_block = np.repeat(np.arange(n_blocks), np.diff(self.block))
+        tops[of_list[of_list >= 0], of_block[of_list >= 0]] = self.list_top[of_list >= 0]
+        bounds = asked @ tops * (1 + 1e-5)
+        mine = {i: np.flatnonzero(self.ids == i) for i in set(own) if i is not None}
+        best = np.full((len(texts), k), -1.0, dtype=np.float32)
+        for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
+            open_ = np.flatnonzero(bounds[:, b] >= best.min(axis=1))
+            if not len(open_):
+                continue
+            lists = slice(self.block[b], self.block[b + 1])
+            posts = slice(self.list_start[self.block[b]], self.list_start[self.block[b + 1]])
+            at = np.repeat(of_list[lists], np.diff(self.list_start[self.block[b] : self.block[b + 1] + 1]))
+            size = min(self.size, len(self.ids) - b * self.size)
+            held = np.zeros((len(used), size), dtype=np.float32)
+            held[at[at >= 0], self.row[posts][at >= 0]] = self.weight[posts][at >= 0]
+            got = asked[open_] @ held
+            for r, i in enumerate(open_.tolist()):
+                rows = mine.get(own[i], ())
+                if len(rows):
+                    got[r, rows[(rows >= b * self.size) & (rows < b * self.size + size)] - b * self.size] = -1
+            out[open_, b * self.size : b * self.size + size] = got
+            both = np.concatenate([best[open_], got], axis=1)
+            best[open_] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+        return out
+
+    def nearest(self, texts: list[bytes], own: list, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the rows and cosines (above 0) of the k nearest examples, best first; ties to the earlier row."""
+        for got in self.cosines(texts, own, k):
+            least = np.partition(got, len(got) - k)[len(got) - k] if len(got) > k else 0.0
+            rows = np.flatnonzero(got >= max(least, 1e-7))
+            rows = rows[np.argsort(-got[rows], kind="stable")][:k]
+            yield rows, np.minimum(got[rows].astype(float), 1.0)
+
+    def vote(self, rows: np.ndarray, cosine: np.ndarray) -> float:
+        """The share of the label among the neighbours, by weights that fall with the distance, drawn towards the base rate."""
+        w = 1 / (1.05 - cosine)
+        return float(((w * self.labels[rows]).sum() + 0.5 * self.base_rate) / (w.sum() + 0.5))
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Isotonic regression of the labels on the votes: neighbouring blocks are pooled until rates rise."""
+        pools: list[list[float]] = []
+        for v, y in sorted(zip(votes.tolist(), labels.tolist())):
+            pools.append([v, y, 1.0])
+            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+                v, y, n = pools.pop()
+                pools[-1] = [pools[-1][0] + v, pools[-1][1] + y, pools[-1][2] + n]
+        self.votes = np.array([v / n for v, _, n in pools] or [0.0])
+        self.rates = np.array([(y + self.base_rate) / (n + 1) for _, y, n in pools] or [0.0])
 
 
 def held_out(id_col: Column, parts: int = 5) -> Column:
@@ -182,113 +213,87 @@ def held_out(id_col: Column, parts: int = 5) -> Column:
 def examples(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """id and label of the rows to learn from: a sample of fixed size, by a hash of the id."""
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    rows = rows.groupBy(F.col(id_col).alias("ex_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
+    rows = rows.groupBy(F.col(id_col).cast("long").alias("ex_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     return rows.orderBy(F.md5(F.col("ex_id").cast("string")), "ex_id").limit(max_examples)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Index:
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame(examples(labels, id_col, label_col, max_examples).collect(), "ex_id long, label int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("ex_id")).select("id", "label", "text")
+def frequencies(texts: DataFrame) -> DataFrame:
+    """``term`` and ``df`` over all rows; the number of rows under term -1."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Terms(None)
-        for batch in batches:
-            found = sorted({w for text in batch.column(2).to_pylist() for w in find.count(text)})
-            yield pa.RecordBatch.from_arrays([pa.array([hash_of(w) for w in found], pa.int64()), pa.array(found, pa.string())], names=["hash", "term"])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Hashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(TERMS, dtype=np.int64), 0
         for batch in batches:
-            got = [sorted(find.count(t).items()) for t in batch.column(2).to_pylist()]
-            packed = [pa.array([np.array([x[i] for x in g], dtype=np.int64).tobytes() for g in got], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], names=["id", "label", "terms", "counts"])
+            n += batch.num_rows
+            for _, texts in in_batches(batch.column(0).to_pylist()):
+                _, term, _ = counted(texts)
+                found, times = np.unique(term, return_counts=True)
+                df[found] += times
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(df[found], n))], names=["term", "df"])
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, df, n = Hashes(), Counter(), 0
+    return texts.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
-        def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], names=["hash", "df"])
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, block: int = BLOCK) -> Index:
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(examples(labels, id_col, label_col, max_examples).collect(), "ex_id long, label int")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("ex_id")).groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    found = frequencies(texts).toArrow().sort_by("term")
+    terms, df = found["term"].to_numpy(), found["df"].to_numpy()
+    n_docs = int(df[terms < 0].sum())
+    terms, df = terms[terms >= 0], df[found["term"].to_numpy() >= 0]
+
+    def plain_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                df.update(find.count(text).keys())
-                n += 1
-                if len(df) > REMEMBERED:
-                    yield sent()
-                    df = Counter()
-        df[-1] = n  # no term's hash
-        yield sent()
-
-    known = saved(sample.mapInArrow(words, "hash long, term string").groupBy("hash").agg(F.min("term").alias("term")), "toxicity-terms")
-    df = saved(texts.mapInArrow(frequencies, "hash long, df long").groupBy("hash").agg(F.sum("df").alias("df")), "toxicity-df")
-    n_docs = (df.filter("hash = -1").agg(F.sum("df")).first() or [0])[0] or 0
-    table = known.join(df, "hash").select("hash", "df").toArrow().sort_by("hash")
-    keys = table["hash"].to_numpy()
-    idf = np.log((n_docs + 1) / (table["df"].to_numpy() + 0.5))
-
-    table = sample.mapInArrow(vectors, "id long, label int, terms binary, counts binary").toArrow()
-    rows = table.to_pylist()
-    del table
-    rest = df.filter("hash >= 0").join(known.select("hash"), "hash", "left_anti")
-    with_terms = sorted((r for r in rows if r["terms"]), key=lambda r: (r["id"], bytes(r["terms"]), bytes(r["counts"])))
-    without = [r["label"] for r in rows if not r["terms"]]
-    total, positive = len(rows), sum(r["label"] for r in rows)
-    index = Index(known, keys, idf, np.array([r["id"] for r in with_terms], dtype=np.int64), np.array([r["label"] for r in with_terms], dtype=float), np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0), n_docs, 0.0, 0.0, rest)
-    if with_terms:
-        index.starts = np.concatenate([[0], np.cumsum([len(r["terms"]) // 8 for r in with_terms])])
-        index.cols = np.concatenate([np.searchsorted(keys, np.frombuffer(r["terms"], dtype=np.int64)).astype(np.int32) for r in with_terms])
-        index.vals = np.empty(len(index.cols))
-        for r, i, j in zip(with_terms, index.starts[:-1].tolist(), index.starts[1:].tolist()):
-            w = (1 + np.log(np.frombuffer(r["counts"], dtype=np.int64))) * idf[index.cols[i:j]]
-            index.vals[i:j] = w / (math.sqrt(float((w * w).sum())) or 1.0)
-        index.base_rate = float(index.labels.mean())
-    index.empty_rate = (sum(without) + 0.5 * positive / total) / (len(without) + 0.5) if total else 0.0
+            # distinct terms and their counts stand for the text, however long it is
+            for at, some in in_batches(batch.column(2).to_pylist()):
+                text, term, n = counted(some)
+                cut = starts_of(text, len(some))
+                got = [np.stack([term[i:j], n[i:j]]).tobytes() for i, j in zip(cut[:-1], cut[1:])]
+                part = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.binary())], names=["id", "label", "terms"])
+
+    rows = sample.select("id", "label", "text").mapInArrow(plain_texts, "id long, label int, terms binary").toArrow().sort_by("id").to_pylist()
+    index = Index(n_docs, terms, df, np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["label"] for r in rows], dtype=float), block)
+    if rows:
+        stored = [np.frombuffer(r["terms"], dtype=np.int64).reshape(2, -1) for r in rows]
+        index.invert(np.repeat(np.arange(len(rows)), [x.shape[1] for x in stored]), *np.concatenate(stored, axis=1))
+        got = _searched(sample.select(F.struct("id", "label").alias("row"), "id", "text"), index, k, "struct<id:bigint,label:int>").select("row.label", "vote").toArrow()
+        index.calibrate(got["vote"].to_numpy(), got["label"].to_numpy())
     return index
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
-    """The columns to ``keep`` (all) of each row, then ``tox_score`` and ``tox_evidence`` (id, cosine, label of the neighbours)."""
-    shared = docs.sparkSession.sparkContext.broadcast(replace(index, words=None, rest=None))
-    kept = [c for c in keep or docs.columns if c not in ("tox_score", "tox_evidence")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    near = pa.list_(pa.struct([("id", pa.int64()), ("product", pa.float64()), ("label", pa.int32())]))
-    others = pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))
+def _searched(rows: DataFrame, index: Index, k: int, kind: str, keep: int = EVIDENCE) -> DataFrame:
+    """``row``, ``vote`` (null without terms) and ``evidence`` for row, id, text."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+    near = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        find, number = Hashes(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            squares, shown, left, empty = [], [], [], []
-            for own, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                counts = find.count(text)
-                inside, outside = index.split(counts)
-                terms, w = index.weights(inside)
-                got = index.nearest(terms, w, k, own) if len(terms) else ((), ())
-                squares.append(float((w * w).sum()))
-                shown.append([{"id": int(index.ids[r]), "product": float(c), "label": int(index.labels[r])} for r, c in zip(*got)])
-                left.append([{"hash": h, "n": n} for h, n in outside.items()] if len(got[0]) else [])
-                empty.append(not counts or not len(index.ids))
-            numbers = pa.array(range(number, number + batch.num_rows), pa.int64())
-            number += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), numbers, pa.array(squares, pa.float64()), pa.array(shown, near), pa.array(left, others), pa.array(empty, pa.bool_())], names=["row", "number", "square", "near", "others", "empty"])
+            own = batch.column(1).to_pylist()
+            for at, texts in in_batches(batch.column(2).to_pylist()):
+                votes, shown = [], []
+                for text, (found, cosine) in zip(texts, index.nearest(texts, own[at : at + len(texts)], k)):
+                    votes.append(index.vote(found, cosine) if text else None)
+                    shown.append([{"id": int(index.ids[r]), "cosine": float(c), "label": int(index.labels[r])} for r, c in zip(found[:keep], cosine)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(votes, pa.float64()), pa.array(shown, near)], names=["row", "vote", "evidence"])
 
+    return rows.mapInArrow(run, f"row {kind}, vote double, evidence array<struct<id:bigint,cosine:double,label:int>>")
+
+
+def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
+    """The columns to ``keep`` (all) of each row, then ``tox_score`` and ``tox_evidence`` (id, cosine, label of the nearest)."""
+    kept = [c for c in keep or docs.columns if c not in ("tox_score", "tox_evidence")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    # written once: the numbers of the rows stay what they are
-    found = saved(rows.mapInArrow(run, f"row {kind}, number long, square double, near array<struct<id:bigint,product:double,label:int>>, others array<struct<hash:bigint,n:bigint>>, empty boolean"), "toxicity-near")
-    found = found.withColumn("row", F.col("row").cast(kind))
-    if index.rest is not None:
-        terms = found.select("number", F.inline("others"))
-        weight = (1 + F.log("n")) * F.log((F.lit(float(index.n_docs)) + 1) / (F.coalesce("df", F.lit(0)) + 0.5))
-        more = terms.join(index.rest, "hash", "left").groupBy("number").agg(F.sum(weight * weight).alias("more"))
-        found = found.join(more, "number", "left")
-    else:
-        found = found.withColumn("more", F.lit(0.0))
-    norm = F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
-    evidence = F.transform("near", lambda x: F.struct(x["id"].alias("id"), (x["product"] / norm).alias("cosine"), x["label"].alias("label")))
-    vote = lambda x: 1 / (1.05 - F.least(x["cosine"], F.lit(1.0)))
-    added = lambda f: F.aggregate("tox_evidence", F.lit(0.0), lambda a, x: a + f(x))
-    voted = (added(lambda x: vote(x) * x["label"]) + 0.5 * index.base_rate) / (added(vote) + 0.5)
-    found = found.select("row", "empty", evidence.alias("tox_evidence"))
-    return found.select("row.*", F.when(F.col("empty"), F.lit(float(index.empty_rate))).otherwise(voted).alias("tox_score"), "tox_evidence")
+    found = _searched(rows, index, k, kind).withColumn("row", F.col("row").cast(kind))
+    # between the points of the calibration its rate runs straight
+    v, y = index.votes.tolist(), index.rates.tolist()
+    points = F.array(*[F.struct(F.lit(a).alias("v"), F.lit(b).alias("y")) for a, b in zip(v, y)])
+    low = F.try_element_at(F.filter(points, lambda p: p["v"] <= F.col("vote")), F.lit(-1))
+    high = F.try_element_at(F.filter(points, lambda p: p["v"] > F.col("vote")), F.lit(1))
+    between = low["y"] + (high["y"] - low["y"]) * (F.col("vote") - low["v"]) / (high["v"] - low["v"])
+    rate = F.coalesce(between, low["y"], high["y"])
+    return found.select("row.*", F.when(F.col("vote").isNull(), F.lit(index.base_rate)).otherwise(rate).alias("tox_score"), F.col("evidence").alias("tox_evidence"))

@@ -168,34 +168,57 @@ def toxic_corpus(spark, n=1200):
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = toxic_corpus(spark)
     index = toxicity.fit(docs, labels)
-    assert {"grok", "blarg", "zonk", "vile"} <= set(index.terms)
     assert not [i for i in index.ids.tolist() if zlib.crc32(str(i).encode()) % 5 == 0]
     got = toxicity.score(docs, index).collect()
     assert len(got) == docs.count() and all(0 <= r.tox_score <= 1 for r in got)
     held = [r for r in got if r.doc_id is not None and r.doc_id < 1200 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert len(held) > 100 and sum((r.tox_score >= 0.5) == (r.doc_id % 6 == 0) for r in held) >= 0.98 * len(held)
+    assert len(held) > 100 and sum((r.tox_score >= 0.5) == (r.doc_id % 6 == 0) for r in held) >= 0.95 * len(held)
     by_id = {r.doc_id: r for r in got}
     assert by_id[1201].tox_score > 0.5 > by_id[1200].tox_score == by_id[None].tox_score
     assert all(e.id != r.doc_id for r in got for e in r.tox_evidence)
 
 
-def test_neighbours_are_exact(spark):
-    docs, labels = toxic_corpus(spark)
-    index = toxicity.fit(docs, labels)
-    dense = np.zeros((len(index.ids), len(index.idf)))
-    for r in range(len(index.ids)):
-        dense[r, index.cols[index.starts[r] : index.starts[r + 1]]] = index.vals[index.starts[r] : index.starts[r + 1]]
-    find = toxicity.Terms(index.terms)
-    for row in docs.filter("text is not null").limit(300).collect():
-        counts = find.count(row.text)
-        if counts:
-            terms, w = index.weigh(counts)
-            q = np.zeros(len(index.idf))
-            q[terms] = w
-            cos = dense @ q
-            cos[index.ids == row.doc_id] = 0
-            _, got = index.nearest(terms, w, 15, row.doc_id)
-            assert np.allclose(got, np.sort(cos[cos > 1e-12])[::-1][:15])
+def test_cosines_are_exact_and_blocks_are_left_out(spark):
+    """Cosines of whole texts by brute force over all terms, with small blocks; hidden examples have lower ones."""
+    docs, labels = toxic_corpus(spark, 240)
+    docs = docs.union(spark.createDataFrame([(500, "waa wba unheard"), (501, "Waa, 12 unheard--unheard twice"), (502, "\u00fcber \u4e2d\u6587")], "doc_id long, text string"))
+    index = toxicity.fit(docs, labels, block=8)
+
+    def terms(text):
+        words = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in (text or "").lower()).split()
+        b = f" {' '.join(words)} ".encode() if words else b""
+        return Counter(b[i : i + 3] for i in range(len(b) - 2))
+
+    rows = docs.collect()
+    df = Counter(t for r in rows for t in terms(r.text))
+    vec = lambda c: {t: (1 + math.log(n)) * math.log((len(rows) + 1) / (df[t] + 0.5)) for t, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
+    chosen = {r.ex_id for r in toxicity.examples(labels).collect()}
+    texts = {}
+    for r in rows:
+        if r.doc_id in chosen:
+            texts[r.doc_id] = min(r.text, texts.get(r.doc_id, r.text))
+    assert sorted(index.ids.tolist()) == sorted(texts)
+    held = {i: vec(terms(t)) for i, t in texts.items()}
+    hidden = 0
+    for r in rows:
+        q = vec(terms(r.text))
+        all_ = np.array([sum(x * held[j].get(t, 0) for t, x in q.items()) / norm(q) / norm(held[j]) if j != r.doc_id else -1 for j in index.ids.tolist()])
+        got = index.cosines([toxicity.plain(r.text)], [r.doc_id], 5)[0]
+        seen = got > -1
+        assert np.allclose(got[seen], all_[seen], atol=1e-5)
+        if q:
+            assert (all_[~seen] <= np.sort(all_)[-5] + 1e-5).all()
+            hidden += (~seen).sum()
+    assert hidden > 0
+    shown = {r.doc_id: r for r in toxicity.score(docs, index, k=5).collect()}
+    assert len(shown[500].tox_evidence) == 5 and shown[None].tox_evidence == []
+
+
+def test_calibration_rises_with_the_votes():
+    index = toxicity.Index(9, np.empty(0), np.empty(0), np.arange(4), np.array([0.0, 1.0, 0.0, 1.0]))
+    index.calibrate(np.array([0.1, 0.2, 0.3, 0.9, 0.95]), np.array([0, 1, 0, 1, 1]))
+    assert (np.diff(index.rates) > 0).all() and (np.diff(index.votes) > 0).all() and 0 < index.rates[0] < 0.5 < index.rates[-1] < 1
 
 
 def test_toxicity_without_examples(spark):
@@ -203,26 +226,3 @@ def test_toxicity_without_examples(spark):
     for d, n in ((docs, labels.limit(0)), (docs, labels.withColumn("toxic", labels["toxic"] * 0)), (docs.limit(0), labels)):
         clash = d.withColumn("row", d["text"]).withColumn("id", d["text"])
         assert {r.tox_score for r in toxicity.score(clash, toxicity.fit(clash, n)).collect()} <= {0.0}
-
-
-def test_every_example_and_every_term_counts(spark):
-    """Cosines of whole texts, by brute force: examples without a telling word, and words that no example holds."""
-    docs, labels = toxic_corpus(spark, 120)
-    docs = docs.union(spark.createDataFrame([(500, "waa wba unheard"), (501, "waa unheard unheard twice")], "doc_id long, text string"))
-    index = toxicity.fit(docs, labels)
-    texts = [(r.doc_id, Counter((r.text or "").split())) for r in docs.collect()]
-    df = Counter(w for _, c in texts for w in c)
-    vec = lambda c: {w: (1 + math.log(n)) * math.log((len(texts) + 1) / (df[w] + 0.5)) for w, n in c.items()}
-    norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1.0
-    chosen = {r.ex_id for r in toxicity.examples(labels).collect()}
-    held = [(i, vec(c)) for i, c in texts if i in chosen and c]
-    assert sorted(index.ids.tolist()) == sorted(i for i, _ in held)
-    got = toxicity.score(docs, index).collect()
-    by_id = {r.doc_id: r for r in got}
-    for i, c in texts:
-        if c and i not in (0, None):
-            q = vec(c)
-            want = sorted((sum(x * v.get(w, 0) for w, x in q.items()) / norm(q) / norm(v) for j, v in held if j != i), reverse=True)
-            want = [x for x in want if x > 1e-12][:15]
-            assert np.allclose([e.cosine for e in by_id[i].tox_evidence], want)
-    assert len(got) == len(texts)
