@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone import schema
+from lodestone.scratch import numbered
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ class Graph:
         out = self.out_edges(id_, types).select(F.col("target").alias("id"), F.struct(F.lit(0).alias("side"), "seq").alias("k"))
         back = self.in_edges(id_, types).select(F.col("source").alias("id"), F.struct(F.lit(1).alias("side"), "seq").alias("k"))
         once = out.unionByName(back).groupBy("id").agg(F.min("k").alias("k"))
-        return self.nodes.join(once, "id").withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(id_)).orderBy("k"))).drop("k")
+        return self.nodes.join(numbered(once, "ord", "k").drop("k"), "id")
 
     # --- changes ------------------------------------------------------------------------------
 
@@ -122,12 +123,13 @@ class Graph:
     def resolve(self, refs: DataFrame) -> DataFrame:
         """``refs``: ref, and file (may be null). Adds ``id``: that of the node with this id, else of a node of this name
         (whatever its case), in ``file`` if it can be, the earliest otherwise; null if there is none."""
-        asked = refs.select("ref", "file").distinct()
-        n = self.nodes.select("id", "name_lc", "seq", F.col("file").alias("node_file"))
-        by_id = asked.join(n, F.col("ref") == F.col("id")).select("ref", "file", "id", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), "seq").alias("k"))
-        far = F.when(F.col("node_file") == F.col("file"), 0).otherwise(1)
-        by_name = asked.join(n, F.lower("ref") == F.col("name_lc")).select("ref", "file", "id", F.struct(F.lit(1).alias("a"), far.alias("b"), "seq").alias("k"))
-        best = by_id.unionByName(by_name).groupBy(F.col("ref").alias("r"), F.col("file").alias("f")).agg(F.min_by("id", "k").alias("id"))
+        asked = refs.select(F.col("ref").alias("r"), F.col("file").alias("f")).distinct()
+        # the earliest node of each name, and of each name in each file, before any ref is met: a common name multiplies nothing
+        by_id = self.nodes.select(F.col("id").alias("i"))
+        by_name = self.nodes.groupBy(F.col("name_lc").alias("n1")).agg(F.min_by("id", "seq").alias("first"))
+        by_file = self.nodes.filter("file is not null").groupBy(F.col("name_lc").alias("n2"), F.col("file").alias("f2")).agg(F.min_by("id", "seq").alias("near"))
+        best = asked.join(by_id, F.col("r") == F.col("i"), "left").join(by_file, (F.lower("r") == F.col("n2")) & (F.col("f") == F.col("f2")), "left").join(by_name, F.lower("r") == F.col("n1"), "left")
+        best = best.select("r", "f", F.coalesce("i", "near", "first").alias("id"))
         return refs.join(best, (F.col("ref") == F.col("r")) & F.col("file").eqNullSafe(F.col("f")), "left").drop("r", "f")
 
 

@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.graph import Graph, of_types
+from lodestone.operators.context import build_context
 from lodestone.operators.traverse import bfs
+from lodestone.scratch import numbered
 
-# Edge types that carry an impact, entry files never reported, and names left out.
+# Edge types that carry an impact, edges that count as use, and kinds of symbols.
 IMPACT_EDGES = ["calls", "imports", "depends_on", "references", "extends", "implements"]
 USES = ["calls", "imports", "references"]
 SYMBOLS = ["function", "variable", "type", "class"]
-ENTRY_FILES = ["index.ts", "index.js", "main.ts", "main.js", "cli.ts", "cli.js", "app.ts", "app.js", "server.ts", "server.js", "index.tsx", "index.jsx", "main.tsx", "main.jsx"]
-
-
-def impact(graph: Graph, ids: list[str] | DataFrame, max_depth: int = 10, edge_types: list[str] | None = None, direction: str = "dependents", paths: bool = True) -> DataFrame:
+# Entry files, whose symbols are never reported as unused.
+ENTRY_FILES = [
+    "index.ts",
+    "index.tsx",
+    "index.js",
+    "index.jsx",
+    "main.ts",
+    "main.js",
+    "cli.ts",
+    "cli.js",
+    "server.ts",
+    "server.js",
+    "app.ts",
+    "app.js",
+    "setup.ts",
+    "setup.js",
+]
+
+
+def impact(graph: Graph, ids: list[str] | DataFrame, max_depth: int = 10, edge_types: list[str] | None = None, direction: str = "dependents", paths: bool = True, ordered: bool = False) -> DataFrame:
     """Who depends on the seeds (or, ``dependencies``, on whom they depend): ``seed_ord``, ``id``, ``distance``, ``ord``, and paths from the seed. Depth 1 is always looked at."""
-    found = bfs(graph, ids, max(1, max_depth), "inbound" if direction == "dependents" else "outbound", IMPACT_EDGES if edge_types is None else edge_types, paths=paths)
+    found = bfs(graph, ids, max(1, max_depth), "inbound" if direction == "dependents" else "outbound", IMPACT_EDGES if edge_types is None else edge_types, ordered, paths)
     return found.filter("depth > 0").withColumnRenamed("depth", "distance")
 
 
@@ -54,18 +73,39 @@ def unused(graph: Graph, types: list[str] | None = None, path_prefix: str | None
     return rows.select("id", "type", "name", "file", "seq", reason.alias("reason"), F.when(exported, "medium").otherwise("high").alias("confidence"), exported.alias("unsure"))
 
 
-def review(graph: Graph, files: list[str], most: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Changed symbols (``id``, ``change_ord``), and what they reach within three steps: ``id``, ``distance``, ``via``, ``rank`` (``most`` at most, a report)."""
+@dataclass(frozen=True)
+class Review:
+    """A review of changed files: ``changed`` symbols (id, name, type, file, change_ord), and all that these ``reach``
+    within three steps (id, distance, via, first), each by its nearest and then earliest change."""
+
+    graph: Graph
+    changed: DataFrame
+    reached: DataFrame
+
+    def top(self, most: int = 50) -> DataFrame:
+        """The nearest of what is reached, with ``rank``: a report of ``most`` rows."""
+        rows = self.reached.orderBy("distance", "first", "id").limit(most)
+        return numbered(rows, "rank", "distance", "first", "id").select("id", "distance", "via", F.col("rank").cast("int").alias("rank"))
+
+    def totals(self) -> DataFrame:
+        """One row over all that is reached: total, files, max_depth."""
+        return impact_stats(self.graph, self.reached)
+
+    def context(self, max_tokens: int = 8000, seeds: int = 20) -> DataFrame:
+        """What to read, around the first ``seeds`` changed symbols."""
+        first = [r.id for r in self.changed.orderBy("change_ord").select("id").limit(seeds).collect()]
+        return build_context(self.graph, first, max_tokens, depth=2)
+
+
+def review(graph: Graph, files: list[str]) -> Review:
     order = graph.spark.createDataFrame([(f, i) for i, f in enumerate(dict.fromkeys(files))], "file string, file_ord int")
-    changed = graph.nodes.filter("type <> 'file'").join(F.broadcast(order), "file").select("id", "name", "type", "file", F.struct("file_ord", "seq").alias("k"))
-    changed = changed.withColumn("change_ord", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("k")) - 1).cast("long")).drop("k")
+    changed = graph.nodes.filter("type <> 'file'").join(F.broadcast(order), "file").select("id", "name", "type", "file", "file_ord", "seq")
+    changed = numbered(changed, "place", "file_ord", "seq").withColumn("change_ord", F.col("place") - 1).drop("place", "file_ord", "seq")
     found = impact(graph, changed.select(F.col("change_ord").alias("seed_ord"), "id"), 3, paths=False)
-    near = found.groupBy("id").agg(F.min(F.struct("distance", "seed_ord")).alias("best"), F.min(F.struct("seed_ord", "ord")).alias("first"))
-    top = near.orderBy("best.distance", "first", "id").limit(most)
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("distance", "first", "id"))
-    top = top.select("id", F.col("best.distance").alias("distance"), F.col("best.seed_ord").alias("change_ord"), "first")
+    near = found.groupBy("id").agg(F.min(F.struct("distance", "seed_ord")).alias("best"), F.min("seed_ord").alias("first"))
+    near = near.select("id", F.col("best.distance").alias("distance"), F.col("best.seed_ord").alias("change_ord"), "first")
     via = changed.select("change_ord", F.col("id").alias("via"))
-    return changed, top.join(via, "change_ord").withColumn("rank", rank).select("id", "distance", "via", "rank")
+    return Review(graph, changed, near.join(via, "change_ord").select("id", "distance", "via", "first"))
 
 
 def degrees(graph: Graph) -> DataFrame:
@@ -94,10 +134,13 @@ def file_graph(graph: Graph) -> Graph:
     return Graph(nodes, edges.select(*graph.edges.columns))
 
 
-def file_children(graph: Graph, file_id: str) -> DataFrame:
-    """Nodes whose parent is the file, contents cut to 500 characters (a preview)."""
-    own = parents(graph).filter(F.col("parent") == file_id).select("id")
-    return graph.nodes.join(own, "id").withColumn("content", F.substring("content", 1, 500))
+def file_children(graph: Graph, file_id: str) -> Graph:
+    """Nodes whose parent is the file, contents over 500 characters cut and marked, and all edges that touch one."""
+    own = parents(graph).filter((F.col("parent") == file_id) & (F.col("id") != file_id)).select("id")
+    cut = F.when(F.length("content") > 500, F.concat(F.substring("content", 1, 500), F.lit("..."))).otherwise(F.col("content"))
+    nodes = graph.nodes.join(own, "id").withColumn("content", cut).select(*graph.nodes.columns)
+    at = lambda end: graph.edges.join(own.withColumnRenamed("id", end), end, "left_semi").select(*graph.edges.columns)
+    return Graph(nodes, at("source").unionByName(at("target").join(own.withColumnRenamed("id", "source"), "source", "left_anti").select(*graph.edges.columns)))
 
 
 def child_counts(graph: Graph) -> DataFrame:

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.graph import Graph
 from lodestone.operators.traverse import bfs
+from lodestone.scratch import numbered
 
 # How much each edge type counts, and the weights of proximity, edge and meaning.
-PRIORITY = {"contains": 1.0, "calls": 0.9, "extends": 0.85, "implements": 0.85, "imports": 0.8, "depends_on": 0.75, "references": 0.7, "exports": 0.6, "documents": 0.5, "tagged_with": 0.3}
+PRIORITY = {
+    "contains": 1.0,
+    "calls": 0.9,
+    "imports": 0.8,
+    "extends": 0.85,
+    "implements": 0.85,
+    "references": 0.7,
+    "exports": 0.6,
+    "depends_on": 0.75,
+    "documents": 0.5,
+    "tagged_with": 0.3,
+}
 WEIGHTS = (0.4, 0.3, 0.3)
 
 
@@ -43,22 +54,20 @@ def set_embeddings(graph: Graph, vectors: DataFrame) -> Graph:
 def relevance(distance: Column, edge_type: Column, similarity: Column, weights: tuple[float, float, float] = WEIGHTS) -> Column:
     """Proximity, edge and meaning, each in [0, 1]; unknown edges and meanings count half."""
     priority = F.coalesce(*[F.when(edge_type == k, v) for k, v in PRIORITY.items()], F.lit(0.5))
-    near = F.coalesce(F.greatest(similarity, F.lit(0.0)), F.lit(0.5))
+    near = F.when(similarity.isNull(), 0.5).otherwise(F.greatest(similarity, F.lit(0.0)))
     return weights[0] / (1 + distance) + weights[1] * priority + weights[2] * near
 
 
 def rank_by_relevance(graph: Graph, ids: list[str], max_depth: int = 3, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """``id``, ``score``, ``rank`` of what is around the seeds, without them; each node counts by its best seed."""
-    found = bfs(graph, ids, max(1, max_depth), "both")
+    found = bfs(graph, ids, max(1, max_depth), "both", ordered=True)
     n = graph.nodes
     seeds = found.filter("depth = 0").join(n.select("id", F.col("embedding").alias("seed_vector")), "id").select("seed_ord", "seed_vector")
     rows = found.filter("depth > 0").join(F.broadcast(seeds), "seed_ord").join(n.select("id", "embedding"), "id")
     rows = rows.withColumn("s", relevance(F.col("depth"), F.col("edge_type"), cosine(F.col("embedding"), F.col("seed_vector")), weights))
     best = rows.groupBy("id").agg(F.max("s").alias("score"), F.min(F.struct("seed_ord", "depth", "ord")).alias("first"))
     best = best.filter(~F.col("id").isin(ids))
-    # one ranking over one neighbourhood: the caller's seeds and depth bound it
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "first")
-    return best.withColumn("rank", F.row_number().over(order)).select("id", "score", "rank")
+    return numbered(best.withColumn("far", -F.col("score")), "rank", "far", "first").select("id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 def units(c: Column) -> Column:

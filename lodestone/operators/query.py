@@ -38,9 +38,22 @@ class Query:
     def with_embedding(self) -> Query:
         return self._with("embedding is not null")
 
-    def with_metadata(self, key: str, value: str | None = None) -> Query:
-        found = F.get_json_object("metadata", f"$.{key}")
-        return self._with(found.isNotNull() if value is None else found == value)
+    def with_metadata(self, key: str, *value: str | float | bool | None) -> Query:
+        """Nodes that have the key, whatever its value; or those whose value is the given one, of the same type (None: null)."""
+        found = F.from_json("metadata", "map<string,variant>")
+        held = self._with(F.map_contains_key(found, key))
+        if not value:
+            return held
+        (want,) = value
+        got = F.element_at(found, key)
+        kind = F.schema_of_variant(got)
+        if want is None:
+            return held._with(got.isNull() | F.is_variant_null(got))
+        if isinstance(want, bool):
+            return held._with((kind == "BOOLEAN") & (F.try_variant_get(got, "$", "boolean") == want))
+        if isinstance(want, str):
+            return held._with((kind == "STRING") & (F.try_variant_get(got, "$", "string") == want))
+        return held._with(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (F.try_variant_get(got, "$", "double") == float(want)))
 
     def with_out_edge(self, *types: str) -> Query:
         return self._joined("source", types)
@@ -103,4 +116,4 @@ def search(graph: Graph, term: str, types: list[str] | None = None, file: str |
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of a search with ``rank``; earlier nodes first among equals."""
     top = found.orderBy(F.desc("score"), "seq").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "seq")))
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "seq")))  # of k rows

@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.graph import Graph, of_types
-from lodestone.scratch import saved, sized
+from lodestone.scratch import numbered, saved, sized
 
 UNBOUNDED = 1_000_000
 
@@ -31,35 +30,38 @@ def seeds_of(graph: Graph, ids: list[str] | DataFrame) -> DataFrame:
     return ids.join(graph.nodes.select("id"), "id", "left_semi").select("seed_ord", "id")
 
 
-def bfs(graph: Graph, ids: list[str] | DataFrame, max_depth: int = UNBOUNDED, direction: str = "outbound", edge_types: list[str] | None = None, ordered: bool = True, paths: bool = False) -> DataFrame:
+def bfs(graph: Graph, ids: list[str] | DataFrame, max_depth: int = UNBOUNDED, direction: str = "outbound", edge_types: list[str] | None = None, ordered: bool = False, paths: bool = False) -> DataFrame:
     """``seed_ord``, ``id``, ``depth``, ``ord``, ``parent_id``, ``edge_type``, and, if asked, ``path`` and ``edge_path``.
 
-    ``ord`` is the place in first-in-first-out order with edges in insertion order, outbound before inbound.
-    Without ``ordered`` it is 0 and parents are chosen by edge order alone: no window runs over a whole frontier.
+    With ``ordered``, ``ord`` is the place in the level in first-in-first-out order, with edges in insertion order and
+    outbound ones before inbound ones; levels are numbered by ranges. Without, it is 0, and parents are chosen by edge order alone.
+    A level is one join of the edges with the frontier, written once; its rows are counted from the files' footers.
     """
     moves = steps(graph, direction, edge_types)
     start = seeds_of(graph, ids).select("seed_ord", "id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("edge_type"))
     if paths:
         start = start.withColumn("path", F.array("id")).withColumn("edge_path", F.array().cast("array<string>"))
     frontier = saved(start, "bfs")
+    size = frontier.count()
     levels = [frontier]
     visited = frontier.select("seed_ord", "id")
     depth = 0
     while depth < max_depth:
         # the frontier is the small side as a rule; its size decides how it is joined
         now = frontier.withColumnRenamed("id", "a").withColumnRenamed("ord", "from_ord").drop("edge_type", "parent_id", "depth")
-        reached = moves.join(sized(now), "a")
-        k = F.struct(*(["from_ord"] if ordered else []), "side", "edge_seq", F.col("a").alias("via"))
+        reached = moves.join(sized(now, size), "a")
+        k = F.struct(*(["seed_ord", "from_ord"] if ordered else []), "side", "edge_seq", F.col("a").alias("via"))
         carry = F.struct("a", "edge_type", *(["path", "edge_path"] if paths else []))
         new = reached.groupBy("seed_ord", F.col("b").alias("id")).agg(F.min_by(carry, k).alias("c"), F.min(k).alias("k"))
         new = new.join(visited, ["seed_ord", "id"], "left_anti")
         new = new.join(graph.nodes.select("id"), "id", "left_semi")
-        place = F.row_number().over(Window.partitionBy("seed_ord").orderBy("k")) if ordered else F.lit(0)
-        cols = ["seed_ord", "id", F.lit(depth + 1).alias("depth"), place.cast("long").alias("ord"), F.col("c.a").alias("parent_id"), F.col("c.edge_type").alias("edge_type")]
+        new = numbered(new, "place", "k") if ordered else new.withColumn("place", F.lit(0))
+        cols = ["seed_ord", "id", F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("ord"), F.col("c.a").alias("parent_id"), F.col("c.edge_type").alias("edge_type")]
         if paths:
             cols += [F.concat("c.path", F.array("id")).alias("path"), F.concat("c.edge_path", F.array("c.edge_type")).alias("edge_path")]
         frontier = saved(new.select(*cols), "bfs")
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
         levels.append(frontier)
         visited = visited.unionByName(frontier.select("seed_ord", "id"))
@@ -102,9 +104,9 @@ def dfs(graph: Graph, start: str, max_depth: int = UNBOUNDED, direction: str = "
     return rows.groupBy("group").applyInPandas(walk, "ord long, id string, depth int, parent_id string")
 
 
-def k_hop(graph: Graph, ids: list[str] | DataFrame, k: int, edge_types: list[str] | None = None) -> DataFrame:
+def k_hop(graph: Graph, ids: list[str] | DataFrame, k: int, edge_types: list[str] | None = None, ordered: bool = False) -> DataFrame:
     """``id`` and ``first`` (seed_ord, depth, ord of the first time) of nodes within k steps of any seed, either way."""
-    found = bfs(graph, ids, k, "both", edge_types)
+    found = bfs(graph, ids, k, "both", edge_types, ordered)
     return found.groupBy("id").agg(F.min(F.struct("seed_ord", "depth", "ord")).alias("first"))
 
 

@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import schema
+from lodestone.functions import columns
 from lodestone.graph import Graph
-from lodestone.operators import analysis, context, query, traverse
-from lodestone.sources import markdown, sample, store
+from lodestone.operators import analysis, context, query, summary, tools, traverse
+from lodestone.scratch import shared_dir, written
+from lodestone.sources import files, markdown, registry, sample, store
 
 FIRST_PART = 4_000_000_000_000
 
 
+_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    return sample.sample_graph(spark, sf_dir)
+    """The sample graph, stored once an application as an index would be: the tables are taken not to change meanwhile."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        g = sample.sample_graph(spark, sf_dir)
+        _STORED[key] = written(g.nodes, "graph-nodes"), written(g.edges, "graph-edges")
+    nodes, edges = _STORED[key]
+    return Graph(spark.read.schema(schema.NODES).parquet(nodes), spark.read.schema(schema.EDGES).parquet(edges))
 
 
 def at(g: Graph, *seqs: int) -> DataFrame:
@@ -84,6 +97,21 @@ def query_metadata(g):
     return query.Query(g).with_metadata("done", "true").results().select("id")
 
 
+_META = """case seq % 6 when 0 then '{"x":true}' when 1 then '{"x":"true"}' when 2 then '{"x":null}' when 3 then '{"a.b":1}' when 4 then '{"x":1.0,"a":{"b":2}}' else '{}' end"""
+
+
+@registered(
+    "select id, seq % 6 in (0, 1, 2, 4) as has_x, seq % 6 = 1 as is_text, seq % 6 = 0 as is_true, seq % 6 = 2 as is_null, seq % 6 = 4 as is_one, seq % 6 = 3 as has_dotted from n where type = 'class'"
+)
+def query_metadata_strict(g):
+    q = query.Query(g, g.nodes.filter("type = 'class'").withColumn("metadata", F.expr(_META)))
+    asked = {"has_x": ("x",), "is_text": ("x", "true"), "is_true": ("x", True), "is_null": ("x", None), "is_one": ("x", 1), "has_dotted": ("a.b",)}
+    out = q.results().select("id")
+    for name, args in asked.items():
+        out = out.join(q.with_metadata(*args).results().select("id", F.lit(True).alias(name)), "id", "left")
+    return out.select("id", *[F.coalesce(name, F.lit(False)).alias(name) for name in asked])
+
+
 @registered("select id from n where id in (select source from e where type in ('implements', 'documents'))")
 def query_with_out_edge(g):
     return query.Query(g).with_out_edge("implements", "documents").results().select("id")
@@ -207,6 +235,17 @@ _BOTH = f"{_OUT} union {_IN}"
 _DEPS = " where type in ('calls', 'imports', 'depends_on', 'references', 'extends', 'implements')"
 
 
+_BENCH = """
+, d1 as (select source as id, seq, row_number() over (order by seq) as ord from e where target = 'bench/1' and type = 'tagged_with'),
+k2 as (select e.target as id, d1.ord as o, e.seq as k, d1.id as via from e join d1 on e.source = d1.id where e.type = 'documents'),
+d2 as (select id, row_number() over (order by o, k) as ord, via from k2 qualify row_number() over (partition by id order by o, k) = 1)"""
+
+
+@registered(_BENCH + " select 'bench/1' as id, 0 as depth, 0 as ord, null as parent_id, null as edge_type union all select id, 1, ord, 'bench/1', 'tagged_with' from d1 union all select id, 2, row_number() over (order by ord), via, 'documents' from d2")
+def bfs_ordered(g):
+    return traverse.bfs(g, ["bench/1"], 2, "both", ordered=True).select("id", "depth", "ord", "parent_id", "edge_type")
+
+
 @registered(_walk("id = 'region/0'", _OUT, 3) + " select id, depth from d")
 def bfs_out(g):
     return traverse.bfs(g, ["region/0"], 3).select("id", "depth")
@@ -222,7 +261,10 @@ def bfs_both_edge_types(g):
     return traverse.bfs(g, at(g, FIRST_PART), 4, "both", ["extends"]).select("id", "depth")
 
 
-@registered()
+@registered("""
+, m as (select source as a, target as b, min(seq) as k from e where type in ('contains', 'exports') group by all),
+w as (select 'region/0' as id, 0 as depth, cast(null as varchar) as parent_id, cast([] as bigint[]) as path union all select m.b, w.depth + 1, w.id, list_append(w.path, m.k) from w join m on m.a = w.id where w.depth < 3)
+select row_number() over (order by path) - 1 as ord, id, depth, parent_id from w""")
 def dfs_ordered(g):
     return traverse.dfs(g, "region/0", 3, edge_types=["contains", "exports"])
 
@@ -260,9 +302,9 @@ def subgraph_edges(g):
     return traverse.subgraph(g, at(g, FIRST_PART), 2, ["extends", "contains"]).edges.select("id")
 
 
-@registered("select n.id, count(e.id) as children, coalesce(min(e.target), '') as lowest from n left join e on e.source = n.id and e.type = 'contains' where n.file = 'nation/3' group by n.id, n.type having count(e.id) > 0 or n.type = 'file'")
+@registered("select n.id, count(e.id) as children, coalesce(string_agg(e.target, ' ' order by e.seq), '') as listed from n left join e on e.source = n.id and e.type = 'contains' where n.file = 'nation/3' group by n.id, n.type having count(e.id) > 0 or n.type = 'file'")
 def file_structure(g):
-    return traverse.file_structure(g, "nation/3").select("id", F.size("children").cast("long").alias("children"), F.coalesce(F.array_min("children"), F.lit("")).alias("lowest"))
+    return traverse.file_structure(g, "nation/3").select("id", F.size("children").cast("long").alias("children"), F.array_join("children", " ").alias("listed"))
 
 
 # --- analysis -----------------------------------------------------------------------------------------
@@ -285,12 +327,62 @@ def unused_path_type(g):
 
 @registered("select id, name, cast(row_number() over (order by file = 'nation/3' desc, seq) - 1 as bigint) as change_ord from n where file in ('nation/3', 'nation/5') and type <> 'file'")
 def review_changes(g):
-    return analysis.review(g, ["nation/3", "nation/5"])[0].select("id", "name", "change_ord")
+    return analysis.review(g, ["nation/3", "nation/5"]).changed.select("id", "name", "change_ord")
 
 
-@registered()
+_REVIEW = """
+, c as materialized (select id, row_number() over (order by file = 'nation/3' desc, seq) - 1 as o from n where file in ('nation/3', 'nation/5') and type <> 'file'),
+m as materialized (select distinct target as a, source as b from e where type in ('calls', 'imports', 'depends_on', 'references', 'extends', 'implements')),
+w as (select o, id, 0 as depth from c union select w.o, m.b, w.depth + 1 from w join m on m.a = w.id where w.depth < 3),
+d as (select o, id, min(depth) as distance from w group by all),
+r as (select id, min(distance) as distance, min(o) as first, arg_min(o, distance * 1000000000 + o) as near from d where distance > 0 group by id)"""
+
+
+@registered(_REVIEW + " select r.id, distance, c.id as via, cast(row_number() over (order by distance, first, r.id) as integer) as rank from r join c on c.o = near qualify rank <= 50")
 def review_impact(g):
-    return analysis.review(g, ["nation/3", "nation/5"])[1]
+    return analysis.review(g, ["nation/3", "nation/5"]).top()
+
+
+@registered(_REVIEW + " select count(*) as total, count(distinct n.file) as files, coalesce(max(distance), 0) as max_depth from r join n using (id)")
+def review_totals(g):
+    return analysis.review(g, ["nation/3", "nation/5"]).totals()
+
+
+@registered()
+def review_context(g):
+    return analysis.review(g, ["nation/3"]).context(400)
+
+
+@registered("""
+, f as (select id, ['index.ts', 'main.tsx', 'setup.ts', 'setup.js', 'main.jsx', 'reindex.ts', 'app.js', 'cli.ts', 'x.ts'][seq % 9 + 1] as file from n where type = 'class'
+  and id not in (select target from e where type in ('calls', 'imports', 'references')))
+select id, 'src/' || file as file from f where file in ('main.tsx', 'main.jsx', 'reindex.ts', 'x.ts')""")
+def unused_entry_files(g):
+    names = F.array(*[F.lit(x) for x in ("index.ts", "main.tsx", "setup.ts", "setup.js", "main.jsx", "reindex.ts", "app.js", "cli.ts", "x.ts")])
+    moved = g.nodes.filter("type = 'class'").withColumn("file", F.concat(F.lit("src/"), F.element_at(names, (F.col("seq") % 9 + 1).cast("int"))))
+    return analysis.unused(Graph(moved, g.edges)).select("id", "file")
+
+
+@registered("""
+, u as (select n.*, coalesce(file, '(unknown)') as f from n where type = 'class' and file in ('nation/1', 'nation/2') and id not in (select target from e where type in ('calls', 'imports', 'references'))),
+x as (select *, id in (select target from e where type = 'exports') as exported from u)
+select f as file, '  ' || f || ':' || chr(10) || string_agg('    ' || name || ' [' || type || '] :' || coalesce(cast(start_line as varchar), '?') || ' — '
+  || case when exported then 'no-importers (low confidence)' else 'no-references' end, chr(10) order by exported, file, seq) as text from x group by f
+union all select '', case count(*) when 0 then 'No unused symbols found.' when 1 then 'Found 1 potentially unused symbol:' else 'Found ' || count(*) || ' potentially unused symbols:' end from x""")
+def unused_summary(g):
+    found = analysis.unused(g, ["class"]).filter("file in ('nation/1', 'nation/2')")
+    head, pieces = summary.unused_summary(found, g.nodes)
+    return head.select(F.lit("").alias("file"), "text").unionByName(pieces.select("file", "text"))
+
+
+@registered("""
+, c as (select n.id, n.name, n.type, n.file, e.seq as k from e join n on n.id = e.source where e.target = (select id from n where seq = 1000000000001) and e.type = 'calls')
+select file, '  ' || file || ':' || chr(10) || string_agg('    ' || name || ' (' || type || ') - distance: 1, via: calls', chr(10) order by k) as text from c group by file
+union all select '', 'Impact analysis for: ' || name || ' (class)' || chr(10) || 'Total impacted: ' || (select count(*) from c) || ' nodes across ' || (select count(distinct file) from c) || ' files' from n where seq = 1000000000001""")
+def impact_summary(g):
+    own = g.nodes.filter("seq = 1000000000001").first()["id"]
+    head, pieces = summary.impact_summary(g, own, analysis.impact(g, [own], 1, ["calls"], ordered=True))
+    return head.select(F.lit("").alias("file"), "text").unionByName(pieces.select("file", "text"))
 
 
 @registered("select id, cast(sum(case when x is null then 0 else 1 end) as bigint) as degree from (select n.id, d.id as x from n left join (select source as id from e union all select target from e) as d using (id) where n.type <> 'file') group by id")
@@ -310,17 +402,32 @@ def status(g):
     return analysis.status(g).select("nodes", "edges", "files", F.col("isolated").cast("long").alias("isolated"), "edges_per_node")
 
 
-@registered("select id, source, target from e where type <> 'contains' and source in (select id from n where type in ('file', 'doc')) and target in (select id from n where type in ('file', 'doc'))")
+@registered("select id, source, replace(target, 'bench/', 'doc/') as target from e where type = 'tagged_with' and replace(target, 'bench/', 'doc/') in (select id from n)")
 def viewer_file_graph(g):
-    return analysis.file_graph(g).edges.select("id", "source", "target")
+    """Tags turned into links between documents, beside all other edges."""
+    tags = F.when(F.col("type") == "tagged_with", F.regexp_replace("target", "bench/", "doc/")).otherwise(F.col("target"))
+    return analysis.file_graph(Graph(g.nodes, g.edges.withColumn("target", tags))).edges.select("id", "source", "target")
 
 
 _PARENT = ", p as (select target as id, source as parent from e where type = 'contains' qualify row_number() over (partition by target order by seq desc) = 1)"
 
 
-@registered(_PARENT + " select id, left(content, 500) as content from n join p using (id) where parent = 'nation/3'")
+@registered(_PARENT + " select id, content from n join p using (id) where parent = 'nation/3' and id <> 'nation/3'")
 def viewer_children(g):
-    return analysis.file_children(g, "nation/3").select("id", "content")
+    return analysis.file_children(g, "nation/3").nodes.select("id", "content")
+
+
+@registered("select id, case when length(content) > 500 then left(content, 500) || '...' else content end as content from n where type in ('doc', 'snippet')")
+def viewer_previews(g):
+    """Documents and snippets as children of one file."""
+    docs = g.nodes.filter("type in ('doc', 'snippet')")
+    held = docs.select("seq", F.concat(F.lit("in-"), "id").alias("id"), F.lit("bench/x").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("type"), F.lit(1.0).alias("weight"), F.lit("{}").alias("metadata"))
+    return analysis.file_children(Graph(docs, held), "bench/x").nodes.select("id", "content")
+
+
+@registered(_PARENT + ", c as (select target as id from e where source = 'nation/3' and type = 'contains') select id, source, target, type, weight from e where source in (select id from c) or target in (select id from c)")
+def viewer_child_edges(g):
+    return analysis.file_children(g, "nation/3").edges.select("id", "source", "target", "type", "weight")
 
 
 @registered(_PARENT + " select coalesce(parent, n.id) as id, count(*) as children from n left join p using (id) group by 1")
@@ -360,12 +467,18 @@ def node_tokens(g):
     return g.nodes.filter("type <> 'doc'").select("id", context.full_tokens().alias("tokens"))
 
 
-@registered()
+@registered(_BENCH + " select id, round(0.4 / 2 + 0.3 * 0.3 + 0.15, 6) as score, cast(ord as integer) as rank from d1 union all select id, round(0.4 / 3 + 0.3 * 0.5 + 0.15, 6), cast((select count(*) from d1) + row_number() over (order by ord) as integer) from d2")
 def rank_by_relevance(g):
     return context.rank_by_relevance(g, ["bench/1"], 2).withColumn("score", F.round("score", 6))
 
 
-@registered()
+@registered(_BENCH + """
+, k as (select id, ord from d1 union all select id, (select count(*) from d1) + ord from d2),
+x as materialized (select 'bench/1' as id, 1 as i, greatest(1, length(content) // 4 + length(signature) // 4) as cost from n where id = 'bench/1' union all
+  select id, row_number() over (order by ord) + 1, case when signature <> '' then greatest(1, length(signature) // 4 + length(name) // 4) else greatest(1, length(content) // 4) end from k join n using (id)),
+f as (select id, i, cost, cost as used, true as taken from x where i = 1 union all
+  select x.id, x.i, x.cost, f.used + case when f.used + x.cost <= 2000 then x.cost else 0 end, f.used + x.cost <= 2000 from f join x on x.i = f.i + 1)
+select id, cast(row_number() over (order by i) - 1 as integer) as place, cast(cost as bigint) as tokens, case i when 1 then 'target' else 'context' end as role from f where taken""")
 def build_context(g):
     return context.build_context(g, ["bench/1"], 2000, depth=2)
 
@@ -379,9 +492,13 @@ def _notes(g: Graph) -> DataFrame:
     return g.nodes.filter("type = 'doc'").select(F.col("id").alias("path"), text.alias("text"))
 
 
-@registered("select id as path, 1 as section, 1 as level, name as title from n where type = 'doc' and trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> '' union all select id, 2, 2, 'Seen' from n where type = 'doc'")
+@registered("""
+, t as (select id, seq, name, regexp_replace(content, '^\\s+|\\s+$', '', 'g') as body, length(content) - length(replace(content, chr(10), '')) as breaks from n where type = 'doc' and not regexp_matches(content, '(?m)^#{1,6}\\s+\\S'))
+select id as path, 1 as section, 1 as level, name as title, 2 as start_line, md5(body) as body from t where body <> '' union all select id, 2, 2, 'Seen', breaks + 4, md5('`o' || seq % 1000 || '`') from t""")
 def markdown_sections(g):
-    return markdown.sections(_notes(g)).select("path", "section", "level", "title")
+    found = markdown.sections(_notes(g)).select("path", "section", "level", "title", "start_line", F.md5("body").alias("body"))
+    odd = g.nodes.filter(F.col("content").rlike(r"(?m)^#{1,6}\s+\S")).select(F.col("id").alias("path"))  # texts that hold headings themselves
+    return found.join(odd, "path", "left_anti")
 
 
 @registered("select d.id as path, 2 as section, n.id from n as d join n on n.name_lc = 'o' || d.seq % 1000 and n.type <> 'doc' where d.type = 'doc'")
@@ -389,20 +506,54 @@ def doc_links(g):
     return markdown.links(markdown.sections(_notes(g)), g)
 
 
-@registered("select 'node' as kind, type, count(*) as n from n group by type union all select 'edge', type, count(*) from e group by type")
+_ROWS = """select seq, id, type, name, md5(content) as content, signature, file, metadata, cast(len(embedding) as integer) as dims, cast(null as varchar) as source, cast(null as varchar) as target, cast(null as double) as weight from n
+union all select seq, id, type, null, null, null, null, metadata, null, source, target, weight from e"""
+
+
+def _rows(g: Graph) -> DataFrame:
+    """Nodes and edges in one table."""
+    nodes = g.nodes.select("seq", "id", "type", "name", F.md5("content").alias("content"), "signature", "file", "metadata", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"))
+    edges = g.edges.select("seq", "id", "type", "metadata", "source", "target", "weight")
+    return nodes.unionByName(edges, allowMissingColumns=True)
+
+
+@registered(_ROWS)
 def json_roundtrip(g):
-    back = store.from_json(store.to_json(g))
-    count = lambda df, kind: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
-    return count(back.nodes, "node").unionByName(count(back.edges, "edge"))
+    return _rows(store.from_json(store.to_json(g)))
+
+
+@registered(_ROWS)
+def store_roundtrip(g):
+    path = f"{shared_dir(g.spark)}/store-{uuid.uuid4().hex}"
+    store.save(g, path, 1 << 20)
+    return _rows(store.load(g.spark, path))
 
 
-@registered("select type, count(*) as n, sum(weight) as weight from e group by type")
+@registered(_ROWS + " union all select round(sum(cast(cast(embedding[1] as float) as double)), 4), 'sum', null, null, null, null, null, null, null, null, null, null from n")
+def snapshot_roundtrip(g):
+    path = f"{shared_dir(g.spark)}/snapshot-{uuid.uuid4().hex}"
+    store.snapshot(g, path)
+    back = store.from_snapshot(g.spark, path)
+    total = back.nodes.agg(F.round(F.sum(F.get("embedding", F.lit(0))), 4).alias("seq")).withColumn("id", F.lit("sum"))
+    rows = _rows(back)
+    return rows.withColumn("seq", F.col("seq").cast("double")).unionByName(total, allowMissingColumns=True)
+
+
+@registered("select (select sum(length(content) + length(signature) + length(name) + length(qualified_name) + 200 + coalesce(len(embedding) * 6, 0)) from n)::bigint as node_bytes, (select sum(length(source) + length(target) + length(type) + 100) from e)::bigint as edge_bytes")
+def store_sizes(g):
+    return store.sizes(g)
+
+
+@registered("""
+, m as (select * from n where file is distinct from 'nation/5' and not (type = 'class' and file in ('nation/3', 'nation/4')))
+select e.id, e.source, e.target, case when s.file in ('nation/3', 'nation/4') then -weight else weight end as weight from e join m as s on s.id = e.source join m as t on t.id = e.target
+where not (coalesce(s.file, '') in ('nation/3', 'nation/4') and e.type = 'contains')""")
 def sync_equals_rebuild(g):
-    files = g.files().filter("file like 'nation/%'").select(F.col("file").alias("path"))
-    dirty = g.nodes.filter("file like 'nation/%'")
-    own = g.edges.join(dirty.select(F.col("id").alias("source")), "source", "left_semi").select(*g.edges.columns)
-    synced = store.sync(g, Graph(dirty, own), files)
-    return synced.edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    """Two files change (classes and contained edges go, weights turn), one is deleted."""
+    paths = g.spark.createDataFrame([("nation/3",), ("nation/4",), ("nation/5",)], "path string")
+    new = g.nodes.filter("file in ('nation/3', 'nation/4') and type <> 'class'")
+    own = g.edges.join(new.select(F.col("id").alias("source")), "source", "left_semi").select(*g.edges.columns).filter("type <> 'contains'").withColumn("weight", -F.col("weight"))
+    return store.sync(g, Graph(new, own), paths).edges.select("id", "source", "target", "weight")
 
 
 @registered("select file as path, case cast(right(file, 1) in ('0', '5') as int) + 2 * cast(right(file, 1) in ('1', '5') as int) when 1 then 'new' when 2 then 'deleted' when 3 then 'changed' else 'fresh' end as state from (select distinct file from n where file like 'nation/%')")
@@ -418,6 +569,120 @@ def list_projects(g):
     return store.list_projects({"all": g, "files": files})
 
 
+# --- several projects, discovery, registry ----------------------------------------------------------------
+
+
+def _projects(g: Graph) -> tools.Projects:
+    parts = Graph(g.nodes.filter("type in ('variable', 'type')"), g.edges.filter("type = 'extends'"))
+    return {"rest": Graph(g.nodes.filter("type not in ('variable', 'type')"), g.edges.filter("type in ('contains', 'calls')")), "parts": parts}
+
+
+@registered("""
+, x as (select 'rest' as project, 0 as project_ord, n.* from n where type not in ('variable', 'type') union all select 'parts', 1, n.* from n where type in ('variable', 'type')),
+s as (select *, cast(case when contains(name_lc, '#1') then 30 + case when name_lc = '#1' then 20 when starts_with(name_lc, '#1') then 10 else 0 end when contains(lower(qualified_name), '#1') then 15 else 5 end
+  + case type when 'class' then 10 when 'function' then 9 when 'type' then 8 when 'export' then 7 when 'variable' then 5 when 'file' then 3 when 'doc' then 2 else 1 end as integer) as score
+  from x where contains(name_lc, '#1') or contains(lower(qualified_name), '#1') or contains(lower(coalesce(file, '')), '#1'))
+select project, id, type, nullif(signature, '') as signature, score from s where regexp_matches(file, 'brand/.*2')""")
+def tool_search_multi(g):
+    return tools.search(_projects(g), "#1", file="brand/*2").select("project", "id", "type", "signature", "score")
+
+
+@registered(f"""
+, a as (select * from n where seq = 4000000000000),
+k as (select b.id, b.name, list_cosine_similarity({_V}) as s from a join n as b on b.embedding is not null where list_cosine_similarity({_V}) >= 0 order by s desc, b.seq limit 10)
+select 'parts' as project, id, name, round(s, 3) as score from k where id <> (select id from a)""")
+def tool_similar(g):
+    own = g.nodes.filter(F.col("seq") == FIRST_PART).first()["id"]
+    return tools.similar(_projects(g), own).select("project", "id", "name", "score")
+
+
+@registered("select 'rest' as project, id, name, nullif(signature, '') as signature from n where file = 'nation/3' and type <> 'file'")
+def tool_structure(g):
+    return tools.structure(_projects(g), "nation/3").select("project", "id", "name", "signature")
+
+
+@registered("select 'rest' as project, id, 'no-references' as reason from n where type = 'class' and file = 'nation/3' and id not in (select target from e where type = 'calls')")
+def tool_unused(g):
+    return tools.unused(_projects(g), "nation/3", "class").select("project", "id", "reason")
+
+
+_PATHS = [
+    ("src/a/b.ts", "./c", "src/a/c.ts"), ("src/a/b.tsx", "../c", "src/c.tsx"), ("b.jsx", "./x/./y", "x/y.jsx"), ("b.mjs", "../../z", "z.mjs"), ("a/b.js", "./c.json", "a/c.json"),
+    ("a/b.ts", "react", "react"), ("a/b.ts", "@x/y", "@x/y"), ("a.b/c", "./d", "a.b/d.ts"), ("a/b.mts", ".", "a.mts"),
+]
+
+
+@registered(" select * from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _PATHS) + ") as t(from_file, specifier, path)")
+def module_paths(g):
+    rows = g.spark.createDataFrame([x[:2] for x in _PATHS], "from_file string, specifier string")
+    return rows.withColumn("path", columns.module_path(F.col("from_file"), F.col("specifier")))
+
+
+_FOLDER = "['src', 'dist', 'docs', 'src/gen', 'a/node_modules/b'][seq % 5 + 1]"
+_ENDING = "['.ts', '.MD', '.png', '.py', '.mts', ''][seq % 6 + 1]"
+
+
+@registered(f"""
+, f as (select {_FOLDER} || '/' || name || {_ENDING} as path, seq, (seq % 11) * 150000 as size from n where type = 'function'),
+k as (select *, case when seq % 6 in (0, 4) then 'source' when seq % 6 = 1 then 'doc' else 'unknown' end as kind from f where seq % 6 <> 2 and size <= 1048576 and seq % 5 not in (1, 4))
+select path, kind from k where kind <> 'unknown' and not ((regexp_matches(path, '(^|/)o1[^/]*\\.ts(/|$)') or starts_with(path, 'src/gen/')) and not regexp_matches(path, '(^|/)o1[^/]\\.ts(/|$)'))
+  and not regexp_matches(path, '^docs/.*7\\.MD(/|$)') and seq % 13 <> 0""")
+def discover_files(g):
+    at = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("seq") % n + 1).cast("int"))
+    folder, ending = at(["src", "dist", "docs", "src/gen", "a/node_modules/b"], 5), at([".ts", ".MD", ".png", ".py", ".mts", ""], 6)
+    content = F.when(F.col("seq") % 13 == 0, F.unhex(F.lit("616200"))).otherwise(F.unhex(F.lit("61000A0B".replace("00", "20"))))
+    found = g.nodes.filter("type = 'function'").select(F.concat(folder, F.lit("/"), "name", ending).alias("path"), (F.col("seq") % 11 * 150000).alias("size"), content.alias("content"))
+    return files.discover(found, ["# a comment", "", "o1*.ts", "src/gen/*", "!o1?.ts", "docs/**7.MD"]).select("path", "kind")
+
+
+@registered("select id, cast(len(embedding) as integer) as dims, round(cast(embedding[1] as double), 5) as first from (select id, case when type = 'file' then [cast(seq as double), 1.0] else embedding end as embedding from n)")
+def set_embeddings(g):
+    vectors = g.nodes.filter("type = 'file'").select(F.upper("name").alias("ref"), "file", F.array(F.col("seq").cast("double"), F.lit(1.0)).alias("embedding"))
+    none = vectors.limit(1).withColumn("ref", F.lit("nobody"))
+    return context.set_embeddings(g, vectors.unionByName(none)).nodes.select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"), F.round(F.get("embedding", F.lit(0)), 5).alias("first"))
+
+
+@registered("""
+select id, round(0.4 / (1 + seq % 4) + 0.3 * case type when 'contains' then 1.0 when 'calls' then 0.9 when 'imports' then 0.8 when 'extends' then 0.85 when 'implements' then 0.85 when 'references' then 0.7
+  when 'exports' then 0.6 when 'depends_on' then 0.75 when 'documents' then 0.5 else 0.3 end + 0.3 * case seq % 3 when 0 then 0.5 when 1 then 0.0 else 0.25 end, 6) as score from e""")
+def score_relevance(g):
+    near = F.when(F.col("seq") % 3 == 0, F.lit(None)).when(F.col("seq") % 3 == 1, -0.5).otherwise(0.25)
+    return g.edges.select("id", F.round(context.relevance(F.col("seq") % 4, F.col("type"), near), 6).alias("score"))
+
+
+@registered("""
+, s as (select id, greatest(1, length(content) // 4 + length(signature) // 4) as cost from n where id = 'brand/' || (select p_brand from part where p_partkey = 0))
+select id, 0 as place, cast(cost as bigint) as tokens, 'target' as role from s""")
+def context_for_file(g):
+    file = g.nodes.filter(F.col("seq") == FIRST_PART).first()["file"]
+    return context.context_for(g, file=file, max_tokens=1)
+
+
+@registered("select 'one' as scope, 2::bigint as projects, 90::bigint as last_sync union all select 'two', 1, 5")
+def scope_info(g):
+    rows = g.spark.createDataFrame([], registry.COLUMNS)
+    for scope, project, now in (("one", "a", 10), ("one", "b", 90), ("two", "a", 5), ("one", "a", 20), ("three", "c", 1)):
+        rows = registry.register(rows, scope, project, f"/{project}", now)
+    return store.scopes(registry.delete_scope(rows, "three"))
+
+
+@registered("select 'a' as project, (select count(*) from n) as nodes, '9s ago' as age union all select 'b', null, '3m ago' union all select 'c', null, '2d ago' union all select 'd', null, 'never'")
+def list_with_meta(g):
+    rows = g.spark.createDataFrame([("default", "a", "/a", 199_991), ("default", "b", "/b", 199_800), ("default", "c", "/c", 1), ("default", "d", "/d", 0)], registry.COLUMNS)
+    return registry.described(rows, store.list_projects({"a": g}), 200_000).select("project", "nodes", "age")
+
+
+@registered("""
+, t as (select id, seq, name, regexp_replace(content, '^\\s+|\\s+$', '', 'g') as body from n where type = 'doc' and not regexp_matches(content, '(?m)^#{1,6}\\s+\\S')),
+r as (select id as path, id, 'doc' as kind, '{"format":"markdown"}' as metadata from t union all select id, id || '#1', 'doc', '{"level":1}' from t where body <> '' union all select id, id || '#2', 'doc', '{"level":2}' from t)
+select path, id, kind, metadata, case when id <> path then path end as parent from r""")
+def doc_index(g):
+    notes = _notes(Graph(g.nodes.filter(~F.col("content").rlike(r"(?m)^#{1,6}\s+\S")), g.edges))
+    made = markdown.index(notes)
+    parents = made.edges.select(F.col("target").alias("id"), F.col("source").alias("parent"))
+    return made.nodes.join(parents, "id", "left").select(F.col("file").alias("path"), "id", F.col("type").alias("kind"), "metadata", "parent")
+
+
 def queries() -> dict:
     return {k: v[0] for k, v in _FOUND.items()}
 

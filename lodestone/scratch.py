@@ -13,9 +13,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where it is unset (tests), a new local folder."""
+    """spark.checkpoint.dir, or, where it is unset and Spark runs in one process (tests), a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -23,11 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write and read again: iterations stay short and survive lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def written(df: DataFrame, name: str) -> str:
+    """The path of a new table in the shared folder that holds ``df``."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def sized(df: DataFrame, n_rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as one side of a join: broadcast if its rows (counted, or known) are within the bound."""
+    return F.broadcast(df) if (df.count() if n_rows is None else n_rows) <= bound else df
 
 
-def sized(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as one side of a join: broadcast if it is within the bound."""
-    return F.broadcast(df) if df.count() <= bound else df
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with the place of each row (from 1) in ``order``: partitions are ranges, and meet only in their counts."""
+    keys = [F.col(x) for x in order]
+    held = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    held = saved(held.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

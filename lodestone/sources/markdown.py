@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.graph import Graph
+from lodestone.scratch import numbered
 
 HEADING = r"^(#{1,6})\s+(.+)$"
 MENTION = r"`([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)`"
@@ -28,6 +29,34 @@ def sections(files: DataFrame) -> DataFrame:
     return out.filter("body <> ''")
 
 
+def index(files: DataFrame) -> Graph:
+    """Documents as graph rows: a node for each file and each section, ``contains`` edges between them.
+
+    ``seq`` orders them by path and section; ids are the paths, and the paths with the number of the section.
+    """
+    found = sections(files)
+    name = F.element_at(F.split("path", "/"), -1)
+    whole = files.select("path", F.lit(0).alias("section"), F.lit(0).alias("level"), name.alias("name"), F.col("path").alias("qualified_name"), F.coalesce("text", F.lit("")).alias("content"), F.lit(1).alias("start_line"))
+    part = found.select("path", "section", "level", F.col("title").alias("name"), F.concat("path", F.lit("#"), "title").alias("qualified_name"), F.col("body").alias("content"), "start_line")
+    rows = numbered(whole.unionByName(part), "seq", "path", "section")
+    id_ = F.when(F.col("section") == 0, F.col("path")).otherwise(F.concat("path", F.lit("#"), "section"))
+    kind = F.when(F.col("section") == 0, F.to_json(F.create_map(F.lit("format"), F.lit("markdown")))).otherwise(F.to_json(F.struct("level")))
+    nodes = rows.select(
+        "seq", id_.alias("id"), F.lit("doc").alias("type"), "name", F.lower("name").alias("name_lc"), "qualified_name", "content", F.lit("").alias("signature"),
+        F.col("path").alias("file"), F.col("start_line").cast("long").alias("start_line"), kind.alias("metadata"), F.lit(None).cast("array<double>").alias("embedding"),
+    )
+    edges = rows.filter("section > 0").select(
+        "seq", F.concat(F.lit("contains-"), "path", F.lit("#"), "section").alias("id"), F.col("path").alias("source"), id_.alias("target"), F.lit("contains").alias("type"), F.lit(1.0).alias("weight"), F.lit("{}").alias("metadata"),
+    )
+    return Graph(nodes, edges)
+
+
+def documents_edges(docs: Graph, code: Graph) -> DataFrame:
+    """``documents`` edges from sections to the symbols that they mention: source, target."""
+    found = docs.nodes.filter("id <> file").select(F.col("file").alias("path"), F.col("id").alias("section"), F.col("content").alias("body"))
+    return links(found, code).select(F.col("section").alias("source"), F.col("id").alias("target"))
+
+
 def mentions(found: DataFrame) -> DataFrame:
     """``path``, ``section``, ``name``: identifiers in back-ticks, each once a section."""
     return found.select("path", "section", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(MENTION), F.lit(1)))).alias("name"))

@@ -5,8 +5,9 @@ import random
 import pytest
 
 from lodestone import graph as G
-from lodestone.operators import analysis, context, query, traverse
-from lodestone.sources import markdown, store
+from lodestone.operators import analysis, context, query, tools, traverse
+from lodestone.scratch import numbered
+from lodestone.sources import files, markdown, registry, store
 from lodestone.streaming.watch import watch
 
 
@@ -24,7 +25,7 @@ DIAMOND = [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "E")]
 
 def test_bfs_and_dfs(spark):
     g = calls(spark, DIAMOND)
-    assert listed(traverse.bfs(g, ["A"]), "id", "depth", "parent_id", by=["depth", "ord"]) == [("A", 0, None), ("B", 1, "A"), ("C", 1, "A"), ("D", 2, "B"), ("E", 3, "D")]
+    assert listed(traverse.bfs(g, ["A"], ordered=True), "id", "depth", "parent_id", by=["depth", "ord"]) == [("A", 0, None), ("B", 1, "A"), ("C", 1, "A"), ("D", 2, "B"), ("E", 3, "D")]
     assert {r.id for r in traverse.bfs(g, ["A"], 1).collect()} == {"A", "B", "C"}
     assert {r.id for r in traverse.bfs(g, ["D"], direction="inbound").collect()} == {"A", "B", "C", "D"}
     assert traverse.bfs(g, ["nope"]).collect() == []
@@ -50,7 +51,7 @@ def test_random_multigraph_against_a_queue(spark):
                 seen.add(other)
                 queue.append((other, depth + 1))
                 want.append((other, depth + 1, node))
-    assert listed(traverse.bfs(g, [start], direction="both"), "id", "depth", "parent_id", by=["depth", "ord"]) == want
+    assert listed(traverse.bfs(g, [start], direction="both", ordered=True), "id", "depth", "parent_id", by=["depth", "ord"]) == want
 
 
 def test_impact(spark):
@@ -140,3 +141,37 @@ def test_watch(spark, tmp_path):
     seen = []
     watch(spark, f"{tmp_path}/in", "path string, text string", lambda df, n: seen.append(markdown.sections(df).count()), f"{tmp_path}/check").awaitTermination()
     assert seen == [1]
+
+
+def test_files_and_ignore_rules(spark, tmp_path):
+    for name, data in (("src/a.ts", b"x"), ("src/b.ts", b"x\0"), ("node_modules/c.ts", b"x"), ("d.md", b"# T"), ("e.png", b"x"), ("gen/f.ts", b"x"), ("gen/keep.ts", b"x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    found = files.discover(files.listing(spark, f"file://{tmp_path}"), ["gen/*", "!keep.ts"])
+    assert sorted((r.path, r.kind) for r in found.collect()) == [("d.md", "doc"), ("gen/keep.ts", "source"), ("src/a.ts", "source")]
+    assert files.ignore_pattern("# x") is None and files.ignore_pattern("a.b/") == (r"(?:^|/)a\.b(?:/|$)", False)
+    assert files.manifest(files.listing(spark, f"file://{tmp_path}", with_content=False)).count() == 7
+
+
+def test_registry_and_projects(spark, tmp_path):
+    rows = registry.register(spark.createDataFrame([], registry.COLUMNS), "default", "p", f"file://{tmp_path}/p", 5)
+    store.save(calls(spark, DIAMOND), f"file://{tmp_path}/p")
+    loaded = registry.load_all(spark, rows, "default")
+    assert tools.impact(loaded, "E")[1].count() == 4 and tools.unused(loaded, type_="function").count() == 1
+    with pytest.raises(ValueError, match="Project not found: q"):
+        tools.search(loaded, "A", project="q")
+    with pytest.raises(ValueError, match="Cannot delete"):
+        registry.delete_scope(rows, "default")
+    assert registry.remove_project(rows, "default", "p").count() == 0
+
+
+def test_numbers_over_ranges(spark):
+    rows = numbered(spark.range(1000).selectExpr("(id * 7919) % 1000 as x").repartition(7), "n", "x")
+    assert all(r.n == r.x + 1 for r in rows.collect())
+
+
+def test_entry_files_and_stored_ids(spark):
+    g = G.from_rows(spark, [{"id": "a", "file": "src/setup.ts"}, {"id": "b", "file": "main.tsx"}, {"id": "c", "file": "x/index.ts"}], [])
+    assert [r.id for r in analysis.unused(g).collect()] == ["b"]
+    twice = G.Graph(g.nodes.unionByName(g.nodes.withColumn("seq", g.nodes["seq"] + 9).withColumn("name", g.nodes["id"])), g.edges)
+    assert sorted(r.seq for r in store.sound(twice).nodes.collect()) == [0, 1, 2]
