@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import itertools
 import json
 import re
@@ -84,6 +85,8 @@ WORD_END = "</w>"
 NONE = np.int64(2**40)
 #: Chunks that a worker remembers; beyond, the tables are started anew.
 REMEMBERED = 200_000
+#: Words of more bytes are merged by a heap, as scanning for the minimum takes the square of the length.
+LONG = 256
 #: Rows that are encoded, and handed on, together.
 ROWS = 200
 #: Parts in a matrix of words at most, unless one word has more.
@@ -134,6 +137,7 @@ class WordBpe:
         self.merged[table[:, 1]] = table[:, 2]
         self.number = [str(i) for i in range(max(self.token) + 1)]
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.pairs: dict[int, tuple[int, int]] = {}
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
 
@@ -190,6 +194,28 @@ class WordBpe:
             parts[rows], ranks[rows] = p, r
         return parts
 
+    def merge_long(self, parts: list[int]) -> list[int]:
+        """As ``merge`` for one long word: a heap of adjacent ranks over linked parts, so that time grows with n log n."""
+        if not self.pairs:
+            some = np.flatnonzero(self.keys >= 0)
+            self.pairs = {k: (r, m) for k, r, m in zip(self.keys[some].tolist(), self.ranks[some].tolist(), self.merged[self.ranks[some]].tolist())}
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(got[0], i, x, y) for i, (x, y) in enumerate(zip(parts, parts[1:])) if (got := self.pairs.get(x * self.size + y))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, x, y = heapq.heappop(heap)
+            j = after[i]
+            if j == n or parts[i] != x or parts[j] != y:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = self.pairs[x * self.size + y][1], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (got := self.pairs.get(parts[a] * self.size + parts[b])):
+                    heapq.heappush(heap, (got[0], a, parts[a], parts[b]))
+        return [x for x in parts if x >= 0]
+
     def encode_words(self, words: list[str]) -> dict[str, tuple[str, str]]:
         """Ids and tokens of each word, joined by blanks."""
         out = {}
@@ -198,6 +224,11 @@ class WordBpe:
             b = w.encode()
             by_length.setdefault(len(b), []).append((w, b))
         for length, group in by_length.items():
+            if length > LONG:
+                for w, b in group:
+                    row = self.merge_long([*self.inner[list(b[:-1])].tolist(), int(self.final[b[-1]])])
+                    out[w] = (" ".join([self.number[x] for x in row]), " ".join([self.token[x] for x in row]))
+                continue
             step = max(1, CELLS // length)
             for i in range(0, len(group), step):
                 some = group[i : i + step]
@@ -226,7 +257,7 @@ class WordBpe:
 
     def chunks(self, text: str) -> list[str]:
         """Runs without white space of the normalised text, and the keys of special tokens between them."""
-        if self.specials is None or "<|" not in text:
+        if not any(s in text for s in self.special):
             return self.cut(self.normal(text))
         out = []
         for i, piece in enumerate(self.specials.split(text)):

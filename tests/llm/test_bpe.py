@@ -1,5 +1,7 @@
 """The encoder against the tokenizers library, and decoding."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,3 +60,14 @@ def test_rows(spark):
     out = {(r.doc_id, r.n_tokens) for r in bpe.encode(docs, tokenizer_path()).collect()}
     assert out == {(1, 0), (None, 2), (3, 0), (4, 5000)}
     assert bpe.digests(docs.limit(0), tokenizer_path()).collect() == []
+
+
+def test_long_words_by_the_heap(spark):
+    """Words without blanks, longer than the scan is meant for, and a special token inside."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeé中文") for _ in range(n)) for n in (255, 256, 257, 3000, 60_000)] + ["ab<|endoftext|>" + "xy" * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, tokenizer_path()).collect()}
+    assert all(got[i] == library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
