@@ -9,9 +9,10 @@ hash functions. In a run each node of the recursion tree picks one of them by
 the hash of its own path, and a record follows the token it has there, so two
 records stay together with a probability of their similarity. A bucket of more
 than ``limit`` records is split again; smaller ones are brute-forced. Two
-records of similarity s meet in a run with a probability of at least
-s^depth, so runs are added until the bound reaches the target recall for every
-record, whatever the depth was. What is still too large at the last depth is
+records that agree in a share p of the coordinates meet in a run with a
+probability of at least p^depth, so runs are added until the bound, weighed over
+p, reaches the target recall for every record, whatever the depth was; where it
+can't be reached that is an error. What is still too large at the last depth is
 compared in blocks, a pair of blocks a task.
 
 A pair is looked at in the first run only whose bucket holds both, which each
@@ -44,7 +45,7 @@ from lodestone.llm.common import saved
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES = 128
 LIMIT, DEPTH = 2048, 6
-RUNS, MAX_RUNS, RECALL = 12, 96, 0.9999
+RUNS, MOST_RUNS, RECALL = 12, 240, 0.9999
 #: Largest number of rows (of a few bytes each) that is broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 200_000
 #: Pairs that are looked at in one go.
@@ -120,7 +121,7 @@ def paths(sig: np.ndarray, run: int, depth: int = DEPTH) -> np.ndarray:
 
 
 def records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, rk (a hash of id and text), key (of the set), n (its size), sig and sketch of every row."""
+    """id, rk (a digest of id and text), key (of the set), n (its size), sig and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -142,11 +143,13 @@ def records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("rk"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, rk long, key binary, n long, sig binary, sketch binary")
+    return rows.mapInArrow(run, "id long, rk binary, key binary, n long, sig binary, sketch binary")
 
 
 def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+    """128 bits that tell rows of different ids or texts apart."""
+    part = lambda c, kind: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast(kind).cast("string")), F.lit("~"))
+    return F.unhex(F.md5(F.concat(part(id_col, "long"), part(text_col, "string"))))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -188,23 +191,47 @@ def buckets(recs: DataFrame, first: int, n_runs: int, limit: int = LIMIT, depth:
     return out, down
 
 
+def missed(similarity: float, bits: int = COORDINATES) -> list[tuple[float, float, float]]:
+    """Of a pair of this similarity: (probability, share of coordinates that agree, share that the sketches let pass), for each number of coordinates."""
+    agree = (1 + similarity) / 2
+    apart = math.ceil(bits * (1 - agree) + 5 * math.sqrt(bits * agree * (1 - agree)))
+    out = []
+    for k in range(bits + 1):
+        passes = sum(math.comb(bits - k, x) for x in range(min(apart, bits - k) + 1)) / 2 ** (bits - k)
+        out.append((math.comb(bits, k) * similarity**k * (1 - similarity) ** (bits - k), k / bits, passes))
+    return out
+
+
 def all_leaves(recs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n_runs: int = RUNS, limit: int = LIMIT) -> tuple[DataFrame, int]:
-    """Leaves of as many runs as the target recall takes: (leaves, number of runs)."""
+    """Leaves of as many runs as the target recall takes: (leaves, number of runs).
+
+    The bound is that of the record that went deepest. All runs share the coordinates, so it is taken for each
+    number of coordinates in which a pair can agree, and weighed by the probability of that number.
+    """
     leaves, deep, total = None, None, 0
-    one = math.log(1 - similarity)
+    cases = missed(similarity)
     while True:
         more, down = buckets(recs, total, n_runs, limit)
         total += n_runs
         leaves = more if leaves is None else leaves.unionByName(more)
         if down is not None:
             deep = down if deep is None else deep.unionByName(down)
-        worst = total * one
+        profiles = [{1: total}]
         if deep is not None:
             deepest = deep.groupBy("key", "run").agg(F.max("depth").alias("depth"))
-            lost = F.log(1 - F.pow(F.lit(similarity), F.col("depth"))) - one
-            worst += deepest.groupBy("key").agg(F.sum(lost).alias("x")).agg(F.max("x")).first()[0] or 0.0
-        if worst <= math.log(1 - recall) or total >= MAX_RUNS:
+            per_key = deepest.groupBy("key").agg(*[F.sum((F.col("depth") == d).cast("int")).alias(str(d)) for d in range(2, DEPTH + 1)])
+            worst = F.lit(0.0)
+            for d in range(2, DEPTH + 1):  # nearly in the order of the bound: the chance to meet in no run at all
+                worst = worst + F.col(str(d)) * math.log((1 - similarity**d) / (1 - similarity))
+            row = per_key.orderBy(worst.desc()).first()
+            if row:
+                runs = {d: int(row[str(d)]) for d in range(2, DEPTH + 1)}
+                profiles.append(runs | {1: total - sum(runs.values())})
+        lost = max(1 - sum(p * (1 - math.prod((1 - share**d) ** n for d, n in runs.items())) * passes for p, share, passes in cases) for runs in profiles)
+        if lost <= 1 - recall:
             return leaves, total
+        if total >= MOST_RUNS:
+            raise ValueError(f"recall {1 - lost:.5f} after {total} runs; take more coordinates or a larger limit")
 
 
 def slices_of_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

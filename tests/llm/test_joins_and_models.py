@@ -216,3 +216,28 @@ def test_mixing_gives_one_pass_at_least(spark):
     drawn = mixing.mix(docs).select("row.*")
     assert drawn.columns == docs.columns
     assert {r.doc_id for r in drawn.collect()} == set(range(200))
+
+
+def test_recall_bound_counts_shared_coordinates():
+    cases = jaccard_join.missed(0.8)
+    assert abs(sum(p for p, _, _ in cases) - 1) < 1e-9 and cases[-1][2] == 1
+    one = 1 - sum(p * (1 - (1 - share) ** 12) * passes for p, share, passes in cases)
+    assert 0.2**12 < one < 1e-4  # more than if runs were independent
+
+
+def test_pipeline_over_a_small_folder(spark, tmp_path):
+    """All stages: equal and near copies go, toxic documents go, clean ones stay, ids decode to the texts."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    clean = [" ".join(words(rng, 40)) for _ in range(60)]
+    bad = [" ".join(x for w in words(rng, 20) for x in (w, rng.choice(["zonk", "blarg"]))) for _ in range(60)]
+    texts = clean + bad + [clean[0].upper(), clean[1] + " w1"]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(60 <= i < 120)) for i in range(120)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}").collect()
+    kept = {r.doc_id for r in got}
+    assert kept == (set(range(1, 60)) | {120}) and len(got) >= len(kept)
+    for r in got:
+        assert r.n_tokens == len(r.ids) and r.decoded.replace("</w>", "").replace(" ", "") == texts[r.doc_id].lower().replace(" ", "")
