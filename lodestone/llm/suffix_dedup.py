@@ -44,8 +44,8 @@ LENGTH, ANCHOR = 200, 64
 CHUNK, SHARD = 1 << 18, 1_500_000
 #: Tuples that the queues of a shard hold in memory, and the most that are taken out in one go.
 HELD, TAKEN = 2_000_000, 1 << 18
-#: Largest number of rows that is broadcast.
-BROADCAST_ROWS = 100_000
+#: Most rows, and bytes, that are broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 U = np.uint64
 
 
@@ -394,15 +394,18 @@ def keyed(docs: DataFrame, id_col: str | None = None, text_col: str = "text") ->
     return docs.select(*ids, F.unhex(F.md5(text)).alias("tk"), text.cast("binary").alias("raw"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, size: str | None = None) -> DataFrame:
+    """``df`` for a join: broadcast if its rows, and the sum of ``size`` over them, are within the bounds."""
+    rows, bytes_ = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr(size or "0")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and bytes_ <= BROADCAST_BYTES else df
 
 
 def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, shard: int = SHARD, held: int = HELD) -> DataFrame:
     """``tk`` and ``ranges`` (flat pairs: first and last start) of strings that also start elsewhere; of texts that have any."""
     docs = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     every = saved(segments(docs, length, anchor), "segments")
-    anchors = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).filter("n > 1")
+    # written, so that the join has two plain sides and a hot anchor's rows are split
+    anchors = saved(every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).filter("n > 1"), "shared-anchors")
     shared = saved(every.join(anchors, "h").select("tk", "a", "b", "h", "s", (F.col("low") < F.col("high")).alias("mixed")), "shared-segments")
     distinct = saved(
         shared.filter("mixed").groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tk", "a", "b")).alias("at")).select("h", "s", "n", "at.tk", "at.a", "at.b"), "distinct-segments"
@@ -446,7 +449,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 def _finish(docs: DataFrame, id_col: str, text_col: str, length: int, options: dict, make, kind: pa.DataType, field: str) -> DataFrame:
     found = saved(repeats(docs, text_col, length, **options), "repeats")
-    rows = keyed(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").alias("text")), id_col).join(small(found), "tk", "left").select("id", "raw", "ranges")
+    rows = keyed(docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").alias("text")), id_col).join(small(found, "40 + 24 * size(ranges)"), "tk", "left").select("id", "raw", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
