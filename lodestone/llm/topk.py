@@ -9,10 +9,11 @@ taken from the most significant slice downward; rows equal to the boundary
 score are resolved exactly, smaller ids first. Blocks answer independently, and
 the k best of a query over all blocks are the result.
 
-The stated query set meets all rows in blocks: a task holds one block of rows
-and one block of queries.
+The stated query set meets all rows in blocks: a task builds the index of one
+block of rows, once, and the queries pass by in chunks.
 
 Defined results
+- Scores that could go beyond 64 bits are an error, and so are components beyond 2^63.
 - Vectors that are null, hold null or non-finite components, or are empty take no part.
 - A query meets only rows of its own length, and never the rows with its own id.
 - Ties go to the smaller id. Rows that repeat an id count as rows of their own. Null ids take no part.
@@ -37,7 +38,9 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: float = 64.0) ->
     """id, dim, v (floor(scale * x) as longs) of the rows that take part."""
     x = F.transform(vec_col, lambda v: v.cast("double"))
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & good)
+    large = F.exists(x, lambda v: F.abs(v * scale) >= F.lit(2.0**63))
+    sure = F.assert_true(~F.coalesce(large & good, F.lit(False)), F.lit("a component goes beyond 64 bits")).isNull()
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & good & sure)
     return rows.select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("v"))
 
 
@@ -119,51 +122,64 @@ def search_block(ids: np.ndarray, x: np.ndarray, index: np.ndarray, q_id: int, q
     return ids[rows], x[rows] @ q
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Integers in the smallest signed type that holds them."""
+    least = np.result_type(np.min_scalar_type(int(x.min())), np.min_scalar_type(int(x.max())))
+    return x.astype(least if least.kind == "i" else np.dtype(f"i{min(8, 2 * least.itemsize)}")).tobytes()
+
+
+def wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"i{len(data) // n}").astype(np.int64)
+
+
 def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank (from 1), id, score: for the rows where ``queries`` holds, against all other rows."""
     found = quantised(df, id_col, vec_col, scale)
     asked = quantised(df.filter(queries), id_col, vec_col, scale)
-    spark = df.sparkSession
+    cores = df.sparkSession.sparkContext.defaultParallelism
     n_blocks = max(1, -(-found.count() // BLOCK_ROWS))
     n_chunks = max(1, -(-asked.count() // QUERY_ROWS))
+    # blocks stand once each; only where they are fewer than the cores, copies share the queries
+    copies = min(n_chunks, max(1, -(-2 * cores // n_blocks)))
 
-    def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
-        """A row per block and vector length: ids and vectors as bytes. Blocks are bounded in rows, whatever the ids are."""
+    def packed(rows: DataFrame, n: int, kind: int) -> DataFrame:
+        """A row per part and vector length: ids and vectors as bytes. Parts are bounded in rows, whatever the ids are."""
         part = F.pmod(F.xxhash64("id", "v"), F.lit(2**31 - 1)) % n
-        sliced = rows.withColumn(name, part.cast("int")).groupBy(name, "dim")
-        schema = f"{name} int, dim int, {name}_ids binary, {name}_v binary"
+        sliced = rows.withColumn("part", part.cast("int")).groupBy("part", "dim")
 
         def pack(key, t):
             ids = t["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             v = t["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            cols = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([v[order].tobytes()], pa.binary())]
-            return pa.Table.from_arrays(cols, names=[name, "dim", f"{name}_ids", f"{name}_v"])
+            cols = [pa.array([kind], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([narrow(v[order])], pa.binary())]
+            return pa.Table.from_arrays(cols, names=["kind", "part", "dim", "ids", "v"])
 
-        return sliced.applyInArrow(pack, schema)
+        return sliced.applyInArrow(pack, "kind int, part int, dim int, ids binary, v binary")
 
-    blocks = packed(found, n_blocks, "block")
-    chunks = packed(asked, n_chunks, "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = chunks.join(blocks, ["block", "dim"]).repartition(max(n_blocks * n_chunks // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block", "chunk", "dim")
+    blocks = packed(found, n_blocks, 0).withColumn("block", F.col("part")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    chunks = packed(asked, n_chunks, 1).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("copy", F.col("part") % copies)
+    rows = blocks.unionByName(chunks)
+    # a block comes first, its index is built once, and the queries pass by one chunk at a time
+    met = rows.repartition(n_blocks * copies, "block", "copy", "dim").sortWithinPartitions("block", "copy", "dim", "kind", "part")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, block = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda name: batch.column(name)[r].as_py()
-                if last is None or last[0] != (get("block"), get("dim")):
-                    ids = np.frombuffer(get("block_ids"), dtype=np.int64)
-                    x = np.frombuffer(get("block_v"), dtype=np.int64).reshape(len(ids), -1)
-                    last = (get("block"), get("dim")), ids, x, slices(x)[0]
-                _, ids, x, index = last
-                q_ids = np.frombuffer(get("chunk_ids"), dtype=np.int64)
-                qs = np.frombuffer(get("chunk_v"), dtype=np.int64).reshape(len(q_ids), -1)
-                got = [search_block(ids, x, index, i, q, k) for i, q in zip(q_ids, qs)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))],
-                    names=["query_id", "id", "score"],
-                )
-
-    near = pairs.mapInArrow(answer, "query_id long, id long, score long")
+                get = lambda name: batch.column(batch.schema.get_field_index(name))[r].as_py()
+                key, ids = (get("block"), get("copy"), get("dim")), np.frombuffer(get("ids"), dtype=np.int64)
+                x = wide(get("v"), len(ids) * key[2]).reshape(len(ids), -1)
+                if get("kind") == 0:
+                    last, block = key, (ids, x, slices(x)[0], int(np.abs(x).max()))
+                elif last == key:  # else the block holds no vector of this length
+                    if block[3] * int(np.abs(x).max()) * key[2] >= 1 << 62:
+                        raise OverflowError("scores go beyond 64 bits")
+                    got = [search_block(*block[:3], i, q, k) for i, q in zip(ids, x)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(ids, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))],
+                        names=["query_id", "id", "score"],
+                    )
+
+    near = met.mapInArrow(answer, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
