@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.graph import Graph
 from lodestone.operators.traverse import bfs
-from lodestone.scratch import numbered
+from lodestone.scratch import numbered, saved
 
 # How much each edge type counts, and the weights of proximity, edge and meaning.
 PRIORITY = {
@@ -23,6 +23,8 @@ PRIORITY = {
     "tagged_with": 0.3,
 }
 WEIGHTS = (0.4, 0.3, 0.3)
+#: Most neighbours that the packing of context reads at a time.
+BLOCK = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -87,33 +89,34 @@ def build_context(graph: Graph, ids: list[str], max_tokens: int = 4000, signatur
     """``id``, ``place``, ``tokens``, ``role`` (target or context) of what fits: seeds in order up to the first that does
     not fit (the first always does), then neighbours by relevance, where one too large is passed over for smaller ones.
 
-    The greedy choice is one fold over the ranked neighbourhood of one request, bounded by its depth.
+    A symbol costs a token at least, so what is chosen has ``max_tokens`` rows at most. The ranked neighbours stay in a
+    written table; of those that could still fit the driver reads ``BLOCK`` rows at most at a time, next ranks first.
     """
     n = graph.nodes.withColumn("full", full_tokens()).withColumn("short", short_tokens())
     seeds = graph.spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "ord long, id string")
-    first = n.join(F.broadcast(seeds), "id").select("id", F.col("full").alias("cost"), F.lit(0).alias("phase"), "ord")
-    ranked = rank_by_relevance(graph, ids, depth)
+    got, used = [], 0
+    for r in n.join(F.broadcast(seeds), "id").select("id", "full", "ord").orderBy("ord").collect():
+        if got and used + r.full > max_tokens:
+            break
+        got.append((r.id, len(got), r.full, "target"))
+        used += r.full
     cost = F.when((F.col("signature") != "") & F.lit(signatures), F.col("short")).otherwise(F.col("full"))
-    later = n.join(ranked, "id")
+    later = n.select("id", "type", cost.alias("cost")).filter(F.col("cost") <= max_tokens - used)
     if not docs:
         later = later.filter("type <> 'doc'")
-    later = later.select("id", cost.alias("cost"), F.lit(1).alias("phase"), F.col("rank").cast("long").alias("ord"))
-    items = first.unionByName(later).agg(F.sort_array(F.collect_list(F.struct("phase", "ord", "id", "cost"))).alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("stop"), F.array().cast("array<struct<id:string,cost:bigint,phase:int>>").alias("got"))
-
-    def step(s: Column, x: Column) -> Column:
-        is_seed = x["phase"] == 0
-        fits = (s["used"] + x["cost"] <= max_tokens) | (is_seed & (F.size(s["got"]) == 0))
-        take = fits & ~(is_seed & s["stop"])
-        return F.struct(
-            F.when(take, s["used"] + x["cost"]).otherwise(s["used"]).alias("used"),
-            (s["stop"] | (is_seed & ~fits)).alias("stop"),
-            F.when(take, F.concat(s["got"], F.array(F.struct(x["id"].alias("id"), x["cost"].alias("cost"), x["phase"].alias("phase"))))).otherwise(s["got"]).alias("got"),
-        )
-
-    folded = items.select(F.aggregate("items", zero, step)["got"].alias("got"))
-    out = folded.select(F.posexplode("got").alias("place", "x"))
-    return out.select("x.id", "place", F.col("x.cost").alias("tokens"), F.when(F.col("x.phase") == 0, "target").otherwise("context").alias("role"))
+    later = saved(rank_by_relevance(graph, ids, depth).join(later, "id").select("id", "rank", "cost"), "context")
+    after = -1
+    while used < max_tokens:
+        most = min(max_tokens - used, BLOCK)
+        block = later.filter((F.col("rank") > after) & (F.col("cost") <= max_tokens - used)).orderBy("rank").limit(most).collect()
+        for r in block:
+            if used + r.cost <= max_tokens:
+                got.append((r.id, len(got), r.cost, "context"))
+                used += r.cost
+        if len(block) < most:
+            break
+        after = block[-1]["rank"]
+    return graph.spark.createDataFrame(got, "id string, place int, tokens long, role string")
 
 
 def context_for(graph: Graph, symbol: str | None = None, file: str | None = None, max_tokens: int = 4000) -> DataFrame | None:
