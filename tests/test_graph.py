@@ -99,7 +99,7 @@ def test_unused(spark):
     assert got == [("handleRequest", "high", "no-callers"), ("deprecatedHelper", "high", "no-callers"), ("unusedExport", "medium", "no-importers")]
 
 
-def test_context_fits_the_budget(spark):
+def test_context_fits_the_budget(spark, monkeypatch):
     sizes = {"login": (200, 0), "auth": (0, 0), "validate": (400, 40), "token": (300, 32)}
     nodes = [{"id": k, "name": "n" * 20, "content": "c" * a, "signature": "s" * b} for k, (a, b) in sizes.items()]
     g = G.from_rows(spark, nodes, [{"source": "auth", "target": "login", "type": "contains"}, {"source": "login", "target": "validate"}, {"source": "login", "target": "token"}])
@@ -107,6 +107,9 @@ def test_context_fits_the_budget(spark):
     assert full == {"login": 50, "auth": 1, "validate": 15, "token": 13}
     assert [r.id for r in context.build_context(g, ["login"], 64).orderBy("place").collect()] == ["login", "auth", "token"]
     assert [r.id for r in context.build_context(g, ["login"], 10).collect()] == ["login"]
+    whole = context.build_context(g, ["login"], 64).orderBy("place").collect()
+    monkeypatch.setattr(context, "BLOCK", 1)
+    assert context.build_context(g, ["login"], 64).orderBy("place").collect() == whole
 
 
 def test_vectors(spark):
