@@ -5,17 +5,21 @@ blanks and the control characters 09-0D, A-Z lower-cased; a text of one to four
 words is one shingle). Equal sets are one record with a multiplicity.
 
 Chosen path: a record carries a signature, the minimum of its tokens under 128
-hash functions. In a run each node of the recursion tree picks one of them by
-the hash of its own path, and a record follows the token it has there, so two
-records stay together with a probability of their similarity. A bucket of more
-than ``limit`` records is split again; smaller ones are brute-forced. Two
-records that agree in a share p of the coordinates meet in a run with a
-probability of at least p^depth, so runs are added until the bound, weighed over
-p, reaches the target recall for every record, whatever the depth was; where it
-can't be reached that is an error. What is still too large at the last depth is
-compared in blocks, a pair of blocks a task.
-
-A pair is looked at in the first run only whose bucket holds both, which each
+hash functions, so that two records have the same token in a coordinate with a
+probability of their similarity. In a run each node of the recursion tree samples
+coordinates by the hash of its own path, one always and a second one in a quarter
+of the nodes (1/similarity on average), and a record goes into the bucket of its
+token in each of them. A bucket of more than ``limit`` records is split again;
+smaller ones are brute-forced. Two records that agree in a share p of the
+coordinates meet below a node with a probability of at least
+q(d) = 1 - (1 - p q(d-1)) (1 - p q(d-1) / 4) within d levels (the second
+coordinate is another one than the first, which can only help), so runs are added
+until the bound, weighed over p, reaches the target recall for every record,
+whatever the depth was; where it can't be reached that is an error. What is still
+too large at the last depth is compared in blocks, a pair of blocks a task.
+
+A node's place in the tree of its run is its slot, the same for all its records.
+A pair is looked at in the first slot only whose bucket holds both, which each
 record's list of buckets tells; so links are counted exactly once without a
 table of pairs. Sizes and 1-bit minwise sketches (5 standard deviations below
 the threshold pass) leave out hopeless pairs; what is left is compared by its
@@ -45,7 +49,11 @@ from lodestone.llm.common import saved
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES = 128
 LIMIT, DEPTH = 2048, 6
-RUNS, MOST_RUNS, RECALL = 12, 240, 0.9999
+RUNS, MOST_RUNS, RECALL = 8, 240, 0.9999
+#: Share of nodes that sample a second coordinate.
+SECOND = 0.25
+#: Rows of buckets of a task, about; Spark's own number of partitions is the least.
+TASK_ROWS = 2_000_000
 #: Largest number of rows (of a few bytes each) that is broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 200_000
 #: Pairs that are looked at in one go.
@@ -109,15 +117,23 @@ def signatures(sets: list[np.ndarray], n: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def paths(sig: np.ndarray, run: int, depth: int = DEPTH) -> np.ndarray:
-    """The nodes that each signature reaches in a run, level by level: (rows, depth)."""
-    at = np.full(len(sig), mix(np.array([run + 1], dtype=U) * U(0x9E3779B97F4A7C15))[0])
-    out = np.empty((len(sig), depth), dtype=U)
-    for d in range(depth):
-        own = np.take_along_axis(sig, (mix(at + U(d)) % U(sig.shape[1])).astype(np.int64)[:, None], 1)[:, 0]
-        at = mix(at * U(3) + own.astype(U))
-        out[:, d] = at
-    return out
+def children(sig: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each coordinate that the nodes ``at`` sample: its number (0 or 1), the rows that it concerns, and the nodes they go to."""
+    n = U(sig.shape[1])
+    first = mix(at + U(1)) % n
+    second = (first + U(1) + mix(at + U(2)) % (n - U(1))) % n
+    some = np.flatnonzero(mix(at + U(3)) < U(int(SECOND * 2**64)))
+    for which, coordinate, rows in ((0, first, np.arange(len(at))), (1, second, some)):
+        token = sig[rows, coordinate[rows].astype(np.int64)].astype(U)
+        yield which, rows, mix(at[rows] * U(3) + token + (U(which + 1) << U(40)))
+
+
+def meets(share: float, depth: int) -> float:
+    """The least probability that a pair that agrees in this share of the coordinates is together in a node of this depth."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - (1 - share * q) * (1 - SECOND * share * q)
+    return q
 
 
 def records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,30 +174,47 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def buckets(recs: DataFrame, first: int, n_runs: int, limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
-    """Leaves (key, run, leaf, blocks) that hold two records or more, and how deep records went (key, run, depth over 1)."""
+    """Leaves (key, slot, leaf, blocks) that hold two records or more, and how deep records went (key, run, depth over 1)."""
+    width = 2 << depth
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def below(key: pa.Array, sig: np.ndarray, run: np.ndarray, code: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for which, rows, nodes in children(sig, at):
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(rows)), pa.array(run[rows]), pa.array(code[rows] * 2 + which), pa.array(nodes.view(np.int64))], names=["key", "run", "code", "leaf"])
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = matrix(batch)
+                ones = np.ones(batch.num_rows, dtype=np.int32)
+                for r in range(first, first + n_runs):
+                    root = mix(np.full(batch.num_rows, r + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+                    yield from below(batch.column(0), sig, ones * np.int32(r), ones, root)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, COORDINATES), dtype=np.uint32)
-            for r in range(first, first + n_runs):
-                got = paths(sig, r, depth).view(np.int64)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), depth).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(got), r, dtype=np.int32)), lists], names=["key", "run", "path"])
+            if batch.num_rows:
+                run, code, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+                yield from below(batch.column(0), matrix(batch), run, code, at.view(U))
 
-    rows = recs.select("key", "sig").mapInArrow(run, "key binary, run int, path array<long>")
+    # key, and a node: run, code (its place in the tree, the root's is 1), leaf (its hash)
+    fields = "key binary, run int, code int, leaf long"
+    rows = recs.select("key", "sig").mapInArrow(start, fields)
     leaves, deep = [], []
     for level in range(depth):
-        node = F.col("path")[level]
-        counts = rows.groupBy(node.alias("leaf")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        held = saved(rows.withColumn("leaf", node).join(counts, "leaf"), "chosen-path")
+        counts = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        held = saved(rows.join(counts, "leaf"), "chosen-path")
         last = level == depth - 1
         done = held if last else held.filter(F.col("size") <= limit)
         blocks = F.ceil(F.col("size") / limit).cast("int") if last else F.lit(1)
-        leaves.append(done.select("key", "run", "leaf", blocks.alias("blocks")))
-        rows = held.filter(F.col("size") > limit).drop("leaf", "size")
-        if last or rows.isEmpty():
+        leaves.append(done.select("key", (F.col("run") * width + F.col("code")).alias("slot"), "leaf", blocks.alias("blocks")))
+        large = held.filter(F.col("size") > limit)
+        if last or large.isEmpty():
             break
-        deep.append(rows.select("key", "run", F.lit(level + 2).alias("depth")))
+        deep.append(large.select("key", "run", F.lit(level + 2).alias("depth")))
+        rows = large.join(recs.select("key", "sig"), "key").select("key", "sig", "run", "code", "leaf").mapInArrow(split, fields)
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
@@ -202,8 +235,8 @@ def missed(similarity: float, bits: int = COORDINATES) -> list[tuple[float, floa
     return out
 
 
-def all_leaves(recs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n_runs: int = RUNS, limit: int = LIMIT) -> tuple[DataFrame, int]:
-    """Leaves of as many runs as the target recall takes: (leaves, number of runs).
+def all_leaves(recs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n_runs: int = RUNS, limit: int = LIMIT) -> DataFrame:
+    """Leaves of as many runs as the target recall takes.
 
     The bound is that of the record that went deepest. All runs share the coordinates, so it is taken for each
     number of coordinates in which a pair can agree, and weighed by the probability of that number.
@@ -222,14 +255,14 @@ def all_leaves(recs: DataFrame, similarity: float = SIMILARITY, recall: float =
             per_key = deepest.groupBy("key").agg(*[F.sum((F.col("depth") == d).cast("int")).alias(str(d)) for d in range(2, DEPTH + 1)])
             worst = F.lit(0.0)
             for d in range(2, DEPTH + 1):  # nearly in the order of the bound: the chance to meet in no run at all
-                worst = worst + F.col(str(d)) * math.log((1 - similarity**d) / (1 - similarity))
+                worst = worst + F.col(str(d)) * math.log((1 - meets(similarity, d)) / (1 - meets(similarity, 1)))
             row = per_key.orderBy(worst.desc()).first()
             if row:
                 runs = {d: int(row[str(d)]) for d in range(2, DEPTH + 1)}
                 profiles.append(runs | {1: total - sum(runs.values())})
-        lost = max(1 - sum(p * (1 - math.prod((1 - share**d) ** n for d, n in runs.items())) * passes for p, share, passes in cases) for runs in profiles)
+        lost = max(1 - sum(p * (1 - math.prod((1 - meets(share, d)) ** n for d, n in runs.items())) * passes for p, share, passes in cases) for runs in profiles)
         if lost <= 1 - recall:
-            return leaves, total
+            return leaves
         if total >= MOST_RUNS:
             raise ValueError(f"recall {1 - lost:.5f} after {total} runs; take more coordinates or a larger limit")
 
@@ -257,9 +290,13 @@ class Block:
     def __init__(self, batch: pa.RecordBatch, similarity: float):
         col = lambda name: batch.column(batch.schema.get_field_index(name))
         self.key = col("key").to_pylist()
-        self.leaf, self.run, self.part, self.n = (col(x).to_numpy(zero_copy_only=False) for x in ("leaf", "run", "part", "n"))
-        flat = col("leaves")
-        self.leaves = flat.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        self.leaf, self.slot, self.part, self.n = (col(x).to_numpy(zero_copy_only=False) for x in ("leaf", "slot", "part", "n"))
+        # each row's bucket in every slot that occurs here, 0 for none
+        slots = col("slots")
+        self.slots, place = np.unique(slots.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        self.leaves = np.zeros((batch.num_rows, len(self.slots)), dtype=np.int64)
+        row = np.repeat(np.arange(batch.num_rows), slots.value_lengths().to_numpy(zero_copy_only=False))
+        self.leaves[row, place] = col("leaves").flatten().to_numpy(zero_copy_only=False)
         self.sketch = np.frombuffer(b"".join(col("sketch").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
         self.similarity = similarity
         bits = self.sketch.shape[1] * 64
@@ -269,19 +306,19 @@ class Block:
         self.starts, self.ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(self.leaf)]])
 
     def new_pairs(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs that can be similar and did not meet in an earlier run."""
+        """Pairs that can be similar and did not meet in an earlier slot."""
         for i, j in slices_of_pairs(starts, ends):
             lo, hi = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
             good = (lo >= self.similarity * hi - 1e-9) & ((self.part[i] != self.part[j]) | (self.part[i] < 0))
             i, j = i[good], j[good]
             good = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64) <= self.apart
             i, j = i[good], j[good]
-            for r in range(self.leaves.shape[1]):
-                if not len(i):
+            last = self.slot[i].max() if len(i) else -1
+            for r, slot in enumerate(self.slots.tolist()):
+                if slot >= last or not len(i):
                     break
-                late = self.run[i] > r
                 a = self.leaves[i, r]
-                good = ~(late & (a != 0) & (a == self.leaves[j, r]))
+                good = ~((self.slot[i] > slot) & (a != 0) & (a == self.leaves[j, r]))
                 i, j = i[good], j[good]
             if len(i):
                 yield i, j
@@ -350,21 +387,20 @@ def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = up
 
 
-def links(docs: DataFrame, recs: DataFrame, leaves: DataFrame, n_runs: int, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+def links(docs: DataFrame, recs: DataFrame, leaves: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """``key``, ``links`` (to other sets, by rows) and ``other`` (an edge of a spanning forest, or null)."""
-    per_key = leaves.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("run", F.struct("leaf", "blocks")))).alias("at"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(n_runs - 1)), lambda r: F.coalesce(F.try_element_at("at", r.cast("int"))["leaf"], F.lit(0).cast("long")))
+    per_key = leaves.groupBy("key").agg(F.collect_list(F.struct("slot", "leaf", "blocks")).alias("at"))  # its size depends on the runs and the depth only
     rows = per_key.join(recs.select("key", "n", "sketch", "rows", "rk"), "key")
-    rows = rows.select("key", "n", "sketch", "rows", "rk", vector.alias("leaves"), F.explode("at").alias("run", "x"))
+    rows = rows.select("key", "n", "sketch", "rows", "rk", F.col("at.slot").alias("slots"), F.col("at.leaf").alias("leaves"), F.explode("at").alias("x"))
     # a bucket too large at the last depth: pairs of blocks
     own = F.pmod(F.xxhash64("key", F.lit(5)), F.col("x.blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)))
     pair = F.xxhash64("x.leaf", F.least("own", "with"), F.greatest("own", "with"))
     leaf = F.when(F.col("x.blocks") == 1, F.col("x.leaf")).otherwise(pair)
     part = F.when(F.col("own") == F.col("with"), -1 - F.col("own")).otherwise(F.col("own"))
-    rows = rows.select("key", "n", "sketch", "rows", "rk", "leaves", "run", leaf.alias("leaf"), part.cast("int").alias("part"))
+    rows = rows.select("key", "n", "sketch", "rows", "rk", "slots", "leaves", F.col("x.slot").alias("slot"), leaf.alias("leaf"), part.cast("int").alias("part"))
     # rows of a block that meet only in their own block's bucket have a negative part
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-leaves.count() // TASK_ROWS))
     sorted_rows = rows.repartition(n_parts, "leaf").sortWithinPartitions("leaf", "key")
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,8 +479,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         F.min(F.struct(F.col("id"), F.col("rk"))).alias("first"), F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")
     )
     recs = saved(recs.withColumn("rk", F.col("first.rk")), "jaccard-sets")
-    leaves, total = all_leaves(recs, similarity, recall, n_runs, limit)
-    found = links(docs, recs, leaves, total, id_col, text_col, similarity)
+    leaves = all_leaves(recs, similarity, recall, n_runs, limit)
+    found = links(docs, recs, leaves, id_col, text_col, similarity)
     roots = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     per_set = recs.join(found.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     per_set = per_set.select("key", "rows", "low", "rk", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links"))

@@ -221,8 +221,31 @@ def test_mixing_gives_one_pass_at_least(spark):
 def test_recall_bound_counts_shared_coordinates():
     cases = jaccard_join.missed(0.8)
     assert abs(sum(p for p, _, _ in cases) - 1) < 1e-9 and cases[-1][2] == 1
-    one = 1 - sum(p * (1 - (1 - share) ** 12) * passes for p, share, passes in cases)
-    assert 0.2**12 < one < 1e-4  # more than if runs were independent
+    one = 1 - sum(p * (1 - (1 - jaccard_join.meets(share, 1)) ** 8) * passes for p, share, passes in cases)
+    assert (1 - jaccard_join.meets(0.8, 1)) ** 8 < one < 1e-4  # more than if runs were independent
+
+
+def test_branching_paths_meet_as_often_as_the_bound_says():
+    rng = np.random.default_rng(3)
+    n, agree = 20_000, 96
+    sig = rng.integers(0, 1 << 32, (2, n, 128), dtype=np.uint64).astype(np.uint32)
+    sig[1, :, :agree] = sig[0, :, :agree]
+    roots = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    alive = [(np.arange(n), roots)]  # nodes that hold both signatures of a pair
+    for depth in range(1, 5):
+        below, branches, nodes = [], 0, 0
+        for pair, at in alive:
+            nodes += len(at)
+            both = zip(jaccard_join.children(sig[0, pair], at), jaccard_join.children(sig[1, pair], at))
+            for (_, rows, a), (_, same_rows, b) in both:
+                assert (rows == same_rows).all()
+                branches += len(rows)
+                below.append((pair[rows][a == b], a[a == b]))
+        alive = below
+        assert abs(branches / nodes - 1 - jaccard_join.SECOND) < 0.02
+        met = len(np.unique(np.concatenate([pair for pair, _ in alive]))) / n
+        bound = jaccard_join.meets(agree / 128, depth)
+        assert bound - 0.015 < met < bound + 0.03
 
 
 def test_pipeline_over_a_small_folder(spark, tmp_path):
