@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, exact_dedup, hpylm, jaccard_join, line_dedup, mixing, sharding, suffix_dedup, topk, toxicity
+from lodestone.llm import bpe, clustering, exact_dedup, hard_negatives, hpylm, jaccard_join, line_dedup, mixing, sharding, substring_dedup, suffix_dedup, topk, toxicity
 from lodestone.llm.common import table
 
 
@@ -72,8 +72,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64.0, dim=64)
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.deduplicate(docs, keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").filter("label is not null")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0, label=label, positives=5, negatives=3, low=50, high=95, scale=256.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_topk, op6_sharding, op7_hpylm, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_exact_dedup, op4_bpe, op5_topk, op6_sharding, op7_hpylm, op8_suffix_dedup, op9_jaccard_join, op10_toxicity, op11_clustering, op12_substring_dedup, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -82,7 +100,37 @@ def oracle_sql() -> dict[str, str]:
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ROUND = """
+d{n} as materialized (select vec_id, v.x, c, list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, k.x) + list_dot_product(k.x, k.x) as d from v, c{n} as k qualify row_number() over (partition by vec_id order by d, c) = 1),
+u{n} as (select c, i, floor(sum(x) / count(*)) as x from (select c, unnest(x) as x, generate_subscripts(x, 1) as i from d{n}) group by c, i),
+c{m} as materialized (select c, coalesce(m.x, c{n}.x) as x from c{n} left join (select c, list(x order by i) as x from u{n} group by c) as m using (c)),"""
+
 SQL = {
+    "op11_clustering": """
+with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x from embeddings
+  where vec_id is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select row_number() over (order by h, x) - 1 as c, x from (select x, sha256('1:' || vec_id) as h from v order by h, x limit 16)),"""
+    + "".join(_ROUND.format(n=n, m=n + 1) for n in range(3))
+    + """
+f as materialized (select vec_id, c, (list_dot_product(v.x, v.x) - 2 * list_dot_product(v.x, k.x) + list_dot_product(k.x, k.x))::bigint as d from v, c3 as k qualify row_number() over (partition by vec_id order by d, c) = 1)
+select vec_id, c::integer as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(list_transform(c3.x, lambda x: x::bigint), ',')) as centroid_sha256 from f join c3 using (c)""",
+    "op12_substring_dedup": r"""
+with d as materialized (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') as w from documents),
+x as materialized (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d),
+p as (select doc_id, i, string_agg(word, ' ') over o as win, count(*) over o as n from x window o as (partition by doc_id order by i rows between current row and 19 following)),
+r as (select doc_id, i, row_number() over (partition by win order by doc_id, i) as n from p where n = 20),
+c as (select distinct doc_id, i + k as i from r, range(20) as t(k) where n > 1),
+k as (select x.doc_id, count(*) as n_words, count(c.i) as n_removed, coalesce(string_agg(case when c.i is null then word end, ' ' order by x.i), '') as kept from x left join c on c.doc_id = x.doc_id and c.i = x.i group by x.doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+    "op13_hard_negatives": """
+with v as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.x, b.x)::bigint as score from v as a join v as b on a.vec_id % 50 = 0 and b.vec_id <> a.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, vec_id as negative_id, score as negative_score, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank
+  from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3""",
     "op2_line_dedup": """
 with d as (select doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, text, string_split(text, chr(10)) as ls from d),
