@@ -170,9 +170,12 @@ def sides(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def joined(rows: DataFrame, leaders: DataFrame, on: list[str], n_rows: int) -> DataFrame:
-    """``rows`` with the leader of their group (``n``: the rows of the group). Large groups stay where they are."""
+    """``rows`` with the leader of their group (``leaders`` is stored; ``n``: the rows of the group). Large groups stay where they are."""
     large = max(200, n_rows // 2000)
-    hot = F.broadcast(leaders.filter(F.col("n") >= large).drop("n"))  # at most n_rows / large of them
+    hot = leaders.filter(F.col("n") >= large).drop("n")
+    if hot.isEmpty():
+        return rows.join(leaders.drop("n"), on)
+    hot = F.broadcast(hot)  # at most n_rows / large of them
     rest = rows.join(hot.select(*on), on, "left_anti").join(leaders.filter(F.col("n") < large).drop("n"), on)
     return rows.join(hot, on).unionByName(rest)
 
@@ -184,6 +187,11 @@ def shared(a: Column, b: Column) -> Column:
     return F.when(differs > 0, differs - 1).otherwise(n).cast("int")
 
 
+def released(df: DataFrame) -> None:
+    """Let go of shuffle files that nothing needs any more: Spark deletes them once the driver's memory is collected."""
+    df.sparkSession._jvm.java.lang.System.gc()
+
+
 def place() -> Column:
     """What orders occurrences: null ids come first."""
     return F.struct(F.col("id").isNotNull().alias("some"), F.coalesce("id", F.lit(0)).alias("at"), "th", "pos")
@@ -256,9 +264,14 @@ def walked(rows: DataFrame, length: int, gram: int) -> DataFrame:
 def covered(docs: DataFrame, length: int, gram: int, small: int = SMALL) -> DataFrame:
     """id, th, a, b: the words [a, b) of a document are a repeat of earlier ones. ``docs``: id, th, text."""
     side = length - gram
-    found = saved(occurrences(docs, length, gram).filter(F.col("before") + F.col("after") >= side), "seeds")
+    every = occurrences(docs, length, gram).filter(F.col("before") + F.col("after") >= side)
+    # anchors first, alone: texts are read again rather than all occurrences stored, most of which stand alone
+    repeated = saved(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchors")
+    n_found = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = saved(joined(every, repeated, ["anchor"], n_found), "seeds")
+    released(docs)
     kinds = saved(found.groupBy("anchor", "around").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")), "kinds")
-    again = joined(found, kinds.filter("n > 1"), ["anchor", "around"], found.count())
+    again = joined(found, kinds.filter("n > 1"), ["anchor", "around"], n_found)
     out = [again.filter(place() > F.col("first")).select("id", "th", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after") + gram).alias("b"))]
 
     # the earliest of each kind, where an anchor has several
@@ -268,6 +281,7 @@ def covered(docs: DataFrame, length: int, gram: int, small: int = SMALL) -> Data
     texts = docs.join(seeds, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "text", "seeds")
     rows = sides(texts, length, gram).withColumn("lo", F.greatest(F.lit(0), side - F.size("after"))).withColumn("hi", F.size("before"))
     rows = saved(rows, "sides")
+    released(docs)
     while n_rows := rows.count():
         leaders = rows.groupBy("key").agg(F.min(place()).alias("first"), F.min_by(F.struct("before", "after"), place()).alias("own"), F.count(F.lit(1)).alias("n"))
         leaders = saved(leaders.filter(F.col("n") > small), "leaders")
