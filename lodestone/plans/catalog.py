@@ -12,8 +12,8 @@ from lodestone import schema
 from lodestone.functions import columns
 from lodestone.graph import Graph
 from lodestone.operators import analysis, context, query, summary, tools, traverse
-from lodestone.scratch import shared_dir, written
-from lodestone.sources import files, markdown, registry, sample, store
+from lodestone.scratch import saved, shared_dir, written
+from lodestone.sources import files, folders, indexer, markdown, registry, sample, store
 
 FIRST_PART = 4_000_000_000_000
 
@@ -22,9 +22,10 @@ _STORED: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    """The sample graph, stored once an application as an index would be: the tables are taken not to change meanwhile."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _STORED:
+    """The sample graph, stored as an index would be, once for an application and a state of the tables' files."""
+    state = folders.fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in sample.TABLES])
+    key = spark.sparkContext.applicationId, state
+    if key not in _STORED or not all(folders.exists(spark, p) for p in _STORED[key]):
         g = sample.sample_graph(spark, sf_dir)
         _STORED[key] = written(g.nodes, "graph-nodes"), written(g.edges, "graph-edges")
     nodes, edges = _STORED[key]
@@ -425,7 +426,7 @@ def viewer_previews(g):
     return analysis.file_children(Graph(docs, held), "bench/x").nodes.select("id", "content")
 
 
-@registered(_PARENT + ", c as (select target as id from e where source = 'nation/3' and type = 'contains') select id, source, target, type, weight from e where source in (select id from c) or target in (select id from c)")
+@registered(_PARENT + ", c as (select id from p where parent = 'nation/3' and id <> 'nation/3') select id, source, target, type, weight from e where source in (select id from c) union select id, source, target, type, weight from e where target in (select id from c)")
 def viewer_child_edges(g):
     return analysis.file_children(g, "nation/3").edges.select("id", "source", "target", "type", "weight")
 
@@ -462,9 +463,12 @@ def similar_threshold(g):
     return context.find_similar(g, _vector(g), 1000, 0.2).select("id", F.round("score", 6).alias("score"))
 
 
-@registered("select id, greatest(1, length(content) // 4 + length(signature) // 4) as tokens from n where type <> 'doc'")
+_UNITS = "length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"  # in UTF-16
+
+
+@registered(f"select id, greatest(1, ({_UNITS.format('content')}) // 4 + length(signature) // 4) as tokens from n")
 def node_tokens(g):
-    return g.nodes.filter("type <> 'doc'").select("id", context.full_tokens().alias("tokens"))
+    return g.nodes.select("id", context.full_tokens().alias("tokens"))
 
 
 @registered(_BENCH + " select id, round(0.4 / 2 + 0.3 * 0.3 + 0.15, 6) as score, cast(ord as integer) as rank from d1 union all select id, round(0.4 / 3 + 0.3 * 0.5 + 0.15, 6), cast((select count(*) from d1) + row_number() over (order by ord) as integer) from d2")
@@ -492,16 +496,31 @@ def _notes(g: Graph) -> DataFrame:
     return g.nodes.filter("type = 'doc'").select(F.col("id").alias("path"), text.alias("text"))
 
 
-@registered("""
-, t as (select id, seq, name, regexp_replace(content, '^\\s+|\\s+$', '', 'g') as body, length(content) - length(replace(content, chr(10), '')) as breaks from n where type = 'doc' and not regexp_matches(content, '(?m)^#{1,6}\\s+\\S'))
-select id as path, 1 as section, 1 as level, name as title, 2 as start_line, md5(body) as body from t where body <> '' union all select id, 2, 2, 'Seen', breaks + 4, md5('`o' || seq % 1000 || '`') from t""")
+def _sections(files: str) -> str:
+    """SQL: ``m`` (path, section, level, title, start_line, body) of files (path, text)."""
+    heading = r"'^(#{1,6})[ \t\n\x0B\f\r]+([^\n\r\x{85}\x{2028}\x{2029}]+)$'"
+    space = r"'^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$'"
+    return f"""
+, l as (select path, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {files}),
+h as (select *, length(regexp_extract(line, {heading}, 1)) as mark from l),
+c as (select *, sum((mark > 0)::int) over (partition by path order by pos) as section from h),
+b as (select path, section, max(mark) as level, trim(max(case when mark > 0 then regexp_extract(line, {heading}, 2) end), ' ') as title, max(case when mark > 0 then pos end) as start_line,
+  regexp_replace(coalesce(string_agg(case when mark = 0 then line end, chr(10) order by pos), ''), {space}, '', 'g') as body from c where section > 0 group by path, section),
+m as (select path, section::integer as section, level::integer as level, title, start_line::integer as start_line, body from b where body <> '')"""
+
+
+_NOTES = ", f as (select id as path, 'intro' || chr(10) || '# ' || name || chr(10) || content || chr(10) || '## Seen' || chr(10) || '`o' || seq % 1000 || '`' || chr(10) || '### Empty' as text from n where type = 'doc')"
+
+
+@registered(_NOTES + _sections("f") + " select path, section, level, title, start_line, md5(body) as body from m")
 def markdown_sections(g):
-    found = markdown.sections(_notes(g)).select("path", "section", "level", "title", "start_line", F.md5("body").alias("body"))
-    odd = g.nodes.filter(F.col("content").rlike(r"(?m)^#{1,6}\s+\S")).select(F.col("id").alias("path"))  # texts that hold headings themselves
-    return found.join(odd, "path", "left_anti")
+    return markdown.sections(_notes(g)).select("path", "section", "level", "title", "start_line", F.md5("body").alias("body"))
+
+
+_MENTIONS = r"select distinct path, section, unnest(regexp_extract_all(body, '`([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)`', 1)) as name from m"
 
 
-@registered("select d.id as path, 2 as section, n.id from n as d join n on n.name_lc = 'o' || d.seq % 1000 and n.type <> 'doc' where d.type = 'doc'")
+@registered(_NOTES + _sections("f") + f", u as ({_MENTIONS}) select distinct path, section, n.id from u join n on n.name_lc = lower(u.name) and n.type <> 'doc'")
 def doc_links(g):
     return markdown.links(markdown.sections(_notes(g)), g)
 
@@ -672,17 +691,102 @@ def list_with_meta(g):
     return registry.described(rows, store.list_projects({"a": g}), 200_000).select("project", "nodes", "age")
 
 
-@registered("""
-, t as (select id, seq, name, regexp_replace(content, '^\\s+|\\s+$', '', 'g') as body from n where type = 'doc' and not regexp_matches(content, '(?m)^#{1,6}\\s+\\S')),
-r as (select id as path, id, 'doc' as kind, '{"format":"markdown"}' as metadata from t union all select id, id || '#1', 'doc', '{"level":1}' from t where body <> '' union all select id, id || '#2', 'doc', '{"level":2}' from t)
-select path, id, kind, metadata, case when id <> path then path end as parent from r""")
+@registered(_NOTES + _sections("f") + """
+select path, path as id, 'doc' as kind, '{"format":"markdown"}' as metadata, null as parent from f union all select path, path || '#' || section, 'doc', '{"level":' || level || '}', path from m""")
 def doc_index(g):
-    notes = _notes(Graph(g.nodes.filter(~F.col("content").rlike(r"(?m)^#{1,6}\s+\S")), g.edges))
-    made = markdown.index(notes)
+    made = markdown.index(_notes(g))
     parents = made.edges.select(F.col("target").alias("id"), F.col("source").alias("parent"))
     return made.nodes.join(parents, "id", "left").select(F.col("file").alias("path"), "id", F.col("type").alias("kind"), "metadata", "parent")
 
 
+# --- index and sync ---------------------------------------------------------------------------------------
+
+
+def _lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An extractor for files of lines 'name other': a symbol for each line, and a reference to the other one."""
+    rows = files.select("path", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("x", F.split("line", " ")).filter(F.size("x") == 2)
+    place, name, id_ = F.col("p").cast("long").alias("place"), F.col("x")[0], F.concat("path", F.lit("#"), F.col("x")[0])
+    none = F.lit("").alias("signature"), (F.col("p") + 1).cast("long").alias("start_line"), F.lit("{}").alias("metadata"), F.lit(None).cast("array<double>").alias("embedding")
+    nodes = rows.select("path", place, id_.alias("id"), F.lit("variable").alias("type"), name.alias("name"), name.alias("qualified_name"), F.col("line").alias("content"), *none)
+    said = [F.lit(x).alias(y) for x, y in (("one", "scope"), ("references", "type"), (1.0, "weight"), ("{}", "metadata"))]
+    return nodes, rows.select("path", place, id_.alias("source"), F.col("x")[1].alias("ref"), F.lit(None).cast("string").alias("ref_file"), *said)
+
+
+def _project_files(g: Graph, late: bool) -> DataFrame:
+    """The files of a project: documents, and parts in files of 50, a line each that refers to another part. ``late``: as they are in the end;
+    else an earlier state, where some files are missing, some differ, and some are there that go later."""
+    part = (F.col("seq") - FIRST_PART).cast("long")
+    parts = g.nodes.filter("type in ('variable', 'type')").select(part.alias("p"), F.floor(part / 50).cast("long").alias("k"))
+    docs = g.nodes.filter("type = 'doc'").select((F.col("seq") - 5_000_000_000_000).alias("d"), "name", "content")
+
+    def sources(name: str, rows: DataFrame, folder: str, mtime) -> DataFrame:
+        line = F.concat(F.lit(name), "p", F.lit(" p"), F.floor(F.col("p") / 2).cast("long"))
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", line.alias("l")))), lambda x: x["l"]), "\n")
+        return rows.groupBy("k").agg(text.alias("text")).select(F.concat(F.lit(folder), "k", F.lit(".ts")).alias("path"), mtime.alias("mtime"), "text")
+
+    def notes(rows: DataFrame, folder: str, text, mtime) -> DataFrame:
+        return rows.select(F.concat(F.lit(folder), "d", F.lit(".md")).alias("path"), mtime.alias("mtime"), text.alias("text"))
+
+    one = F.lit(1).cast("long")
+    text = F.concat(F.lit("# "), "name", F.lit("\n"), "content", F.lit("\n## Seen\n`P"), F.col("d") % 1000, F.lit("` and `o1`"))
+    if late:
+        found = sources("p", parts, "src/f", F.when(F.col("k") % 3 == 1, 2).otherwise(1).cast("long")).unionByName(notes(docs, "docs/", text, F.when(F.col("d") % 4 == 1, 2).otherwise(1).cast("long")))
+    else:
+        found = sources("p", parts.filter("k % 3 = 2"), "src/f", one).unionByName(sources("q", parts.filter("k % 3 = 1"), "src/f", one)).unionByName(sources("p", parts.filter("k % 4 = 0"), "src/a", one))
+        found = found.unionByName(notes(docs.filter("d % 4 > 1"), "docs/", text, one)).unionByName(notes(docs.filter("d % 4 = 1"), "docs/", F.lit("# Old\n`p1`"), one)).unionByName(notes(docs.filter("d % 5 = 0"), "docs/x", text, one))
+    content = F.col("text").cast("binary")
+    return found.select("path", F.octet_length(content).cast("long").alias("size"), "mtime", content.alias("content"))
+
+
+def _indexed(g: Graph, late: bool) -> tuple[indexer.Project, indexer.Synced, DataFrame]:
+    project = indexer.Project(g.spark, f"{shared_dir(g.spark)}/project-{uuid.uuid4().hex}", indexer.EXTRACTORS | {"source": _lines})
+    found = saved(_project_files(g, late), "project-files")
+    return project, project.init(found), found
+
+
+_PROJECT = r""", s as (select 'src/f' || k || '.ts' as path, k, p from (select (seq - 4000000000000) // 50 as k, seq - 4000000000000 as p from n where type in ('variable', 'type'))),
+f as (select 'docs/' || (seq - 5000000000000) || '.md' as path, '# ' || name || chr(10) || content || chr(10) || '## Seen' || chr(10) || '`P' || (seq - 5000000000000) % 1000 || '` and `o1`' as text from n where type = 'doc')""" + _sections("f") + rf"""
+, u as ({_MENTIONS}),
+w as (select 'node' as kind, path || '#p' || p as id, 'p' || p || ' p' || p // 2 as content, null as target from s union all select 'node', path, text, null from f union all select 'node', path || '#' || section, body, null from m
+  union all select 'contains', path, path || '#' || section, path || '#' || section from m
+  union all select 'references', a.path || '#p' || a.p, 'p' || a.p // 2, b.path || '#p' || b.p from s as a left join s as b on b.p = a.p // 2
+  union all select 'documents', u.path || '#' || section, name, s.path || '#p' || s.p from u left join s on lower(name) = 'p' || s.p)"""
+
+
+@registered(_PROJECT + " select kind, id, md5(content) as content, target from w")
+def index_sync(g):
+    """An earlier state is indexed, then synced to the last one: nodes, and all references with what they go to, as a new index has them."""
+    project, _, _ = _indexed(g, late=False)
+    project.sync(saved(_project_files(g, late=True), "project-files"))
+    nodes = project.store.read(store.NODES).select(F.lit("node").alias("kind"), "id", F.md5("content").alias("content"), F.lit(None).cast("string").alias("target"))
+    return nodes.unionByName(project.store.read(store.LINKS).select(F.col("type").alias("kind"), F.col("source").alias("id"), F.md5("ref").alias("content"), "target"))
+
+
+@registered(_PROJECT + """
+, d as (select seq - 5000000000000 as d from n where type = 'doc'), k as (select distinct k from s),
+t as (select count(*) as nodes, (select count(*) from w where kind <> 'node' and target is not null) as edges, (select count(*) from k) + (select count(*) from d) as files from w where kind = 'node')
+select 'init' as step, (select count(*) filter (k % 3 > 0) + count(*) filter (k % 4 = 0) from k) + (select count(*) filter (d % 4 > 0) + count(*) filter (d % 5 = 0) from d) as added, 0 as updated, 0 as removed, null as nodes, null as edges, null as files
+union all select 'sync', (select count(*) filter (k % 3 = 0) from k) + (select count(*) filter (d % 4 = 0) from d), (select count(*) filter (k % 3 = 1) from k) + (select count(*) filter (d % 4 = 1) from d), (select count(*) filter (k % 4 = 0) from k) + (select count(*) filter (d % 5 = 0) from d), t.nodes, t.edges, t.files from t
+union all select 'again', 0, 0, 0, t.nodes, t.edges, t.files from t""")
+def index_counts(g):
+    """What an index, a sync and a sync without changes report, and the status after it."""
+    project, first, _ = _indexed(g, late=False)
+    files = saved(_project_files(g, late=True), "project-files")
+    steps = [("init", first)]
+    for name in ("sync", "again"):
+        steps.append((name, project.sync(files)))
+    said = g.spark.createDataFrame([(name, x.added, x.updated, x.removed) for name, x in steps], "step string, added long, updated long, removed long")
+    now = project.status(files).select("nodes", "edges", F.expr("files + new + changed + deleted").alias("files"), F.explode(F.array(F.lit("sync"), F.lit("again"))).alias("step"))
+    return said.join(now, "step", "left")
+
+
+@registered(_PROJECT + " select path || '#p' || p as id from s where path in ('src/f1.ts', 'src/f7.ts')")
+def nodes_of_files(g):
+    """A look-up that opens only the parts of the store whose range holds the files."""
+    project, _, _ = _indexed(g, late=True)
+    return store.nodes_of_files(g.spark, project.path, ["src/f1.ts", "src/f7.ts"]).select("id")
+
+
 def queries() -> dict:
     return {k: v[0] for k, v in _FOUND.items()}
 

@@ -51,6 +51,25 @@ def index(files: DataFrame) -> Graph:
     return Graph(nodes, edges)
 
 
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``files``: path, text. The rows that an index keeps of markdown: nodes of files and sections, and references.
+
+    ``place`` orders the rows of a file. A file refers to its sections (by id), a section to all symbols that it mentions (by name).
+    """
+    found = sections(files)
+    name = F.element_at(F.split("path", "/"), -1)
+    none = F.lit("").alias("signature"), F.lit(None).cast("array<double>").alias("embedding")
+    whole = files.select("path", F.lit(0).cast("long").alias("place"), F.col("path").alias("id"), F.lit("doc").alias("type"), name.alias("name"), F.col("path").alias("qualified_name"), F.coalesce("text", F.lit("")).alias("content"), F.lit(1).cast("long").alias("start_line"), F.to_json(F.create_map(F.lit("format"), F.lit("markdown"))).alias("metadata"), *none)
+    id_ = F.concat("path", F.lit("#"), "section").alias("id")
+    part = found.select("path", F.col("section").cast("long").alias("place"), id_, F.lit("doc").alias("type"), F.col("title").alias("name"), F.concat("path", F.lit("#"), "title").alias("qualified_name"), F.col("body").alias("content"), F.col("start_line").cast("long").alias("start_line"), F.to_json(F.struct("level")).alias("metadata"), *none)
+    held = found.select("path", F.col("section").alias("s"), F.lit(-1).alias("p"), F.col("path").alias("source"), F.concat("path", F.lit("#"), "section").alias("ref"), F.lit("one").alias("scope"), F.lit("contains").alias("type"))
+    said = found.select("path", "section", F.posexplode(F.array_distinct(F.regexp_extract_all("body", F.lit(MENTION), F.lit(1)))).alias("p", "name"))
+    said = said.select("path", F.col("section").alias("s"), "p", id_.alias("source"), F.col("name").alias("ref"), F.lit("all").alias("scope"), F.lit("documents").alias("type"))
+    place = (F.row_number().over(Window.partitionBy("path").orderBy("s", "p")) - 1).cast("long")  # within a file
+    refs = held.unionByName(said).withColumn("place", place)
+    return whole.unionByName(part), refs.select("path", "place", "source", "ref", F.lit(None).cast("string").alias("ref_file"), "scope", "type", F.lit(1.0).alias("weight"), F.lit("{}").alias("metadata"))
+
+
 def documents_edges(docs: Graph, code: Graph) -> DataFrame:
     """``documents`` edges from sections to the symbols that they mention: source, target."""
     found = docs.nodes.filter("id <> file").select(F.col("file").alias("path"), F.col("id").alias("section"), F.col("content").alias("body"))
