@@ -24,7 +24,8 @@ all rows. The index and the frequencies are broadcast; both have a fixed bound.
 
 Defined results
 - Null and empty texts hold no terms, and get the base rate of the label. Rows with a null id are never examples and never held out.
-- A document is never its own neighbour. Of rows of labels that repeat an id the largest label counts; null labels don't. Of documents that repeat an example's id the least text is the example.
+- A score depends on the text alone: an example that is scored meets itself as a neighbour, as its copies meet it. Only in the calibration is it left out.
+  Of rows of labels that repeat an id the largest label counts; null labels don't. Of documents that repeat an example's id the least text is the example.
 - Without any example the score is 0. Rows that repeat get the same result each. Extra columns are left out.
 """
 
@@ -80,6 +81,9 @@ def in_batches(texts: list) -> Iterator[tuple[int, list[bytes]]]:
 def starts_of(groups: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(groups, np.arange(n + 1))
 
+#: Weights are whole numbers of its inverse.
+EXACT = 1 << 20
+
 
 @dataclass
 class Index:
@@ -110,7 +114,8 @@ class Index:
         return {k: v for k, v in self.__dict__.items() if k not in ("number", "idf")}
 
     def weights(self, text: np.ndarray, term: np.ndarray, n: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, term's number and weight in a vector of length 1, from text, term and count."""
+        """Text, term's number and weight in a vector of length 1, from text, term and count. Weights are multiples of 2^-20,
+        so that sums of their products are exact in 64-bit floats: a cosine does not depend on what stands beside a text."""
         if not hasattr(self, "number"):
             self.number = np.zeros(TERMS, dtype=np.int32)  # only the pages of known terms are ever touched
             self.number[self.terms] = np.arange(len(self.terms))
@@ -118,7 +123,7 @@ class Index:
         term = self.number[term]
         w = (1 + np.log(n)) * self.idf[term]
         norm = np.sqrt(np.bincount(text, w * w, minlength=n_texts))
-        return text, term, (w / np.where(norm > 0, norm, 1)[text]).astype(np.float32)
+        return text, term, (np.round(w / np.where(norm > 0, norm, 1)[text] * EXACT) / EXACT).astype(np.float32)
 
     def invert(self, text: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
         """Make the lists from the counts of the examples, which are in the order of ids and labels."""
@@ -149,7 +154,7 @@ class Index:
         if not len(text) or not len(self.ids):
             return out
         used, column = np.unique(term, return_inverse=True)
-        asked = np.zeros((len(texts), len(used)), dtype=np.float32)
+        asked = np.zeros((len(texts), len(used)))
         asked[text, column] = w
         where = np.full(len(self.terms), -1, dtype=np.int32)
         where[used] = np.arange(len(used))
@@ -158,7 +163,7 @@ class Index:
         of_list = where[self.list_term]
         of_block = np.repeat(np.arange(n_blocks), np.diff(self.block))
         tops[of_list[of_list >= 0], of_block[of_list >= 0]] = self.list_top[of_list >= 0]
-        bounds = asked @ tops * (1 + 1e-5)
+        bounds = asked.astype(np.float32) @ tops * (1 + 1e-5)
         mine = {i: np.flatnonzero(self.ids == i) for i in set(own) if i is not None}
         best = np.full((len(texts), k), -1.0, dtype=np.float32)
         for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
@@ -169,9 +174,9 @@ class Index:
             posts = slice(self.list_start[self.block[b]], self.list_start[self.block[b + 1]])
             at = np.repeat(of_list[lists], np.diff(self.list_start[self.block[b] : self.block[b + 1] + 1]))
             size = min(self.size, len(self.ids) - b * self.size)
-            held = np.zeros((len(used), size), dtype=np.float32)
+            held = np.zeros((len(used), size))
             held[at[at >= 0], self.row[posts][at >= 0]] = self.weight[posts][at >= 0]
-            got = asked[open_] @ held
+            got = (asked[open_] @ held).astype(np.float32)
             for r, i in enumerate(open_.tolist()):
                 rows = mine.get(own[i], ())
                 if len(rows):
@@ -283,10 +288,10 @@ def _searched(rows: DataFrame, index: Index, k: int, kind: str, keep: int = EVID
     return rows.mapInArrow(run, f"row {kind}, vote double, evidence array<struct<id:bigint,cosine:double,label:int>>")
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
-    """The columns to ``keep`` (all) of each row, then ``tox_score`` and ``tox_evidence`` (id, cosine, label of the nearest)."""
+def score(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
+    """A score of the text alone: equal texts score the same, whatever else their rows say. The columns to ``keep`` (all) of each row, then ``tox_score`` and ``tox_evidence`` (id, cosine, label of the nearest)."""
     kept = [c for c in keep or docs.columns if c not in ("tox_score", "tox_evidence")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.lit(None).cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     found = _searched(rows, index, k, kind).withColumn("row", F.col("row").cast(kind))
     # between the points of the calibration its rate runs straight

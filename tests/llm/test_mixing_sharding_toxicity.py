@@ -175,7 +175,12 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(held) > 100 and sum((r.tox_score >= 0.5) == (r.doc_id % 6 == 0) for r in held) >= 0.95 * len(held)
     by_id = {r.doc_id: r for r in got}
     assert by_id[1201].tox_score > 0.5 > by_id[1200].tox_score == by_id[None].tox_score
-    assert all(e.id != r.doc_id for r in got for e in r.tox_evidence)
+    # copies under other ids, and without one, score the same as the examples
+    copies = docs.union(docs.selectExpr("doc_id + 5000", "text")).union(docs.selectExpr("null", "text")).collect()
+    score = {}
+    for r in toxicity.score(spark.createDataFrame(copies, docs.schema), index).collect():
+        score.setdefault(r.text, set()).add(r.tox_score)
+    assert len(copies) == 3 * docs.count() and all(len(s) == 1 for s in score.values())
 
 
 def test_cosines_are_exact_and_blocks_are_left_out(spark):
@@ -224,5 +229,5 @@ def test_calibration_rises_with_the_votes():
 def test_toxicity_without_examples(spark):
     docs, labels = toxic_corpus(spark, 30)
     for d, n in ((docs, labels.limit(0)), (docs, labels.withColumn("toxic", labels["toxic"] * 0)), (docs.limit(0), labels)):
-        clash = d.withColumn("row", d["text"]).withColumn("id", d["text"])
+        clash = d.withColumns({c: d["text"] for c in ("row", "id", "vote", "evidence", "tox_score")})
         assert {r.tox_score for r in toxicity.score(clash, toxicity.fit(clash, n)).collect()} <= {0.0}
