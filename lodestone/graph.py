@@ -13,12 +13,15 @@ from pyspark.sql.window import Window
 
 from lodestone import schema
 from lodestone.scratch import numbered
+from lodestone.sources.adjacency import Adjacency
 
 
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    #: The same edges, stored for traversal (``sources.adjacency``); without it each level reads the edges as they are.
+    adjacency: Adjacency | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -105,7 +108,10 @@ class Graph:
         return self.remove_nodes(self.nodes.filter(F.col("file") == path))
 
     def update_nodes(self, changes: DataFrame) -> Graph:
-        """``changes``: id and any of the columns to overwrite, each beside a boolean ``set_<column>``; one row an id."""
+        """``changes``: id and any of the columns to overwrite, each beside a boolean ``set_<column>``; one row an id, or ValueError."""
+        twice = changes.groupBy("id").count().filter("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"two changes of {twice[0]['id']}")
         missing = changes.join(self.nodes.select("id"), "id", "left_anti").limit(1).collect()
         if missing:
             raise ValueError(f"Node not found: {missing[0]['id']}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.graph import Graph, of_types
 from lodestone.operators.context import build_context
-from lodestone.operators.traverse import bfs
+from lodestone.operators.traverse import bfs, reach
 from lodestone.scratch import numbered
 
 # Edge types that carry an impact, edges that count as use, and kinds of symbols.
@@ -101,7 +101,8 @@ def review(graph: Graph, files: list[str]) -> Review:
     order = graph.spark.createDataFrame([(f, i) for i, f in enumerate(dict.fromkeys(files))], "file string, file_ord int")
     changed = graph.nodes.filter("type <> 'file'").join(F.broadcast(order), "file").select("id", "name", "type", "file", "file_ord", "seq")
     changed = numbered(changed, "place", "file_ord", "seq").withColumn("change_ord", F.col("place") - 1).drop("place", "file_ord", "seq")
-    found = impact(graph, changed.select(F.col("change_ord").alias("seed_ord"), "id"), 3, paths=False)
+    # two labels a node: one may be the node's own, as a change does not reach itself
+    found = reach(graph, changed.select(F.col("change_ord").alias("seed_ord"), "id"), 3, "inbound", IMPACT_EDGES, best=2).filter("depth > 0").withColumnRenamed("depth", "distance")
     near = found.groupBy("id").agg(F.min(F.struct("distance", "seed_ord")).alias("best"), F.min("seed_ord").alias("first"))
     near = near.select("id", F.col("best.distance").alias("distance"), F.col("best.seed_ord").alias("change_ord"), "first")
     via = changed.select("change_ord", F.col("id").alias("via"))
@@ -136,7 +137,9 @@ def file_graph(graph: Graph) -> Graph:
 
 def file_children(graph: Graph, file_id: str) -> Graph:
     """Nodes whose parent is the file, contents over 500 characters cut and marked, and all edges that touch one."""
-    own = parents(graph).filter((F.col("parent") == file_id) & (F.col("id") != file_id)).select("id")
+    held = graph.edges.filter("type = 'contains'")
+    near = held.filter(F.col("source") == file_id).select("target").distinct()  # only these can have it as a parent
+    own = parents(Graph(graph.nodes, held.join(near, "target", "left_semi"))).filter((F.col("parent") == file_id) & (F.col("id") != file_id)).select("id")
     cut = F.when(F.length("content") > 500, F.concat(F.substring("content", 1, 500), F.lit("..."))).otherwise(F.col("content"))
     nodes = graph.nodes.join(own, "id").withColumn("content", cut).select(*graph.nodes.columns)
     at = lambda end: graph.edges.join(own.withColumnRenamed("id", end), end, "left_semi").select(*graph.edges.columns)

@@ -48,8 +48,12 @@ def find_similar(graph: Graph, query: list[float], k: int, threshold: float = 0.
 
 
 def set_embeddings(graph: Graph, vectors: DataFrame) -> Graph:
-    """``vectors``: ref, file (may be null), embedding; refs that resolve to nothing are left out."""
-    found = graph.resolve(vectors).filter("id is not null").groupBy("id").agg(F.first("embedding").alias("embedding"))
+    """``vectors``: ref, file (may be null), embedding, and maybe ord; refs that resolve to nothing are left out.
+
+    Of several vectors of a node the last one stays, by ord, or else in the order of the rows."""
+    at = F.col("ord") if "ord" in vectors.columns else F.monotonically_increasing_id()
+    asked = saved(vectors.select("ref", "file", "embedding", at.alias("ord")), "vectors")
+    found = graph.resolve(asked).filter("id is not null").groupBy("id").agg(F.max_by("embedding", "ord").alias("embedding"))
     return graph.update_nodes(found.withColumn("set_embedding", F.lit(True)))
 
 

@@ -33,22 +33,29 @@ def search(projects: Projects, text: str, type_: str | None = None, file: str |
     return together(found).select("project", "project_ord", "id", "name", "type", "file", F.col("start_line").alias("line"), F.nullif("signature", F.lit("")).alias("signature"), "score", "seq")
 
 
-def first_with(projects: Projects, has) -> tuple[str, Graph] | None:
-    """The first project for whose graph ``has`` gives a true value."""
-    return next(((name, g) for name, g in projects.items() if has(g)), None)
+def first_symbol(projects: Projects, symbol: str, file: str | None = None) -> tuple[str, str] | None:
+    """The first project that knows a symbol, and the node's id there (as ``Graph.resolve`` finds it): one job, however many projects."""
+    named = F.col("name_lc") == F.lower(F.lit(symbol))
+    hits = {name: g.nodes.filter((F.col("id") == symbol) | named).select("id", "file", "seq") for name, g in projects.items()}
+    near = F.when(F.col("id") == symbol, 0).when(F.coalesce(F.col("file") == F.lit(file), F.lit(False)), 1).otherwise(2)
+    found = together(hits).orderBy("project_ord", near, "seq").limit(1).select("project", "id").collect() if hits else []
+    return (found[0].project, found[0].id) if found else None
 
 
-def resolved(g: Graph, symbol: str, file: str | None = None) -> str | None:
-    return g.resolve(g.spark.createDataFrame([(symbol, file)], "ref string, file string")).first()["id"]
+def first_of_files(projects: Projects, paths: list[str], types: str = "true") -> str | None:
+    """The first project that has nodes (that meet ``types``) in one of the files: one job."""
+    hits = {name: g.nodes.filter(F.col("file").isin(paths)).filter(types).select("seq") for name, g in projects.items()}
+    found = together(hits).agg(F.min_by("project", "project_ord").alias("project")).collect() if hits else []
+    return found[0].project if found else None
 
 
 def similar(projects: Projects, symbol: str, file: str | None = None, k: int = 10, project: str | None = None) -> DataFrame:
     """Of the first project that knows the symbol: the nodes among its ``k`` nearest (itself among them, then left out), scores to 3 digits."""
-    found = first_with(chosen(projects, project), lambda g: resolved(g, symbol, file))
+    found = first_symbol(chosen(projects, project), symbol, file)
     if not found:
         raise ValueError(f"Symbol not found: {symbol}")
-    name, g = found
-    own = resolved(g, symbol, file)
+    name, own = found
+    g = projects[name]
     vector = g.node(own).first()["embedding"]
     if vector is None:
         raise ValueError(f"No embedding available for: {symbol}")
@@ -58,10 +65,10 @@ def similar(projects: Projects, symbol: str, file: str | None = None, k: int = 1
 
 def structure(projects: Projects, path: str, project: str | None = None) -> DataFrame:
     """Of the first project that has symbols in the file: these, with their direct children (name, type, signature) in order."""
-    found = first_with(chosen(projects, project), lambda g: not g.nodes.filter((F.col("file") == path) & (F.col("type") != "file")).isEmpty())
-    if not found:
+    name = first_of_files(chosen(projects, project), [path], "type <> 'file'")
+    if not name:
         raise ValueError(f"No indexed file found: {path}")
-    name, g = found
+    g = projects[name]
     own = g.nodes.filter((F.col("file") == path) & (F.col("type") != "file"))
     child = g.nodes.select(F.col("id").alias("target"), F.struct("name", "type", F.nullif("signature", F.lit("")).alias("signature")).alias("child"))
     held = g.edges.filter("type = 'contains'").select(F.col("source").alias("id"), "target", F.col("seq").alias("k")).join(own.select("id"), "id", "left_semi").join(child, "target")
@@ -76,24 +83,29 @@ def unused(projects: Projects, path: str | None = None, type_: str | None = None
 
 def review(projects: Projects, files: list[str], project: str | None = None) -> tuple[str, analysis.Review]:
     """Of the first project that has one of the files."""
-    found = first_with(chosen(projects, project), lambda g: not g.nodes.filter(F.col("file").isin(files)).isEmpty())
-    if not found:
+    name = first_of_files(chosen(projects, project), files)
+    if not name:
         raise ValueError(f"No indexed files found matching: {', '.join(files)}")
-    return found[0], analysis.review(found[1], files)
+    return name, analysis.review(projects[name], files)
 
 
 def impact(projects: Projects, symbol: str, file: str | None = None, project: str | None = None, **options) -> tuple[str, DataFrame]:
     """Of the first project that knows the symbol."""
-    found = first_with(chosen(projects, project), lambda g: resolved(g, symbol, file))
+    found = first_symbol(chosen(projects, project), symbol, file)
     if not found:
         raise ValueError(f"Symbol not found: {symbol}")
-    return found[0], analysis.impact(found[1], [resolved(found[1], symbol, file)], **options)
+    return found[0], analysis.impact(projects[found[0]], [found[1]], **options)
 
 
 def context_for(projects: Projects, symbol: str | None = None, file: str | None = None, max_tokens: int = 4000, project: str | None = None) -> tuple[str, DataFrame]:
     """Of the first project that knows the symbol, or the file."""
-    for name, g in chosen(projects, project).items():
-        rows = context.context_for(g, symbol, file, max_tokens)
-        if rows is not None:
-            return name, rows
-    raise ValueError(f"Symbol not found: {symbol}" if symbol else f"No indexed file found: {file}")
+    known = chosen(projects, project)
+    if symbol:
+        found = first_symbol(known, symbol, file)
+        if not found:
+            raise ValueError(f"Symbol not found: {symbol}")
+        return found[0], context.build_context(known[found[0]], [found[1]], max_tokens)
+    name = first_of_files(known, [file])
+    if not name:
+        raise ValueError(f"No indexed file found: {file}")
+    return name, context.context_for(known[name], file=file, max_tokens=max_tokens)

@@ -7,20 +7,37 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.graph import Graph, of_types
-from lodestone.scratch import numbered, saved, sized
+from lodestone.scratch import numbered, saved, saved_counted, sized
+from lodestone.sources.adjacency import Adjacency, walked
 
 UNBOUNDED = 1_000_000
-
-
-def steps(graph: Graph, direction: str = "outbound", edge_types: list[str] | None = None) -> DataFrame:
-    """``a``, ``b``, ``side``, ``edge_seq``, ``edge_type``: each edge in the direction in which it is walked."""
-    edges = graph.edges.filter(of_types(edge_types))
-    rest = [F.col("seq").alias("edge_seq"), F.col("type").alias("edge_type")]
-    out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(0).alias("side"), *rest)
-    back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"), F.lit(1).alias("side"), *rest)
-    return {"outbound": out, "inbound": back, "both": out.unionByName(back)}[direction]
+#: Most rows of a frontier whose ids prune the edges that are read, and most tables of visited nodes.
+FEW, MERGED = 64, 8
+
+
+def steps(graph: Graph, direction: str = "outbound", edge_types: list[str] | None = None) -> list[DataFrame]:
+    """``a``, ``b``, ``side``, ``edge_seq``, ``edge_type``: each edge in the direction in which it is walked, a table a direction."""
+    known = graph.adjacency or Adjacency(*walked(graph.edges))
+    kept = F.lit(True) if edge_types is None else F.col("edge_type").isin(edge_types) if edge_types else F.lit(False)
+    return [x.filter(kept) for x in known.steps(direction)]
+
+
+def level(graph: Graph, moves: list[DataFrame], now: DataFrame, size: int, width: int = 1) -> DataFrame:
+    """The steps that leave the frontier ``now`` (``a`` and what goes along), whose ``size`` in rows is known. It is the frontier
+    that moves: broadcast if it is small (a row counts ``width`` times), else dealt out to the buckets of the edges."""
+    if size <= FEW:
+        ids = [r.a for r in now.select("a").distinct().collect()]
+        moves = [x.filter(F.col("a").isin(ids)) for x in moves]
+    side = sized(now, size * width)
+    out = moves[0].join(side, "a")
+    for x in moves[1:]:
+        out = out.unionByName(x.join(side, "a"))
+    if graph.adjacency is None:
+        out = out.join(graph.nodes.select(F.col("id").alias("b")), "b", "left_semi")
+    return out
 
 
 def seeds_of(graph: Graph, ids: list[str] | DataFrame) -> DataFrame:
@@ -41,37 +58,69 @@ def bfs(graph: Graph, ids: list[str] | DataFrame, max_depth: int = UNBOUNDED, di
     start = seeds_of(graph, ids).select("seed_ord", "id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("edge_type"))
     if paths:
         start = start.withColumn("path", F.array("id")).withColumn("edge_path", F.array().cast("array<string>"))
-    frontier = saved(start, "bfs")
-    size = frontier.count()
-    levels = [frontier]
-    visited = frontier.select("seed_ord", "id")
+    frontier, size = saved_counted(start, "bfs")
+    levels, visited, n_visited = [frontier], [frontier.select("seed_ord", "id")], [size]
     depth = 0
-    while depth < max_depth:
-        # the frontier is the small side as a rule; its size decides how it is joined
+    while depth < max_depth and size:
         now = frontier.withColumnRenamed("id", "a").withColumnRenamed("ord", "from_ord").drop("edge_type", "parent_id", "depth")
-        reached = moves.join(sized(now, size), "a")
+        reached = level(graph, moves, now, size, 1 + depth if paths else 1)
         k = F.struct(*(["seed_ord", "from_ord"] if ordered else []), "side", "edge_seq", F.col("a").alias("via"))
         carry = F.struct("a", "edge_type", *(["path", "edge_path"] if paths else []))
         new = reached.groupBy("seed_ord", F.col("b").alias("id")).agg(F.min_by(carry, k).alias("c"), F.min(k).alias("k"))
-        new = new.join(visited, ["seed_ord", "id"], "left_anti")
-        new = new.join(graph.nodes.select("id"), "id", "left_semi")
+        new = new.join(sized(union(visited), sum(n_visited)), ["seed_ord", "id"], "left_anti")
         new = numbered(new, "place", "k") if ordered else new.withColumn("place", F.lit(0))
         cols = ["seed_ord", "id", F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("ord"), F.col("c.a").alias("parent_id"), F.col("c.edge_type").alias("edge_type")]
         if paths:
             cols += [F.concat("c.path", F.array("id")).alias("path"), F.concat("c.edge_path", F.array("c.edge_type")).alias("edge_path")]
-        frontier = saved(new.select(*cols), "bfs")
-        size = frontier.count()
-        if not size:
-            break
+        frontier, size = saved_counted(new.select(*cols), "bfs")
         levels.append(frontier)
-        visited = visited.unionByName(frontier.select("seed_ord", "id"))
+        visited.append(frontier.select("seed_ord", "id"))
+        n_visited.append(size)
+        if direction == "both":  # steps go both ways, so nothing older than the last level can be met
+            visited, n_visited = visited[-2:], n_visited[-2:]
+        elif len(visited) > MERGED:
+            visited, n_visited = [saved(union(visited), "visited")], [sum(n_visited)]
         depth += 1
-    out = levels[0]
-    for x in levels[1:]:
+    return union(levels)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
         out = out.unionByName(x)
     return out
 
 
+def reach(graph: Graph, ids: list[str] | DataFrame, max_depth: int, direction: str = "outbound", edge_types: list[str] | None = None, best: int = 1) -> DataFrame:
+    """``id``, ``depth``, ``seed_ord``: which seeds get to a node, as far as no ``best`` earlier seeds get there in as few steps.
+
+    So a node has at most ``best`` rows a level, however many seeds reach it: its earliest seed, with its distance, is among them, and so
+    is its nearest one (the earliest of these); with ``best`` of 2 also the earliest and the nearest of the seeds other than the node itself.
+    """
+    moves = steps(graph, direction, edge_types)
+    frontier, size = saved_counted(seeds_of(graph, ids).groupBy("id", "seed_ord").agg(F.lit(0).alias("depth")), "reach")
+    if best < 2:
+        frontier, size = saved_counted(frontier.groupBy("id").agg(F.min("seed_ord").alias("seed_ord"), F.lit(0).alias("depth")), "reach")
+    levels = [frontier]
+    for depth in range(1, max_depth + 1):
+        if not size:
+            break
+        reached = level(graph, moves, frontier.select(F.col("id").alias("a"), "seed_ord"), size).select(F.col("b").alias("id"), "seed_ord")
+        if best == 1:
+            new = reached.groupBy("id").agg(F.min("seed_ord").alias("seed_ord"))
+        else:
+            new = reached.distinct()
+            new = new.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("seed_ord"))).filter(F.col("n") <= best).drop("n")
+        # a seed is left out where it has been, or where enough earlier ones are as near
+        old = union(levels).select("id", F.col("seed_ord").alias("there"))
+        fewer = new.join(old, "id", "left").groupBy("id", "seed_ord").agg(F.coalesce(F.bool_or(F.col("there") == F.col("seed_ord")), F.lit(False)).alias("same"), F.count_distinct(F.when(F.col("there") < F.col("seed_ord"), F.col("there"))).alias("less"))
+        new = fewer.filter((F.col("less") < best) & ~F.col("same")).select("id", "seed_ord", "less")
+        new = new.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("seed_ord")) + F.col("less")).filter(F.col("n") <= best)
+        frontier, size = saved_counted(new.select("id", "seed_ord", F.lit(depth).alias("depth")), "reach")
+        levels.append(frontier)
+    return union(levels)
+
+
 def dfs(graph: Graph, start: str, max_depth: int = UNBOUNDED, direction: str = "outbound", edge_types: list[str] | None = None, most: int = 1_000_000) -> DataFrame:
     """``ord``, ``id``, ``depth``, ``parent_id`` in depth-first order, nodes marked when they are taken off the stack.
 
@@ -79,7 +128,7 @@ def dfs(graph: Graph, start: str, max_depth: int = UNBOUNDED, direction: str = "
     and a ball of more than ``most`` edges is an error rather than a silent overload.
     """
     ball = bfs(graph, [start], max_depth, direction, edge_types, ordered=False).select("id")
-    moves = steps(graph, direction, edge_types).join(ball.withColumnRenamed("id", "a"), "a", "left_semi").join(ball.withColumnRenamed("id", "b"), "b", "left_semi")
+    moves = union(steps(graph, direction, edge_types)).join(ball.withColumnRenamed("id", "a"), "a", "left_semi").join(ball.withColumnRenamed("id", "b"), "b", "left_semi")
     moves = saved(moves.select("a", "b", "side", "edge_seq"), "dfs")
     if moves.count() > most:
         raise ValueError(f"more than {most} edges around {start}")
@@ -105,14 +154,18 @@ def dfs(graph: Graph, start: str, max_depth: int = UNBOUNDED, direction: str = "
 
 
 def k_hop(graph: Graph, ids: list[str] | DataFrame, k: int, edge_types: list[str] | None = None, ordered: bool = False) -> DataFrame:
-    """``id`` and ``first`` (seed_ord, depth, ord of the first time) of nodes within k steps of any seed, either way."""
-    found = bfs(graph, ids, k, "both", edge_types, ordered)
+    """``id`` and ``first`` (seed_ord, depth, ord of the first time; ord is 0 unless ``ordered``) of nodes within k steps of any seed, either way."""
+    if not ordered:
+        found = reach(graph, ids, k, "both", edge_types).withColumn("ord", F.lit(0).cast("long"))
+    else:
+        found = bfs(graph, ids, k, "both", edge_types, ordered)
     return found.groupBy("id").agg(F.min(F.struct("seed_ord", "depth", "ord")).alias("first"))
 
 
 def subgraph(graph: Graph, ids: list[str] | DataFrame, max_depth: int = 3, edge_types: list[str] | None = None, node_types: list[str] | None = None, direction: str = "both") -> Graph:
     """What is within ``max_depth`` of the seeds; node types filter the result, not the walk."""
-    inside = bfs(graph, ids, max_depth, direction, edge_types, ordered=False).select("id").distinct()
+    seeds = seeds_of(graph, ids).select(F.lit(0).cast("long").alias("seed_ord"), "id").distinct()  # one label for all
+    inside = reach(graph, seeds, max_depth, direction, edge_types).select("id")
     nodes = graph.nodes.join(inside, "id", "left_semi")
     if node_types:
         nodes = nodes.filter(of_types(node_types))

@@ -12,24 +12,27 @@ from lodestone import schema
 from lodestone.functions import columns
 from lodestone.graph import Graph
 from lodestone.operators import analysis, context, query, summary, tools, traverse
-from lodestone.scratch import saved, shared_dir, written
-from lodestone.sources import files, folders, indexer, markdown, registry, sample, store
+from lodestone.scratch import numbered, saved, shared_dir, written
+from lodestone.sources.adjacency import Adjacency
+from lodestone.sources import adjacency, files, folders, indexer, markdown, registry, sample, store
 
 FIRST_PART = 4_000_000_000_000
 
 
-_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+_STORED: dict[tuple[str, str], tuple[str, str, str, Adjacency]] = {}
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    """The sample graph, stored as an index would be, once for an application and a state of the tables' files."""
+    """The sample graph, stored as an index would be (rows, and steps for traversal), once for an application and a state of the tables' files."""
     state = folders.fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in sample.TABLES])
     key = spark.sparkContext.applicationId, state
-    if key not in _STORED or not all(folders.exists(spark, p) for p in _STORED[key]):
+    if key not in _STORED or not all(folders.exists(spark, p) for p in _STORED[key][:3]):
         g = sample.sample_graph(spark, sf_dir)
-        _STORED[key] = written(g.nodes, "graph-nodes"), written(g.edges, "graph-edges")
-    nodes, edges = _STORED[key]
-    return Graph(spark.read.schema(schema.NODES).parquet(nodes), spark.read.schema(schema.EDGES).parquet(edges))
+        at = written(g.nodes, "graph-nodes"), written(g.edges, "graph-edges"), f"{shared_dir(spark)}/graph-steps-{uuid.uuid4().hex}"
+        kept = Graph(spark.read.schema(schema.NODES).parquet(at[0]), spark.read.schema(schema.EDGES).parquet(at[1]))
+        _STORED[key] = *at, adjacency.build(kept.nodes, kept.edges, at[2])
+    nodes, edges, _, steps = _STORED[key]
+    return Graph(spark.read.schema(schema.NODES).parquet(nodes), spark.read.schema(schema.EDGES).parquet(edges), steps)
 
 
 def at(g: Graph, *seqs: int) -> DataFrame:
@@ -277,12 +280,12 @@ def k_hop(g):
 
 @registered(_walk("seq = 4000000000000", _IN + _DEPS, 3) + " select id, depth as distance from d where depth > 0")
 def impact_dependents(g):
-    return analysis.impact(g, at(g, FIRST_PART), 3).select("id", "distance")
+    return analysis.impact(g, at(g, FIRST_PART), 3, paths=False).select("id", "distance")
 
 
 @registered(_walk("seq = 3000000000001", _OUT + _DEPS, 10) + " select id, depth as distance from d where depth > 0")
 def impact_dependencies(g):
-    return analysis.impact(g, at(g, 3_000_000_000_001), direction="dependencies").select("id", "distance")
+    return analysis.impact(g, at(g, 3_000_000_000_001), direction="dependencies", paths=False).select("id", "distance")
 
 
 @registered(_walk("seq = 4000000000000", _IN + _DEPS, 3) + " select count(*) as total, count(distinct n.file) as files, coalesce(max(depth), 0) as max_depth from d join n using (id) where depth > 0")
@@ -386,6 +389,35 @@ def impact_summary(g):
     return head.select(F.lit("").alias("file"), "text").unionByName(pieces.select("file", "text"))
 
 
+_CHOSEN = """
+, c as (select n.*, row_number() over (order by type, seq) as place, seq % 7 = 3 as target from n where file in ('nation/3', 'nation/4') and type in ('class', 'file') or type = 'doc' and seq % 50 = 0),
+t as (select *, concat_ws(chr(10), case when target then '[TARGET] ' else '' end || type || ' ' || name || ':' || coalesce(start_line, 0), case when signature <> '' then '  signature: ' || signature end, case when target and content <> '' then content end, '') as t from c where file is not null
+  union all select *, concat_ws(chr(10), type || ': ' || name, content, '') from c where file is null),
+p as (select file, min(place) as first, coalesce('--- ' || file || ' ---', '--- Related Documentation ---') || chr(10) || string_agg(t, chr(10) order by place) as text from t group by file)"""
+
+
+@registered(_CHOSEN + " select row_number() over (order by file is null, first) as ord, file, md5(text) as text from p")
+def context_text(g):
+    """A context as text: two files with targets among their rows, and documents."""
+    own = g.nodes.filter("(file in ('nation/3', 'nation/4') and type in ('class', 'file')) or (type = 'doc' and seq % 50 = 0)")
+    chosen = numbered(own.select("id", "type", "seq", F.when(F.col("seq") % 7 == 3, "target").otherwise("context").alias("role")), "place", "type", "seq")
+    return summary.context_text(g, chosen).select("ord", "file", F.md5("text").alias("text"))
+
+
+@registered(_REVIEW + """
+, n3 as (select * from n where file = 'nation/3'),
+k as (select file, string_agg('  ' || type || ' ' || name || case when coalesce(start_line, 0) <> 0 then ':' || start_line else '' end || case when signature <> '' then ' — ' || signature else '' end, chr(10) order by o) as t, min(o) as first from n join c using (id) group by file),
+s as (select count(*) as total, count(distinct n.file) as files, coalesce(max(distance), 0) as far from r join n using (id)),
+h as (select r.id, distance, v.name as via, n.name, n.type, coalesce(n.file, '(unknown)') as file, row_number() over (order by distance, first, r.id) as rank from r join c on c.o = near join n as v on v.id = c.id join n on n.id = r.id qualify rank <= 50),
+i as (select file, min(rank) as first, string_agg('    ' || name || ' [' || type || '] — distance: ' || distance || ', via: ' || via, chr(10) order by rank) as t from h group by file)
+select 0 as part, 0 as ord, '## Changes' as text union all select 0, row_number() over (order by first), chr(10) || '### ' || file || chr(10) || t from k
+union all select 1, 0, chr(10) || '## Impact' union all select 1, 1, case when total > 0 then total || ' symbols affected across ' || files || ' files (max depth: ' || far || ')' || chr(10) else 'No downstream impact detected.' end from s
+union all select 1, 1 + row_number() over (order by first), '  ' || file || ':' || chr(10) || t from i""")
+def review_text(g):
+    """A review as text, but for the code around the changes."""
+    return summary.review_text(analysis.review(g, ["nation/3", "nation/5"]), 100).filter("part < 2")
+
+
 @registered("select id, cast(sum(case when x is null then 0 else 1 end) as bigint) as degree from (select n.id, d.id as x from n left join (select source as id from e union all select target from e) as d using (id) where n.type <> 'file') group by id")
 def degrees(g):
     return analysis.degrees(g).select("id", "degree")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of narrow rows that is broadcast; beyond, Spark shuffles.
@@ -35,6 +35,13 @@ def written(df: DataFrame, name: str) -> str:
     return path
 
 
+def saved_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """``saved``, and the number of its rows, which is counted while it is written."""
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    return saved(watched, name), seen.get["n"]
+
+
 def sized(df: DataFrame, n_rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` as one side of a join: broadcast if its rows (counted, or known) are within the bound."""
     return F.broadcast(df) if (df.count() if n_rows is None else n_rows) <= bound else df
