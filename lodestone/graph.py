@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,8 +79,7 @@ class Graph:
 
     def add_nodes(self, new: DataFrame) -> Graph:
         """The first of an id wins, what is there already before what is new."""
-        new = new.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in schema.NODES.split(", ")])
-        both = self.nodes.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        both = schema.complete(self.nodes).withColumn("_new", F.lit(0)).unionByName(schema.complete(new).withColumn("_new", F.lit(1)))
         first = Window.partitionBy("id").orderBy("_new", "seq")
         return Graph(both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_new"), self.edges)
 
@@ -107,8 +107,12 @@ class Graph:
     def remove_file(self, path: str) -> Graph:
         return self.remove_nodes(self.nodes.filter(F.col("file") == path))
 
-    def update_nodes(self, changes: DataFrame) -> Graph:
-        """``changes``: id and any of the columns to overwrite, each beside a boolean ``set_<column>``; one row an id, or ValueError."""
+    def update_nodes(self, changes: DataFrame, now: int | None = None) -> Graph:
+        """``changes``: id and any of the columns to overwrite, each beside a boolean ``set_<column>``; one row an id, or ValueError.
+        Types and times of creation stay; ``updated_at`` becomes ``now`` (milliseconds)."""
+        fixed = {"set_type", "set_created_at"} & set(changes.columns)
+        if fixed:
+            raise ValueError(f"can't be changed: {', '.join(sorted(fixed))}")
         twice = changes.groupBy("id").count().filter("count > 1").limit(1).collect()
         if twice:
             raise ValueError(f"two changes of {twice[0]['id']}")
@@ -118,7 +122,10 @@ class Graph:
         touched = [c for c in changes.columns if f"set_{c}" in changes.columns]
         new = changes.select("id", *[F.col(c).alias(f"new_{c}") for c in touched], *[f"set_{c}" for c in touched])
         value = lambda c: F.when(F.coalesce(f"set_{c}", F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
-        out = self.nodes.join(new, "id", "left").select(*[value(c) if c in touched else F.col(c) for c in self.nodes.columns])
+        time_ = F.lit(int(time.time() * 1000) if now is None else now)
+        new = new.withColumns({"new_updated_at": time_, "set_updated_at": F.lit(True)})
+        touched = [*touched, "updated_at"]
+        out = schema.complete(self.nodes).join(new, "id", "left").select(*[value(c) if c in touched else F.col(c) for c in schema.NAMES])
         return Graph(out.withColumn("name_lc", F.lower("name")), self.edges)
 
     def clear(self) -> Graph:
@@ -147,6 +154,17 @@ def empty(spark: SparkSession) -> Graph:
     return Graph(spark.createDataFrame([], schema.NODES), spark.createDataFrame([], schema.EDGES))
 
 
+def created_nodes(rows: DataFrame, now: int | None = None) -> DataFrame:
+    """Nodes from rows that say only what differs from the defaults: a name, and maybe seq, type, qualified_name, id, ...
+
+    A qualified name is the name unless it is given, and an id the qualified name; times are ``now`` (milliseconds).
+    """
+    time_ = F.lit(int(time.time() * 1000) if now is None else now)
+    full = F.coalesce(*[F.col(c) for c in ("qualified_name", "name") if c in rows.columns])
+    known = {"seq": F.monotonically_increasing_id(), "id": full, "type": F.lit("function"), "qualified_name": full, "content": F.lit(""), "signature": F.lit(""), "metadata": F.lit("{}"), "created_at": time_, "updated_at": time_}
+    return schema.complete(rows, **known).withColumn("name_lc", F.lower("name"))
+
+
 def from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict]) -> Graph:
     """Small graphs from plain rows, with the defaults of each column; the order of the lists is the insertion order."""
     rows, seen = [], set()
@@ -155,6 +173,7 @@ def from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict]) -> Grap
         if id_ not in seen:
             seen.add(id_)
             name = n.get("name", id_)
-            rows.append((i, id_, n.get("type", "function"), name, name.lower(), n.get("qualified_name") or name, n.get("content", ""), n.get("signature", ""), n.get("file"), n.get("start_line"), n.get("metadata", "{}"), n.get("embedding")))
+            rest = [n.get(c) for c in schema.NAMES[schema.NAMES.index("embedding") :]]
+            rows.append((i, id_, n.get("type", "function"), name, name.lower(), n.get("qualified_name") or name, n.get("content", ""), n.get("signature", ""), n.get("file"), n.get("start_line"), n.get("metadata", "{}"), *rest))
     links = [(i, e.get("id") or f"{e['source']}-{e.get('type', 'calls')}-{e['target']}-{i}", e["source"], e["target"], e.get("type", "calls"), float(e.get("weight", 1.0)), e.get("metadata", "{}")) for i, e in enumerate(edges)]
     return Graph(spark.createDataFrame(rows, schema.NODES), spark.createDataFrame(links, schema.EDGES))

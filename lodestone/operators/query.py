@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,15 +43,17 @@ class Query:
 
     def with_metadata(self, key: str, *value: str | float | bool | None) -> Query:
         """Nodes that have the key, whatever its value; or those whose value is the given one, of the same type (None: null)."""
-        found = F.from_json("metadata", "map<string,variant>")
-        held = self._with(F.map_contains_key(found, key))
+        quote = '"' if "'" in key else "'"
+        if quote in key:
+            raise ValueError(f"both kinds of quotes in a key: {key}")
+        got = F.try_variant_get(F.try_parse_json("metadata"), f"$[{quote}{key}{quote}]", "variant")
+        held = self._with(got.isNotNull())
         if not value:
             return held
         (want,) = value
-        got = F.element_at(found, key)
         kind = F.schema_of_variant(got)
         if want is None:
-            return held._with(got.isNull() | F.is_variant_null(got))
+            return held._with(F.is_variant_null(got))
         if isinstance(want, bool):
             return held._with((kind == "BOOLEAN") & (F.try_variant_get(got, "$", "boolean") == want))
         if isinstance(want, str):
@@ -65,8 +70,17 @@ class Query:
         ends = self.graph.edges.filter(of_types(list(types))).select(F.col(end).alias("id"))
         return Query(self.graph, self.rows.join(ends, "id", "left_semi"))
 
-    def where(self, condition: Column | str) -> Query:
-        return self._with(condition)
+    def where(self, condition: Column | str | Callable[[pd.DataFrame], pd.Series], columns: list[str] | None = None) -> Query:
+        """A column, SQL, or a function of the ``columns`` (all) in batches, for what neither can say: only these go to Python."""
+        if not callable(condition) or isinstance(condition, Column):
+            return self._with(condition)
+        used = columns or self.rows.columns
+
+        @F.pandas_udf("boolean")
+        def holds(batch: pd.DataFrame) -> pd.Series:
+            return condition(batch).astype(bool)
+
+        return self._with(holds(F.struct(*used)))
 
     def results(self) -> DataFrame:
         return self.rows

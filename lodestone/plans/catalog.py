@@ -595,6 +595,19 @@ def store_sizes(g):
     return store.sizes(g)
 
 
+@registered("""
+, o as (select source as id, sum(length(source) + length(target) + length(type) + 100) as b from e group by source),
+x as (select n.id, n.seq, n.file as key, split_part(n.file, '/', 1) as folder, n.type = 'class' as late, length(content) + length(signature) + length(name) + length(qualified_name) + 200 + coalesce(len(embedding) * 6, 0) + coalesce(b, 0) as bytes from n left join o using (id) where file is not null),
+f as (select folder, sum(bytes) <= 20000 as fits from x group by folder),
+y as (select x.*, row_number() over (partition by key order by late, seq) as k from x join f using (folder) where not fits),
+w as (select key, k, id, 0 as bin, bytes as used from y where k = 1 union all
+  select y.key, y.k, y.id, w.bin + cast(w.used + y.bytes > 20000 as integer), case when w.used + y.bytes > 20000 then y.bytes else w.used + y.bytes end from w join y on y.key = w.key and y.k = w.k + 1)
+select id, key as place, bin from w union all select id, folder, 0 from x join f using (folder) where fits""")
+def size_bins(g):
+    """Bins of all nodes that have a file."""
+    return store.bins(Graph(g.nodes.filter("file is not null"), g.edges), 20_000)
+
+
 @registered("""
 , m as (select * from n where file is distinct from 'nation/5' and not (type = 'class' and file in ('nation/3', 'nation/4')))
 select e.id, e.source, e.target, case when s.file in ('nation/3', 'nation/4') then -weight else weight end as weight from e join m as s on s.id = e.source join m as t on t.id = e.target

@@ -12,12 +12,14 @@ place in the file, so that no history decides); one of scope ``all`` goes to eve
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import schema
 from lodestone.functions.columns import edge_bytes, node_bytes
 from lodestone.graph import Graph
 from lodestone.operators.analysis import file_diff
@@ -109,7 +111,8 @@ class Project:
 
         changed = state.filter("state <> 'deleted'").select(F.col("key").alias("path"))
         read = found.join(changed, "path", "left_semi").withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
-        nodes, refs, errors = self._extracted(read)
+        now = int(time.time()) if now is None else now
+        nodes, refs, errors = self._extracted(read, now)
         numbers = numbered(state.filter("state = 'new'").select("key"), "file_no", "key")
         last = known.agg(F.coalesce(F.max("file_no"), F.lit(0)).alias("n")).first().n
         rows = read.filter("text is not null").select(F.col("path").alias("key"), "kind", "mtime", "size")
@@ -138,11 +141,12 @@ class Project:
         n_bad = {r.state: r["count"] for r in bad.join(state, F.col("path") == F.col("key")).groupBy("state").count().collect()}
         return Synced(version, n.get("new", 0) - n_bad.get("new", 0), n.get("changed", 0) - n_bad.get("changed", 0), n.get("deleted", 0), written, removed, bad)
 
-    def _extracted(self, read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _extracted(self, read: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         nodes, refs = [], []
         for kind, extract in self.extractors.items():
             got, said = extract(read.filter((F.col("kind") == kind) & F.col("text").isNotNull()).select("path", "text"))
-            nodes.append(got.select(F.lit(None).cast("long").alias("seq"), "id", "type", "name", F.lower("name").alias("name_lc"), "qualified_name", "content", "signature", F.col("path").alias("file"), "start_line", "metadata", "embedding", F.col("path").alias("key"), "place"))
+            rows = got.withColumns({"file": F.col("path"), "name_lc": F.lower("name"), "created_at": F.lit(now * 1000), "updated_at": F.lit(now * 1000)})
+            nodes.append(schema.complete(rows.withColumn("seq", F.col("place"))).select("*", F.col("file").alias("key"), F.col("seq").alias("place")))
             refs.append(said.withColumnRenamed("path", "key").select(*_KEEP))
         errors = read.filter("text is null").select("path", F.lit("the content is not UTF-8").alias("error"))
         return _all(nodes), _all(refs), errors

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone import schema
 from lodestone.graph import Graph
 from lodestone.scratch import numbered
 
@@ -14,7 +15,7 @@ MENTION = r"`([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)`"
 
 
 def sections(files: DataFrame) -> DataFrame:
-    """``files``: path, text. ``path``, ``section`` (from 1), ``level``, ``title``, ``body``, ``start_line`` (from 1).
+    """``files``: path, text. ``path``, ``section`` (from 1), ``level``, ``title``, ``body``, ``start_line`` and ``end_line`` (from 1).
 
     Text before the first heading belongs to no section; sections without text are left out. Windows run over one file each.
     """
@@ -24,8 +25,8 @@ def sections(files: DataFrame) -> DataFrame:
     lines = lines.withColumn("section", F.sum(F.when(F.col("mark") > 0, 1).otherwise(0)).over(so_far)).filter("section > 0")
     head = F.when(F.col("mark") > 0, F.struct("pos", F.col("mark").alias("level"), F.trim(F.regexp_extract("line", HEADING, 2)).alias("title")))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("mark") == 0, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    got = lines.groupBy("path", "section").agg(F.max(head).alias("h"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
-    out = got.select("path", F.col("section").cast("int").alias("section"), F.col("h.level").alias("level"), F.col("h.title").alias("title"), "body", (F.col("h.pos") + 1).alias("start_line"))
+    got = lines.groupBy("path", "section").agg(F.max(head).alias("h"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), (F.max("pos") + 1).alias("end_line"))
+    out = got.select("path", F.col("section").cast("int").alias("section"), F.col("h.level").alias("level"), F.col("h.title").alias("title"), "body", (F.col("h.pos") + 1).alias("start_line"), "end_line")
     return out.filter("body <> ''")
 
 
@@ -48,7 +49,7 @@ def index(files: DataFrame) -> Graph:
     edges = rows.filter("section > 0").select(
         "seq", F.concat(F.lit("contains-"), "path", F.lit("#"), "section").alias("id"), F.col("path").alias("source"), id_.alias("target"), F.lit("contains").alias("type"), F.lit(1.0).alias("weight"), F.lit("{}").alias("metadata"),
     )
-    return Graph(nodes, edges)
+    return Graph(schema.complete(nodes), edges)
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +59,8 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     found = sections(files)
     name = F.element_at(F.split("path", "/"), -1)
-    none = F.lit("").alias("signature"), F.lit(None).cast("array<double>").alias("embedding")
+    none = F.lit("").alias("signature"), F.lit(None).cast("array<double>").alias("embedding"), F.col("end_line").cast("long").alias("end_line")
+    files = files.withColumn("end_line", F.size(F.split(F.coalesce("text", F.lit("")), "\n")))
     whole = files.select("path", F.lit(0).cast("long").alias("place"), F.col("path").alias("id"), F.lit("doc").alias("type"), name.alias("name"), F.col("path").alias("qualified_name"), F.coalesce("text", F.lit("")).alias("content"), F.lit(1).cast("long").alias("start_line"), F.to_json(F.create_map(F.lit("format"), F.lit("markdown"))).alias("metadata"), *none)
     id_ = F.concat("path", F.lit("#"), "section").alias("id")
     part = found.select("path", F.col("section").cast("long").alias("place"), id_, F.lit("doc").alias("type"), F.col("title").alias("name"), F.concat("path", F.lit("#"), "title").alias("qualified_name"), F.col("body").alias("content"), F.col("start_line").cast("long").alias("start_line"), F.to_json(F.struct("level")).alias("metadata"), *none)
