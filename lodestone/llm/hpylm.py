@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens and documents of a part, tokens of a bucket, and tokens that are seated in one go (they bound a task's memory).
-PART_TOKENS, PART_DOCS, BUCKET_TOKENS, SEATED_TOKENS = 2_000_000, 60_000, 3_000_000, 600_000
+PART_TOKENS, PART_DOCS, BUCKET_TOKENS, SEATED_TOKENS = 2_000_000, 60_000, 2_400_000, 600_000
 #: A word of more tokens than this is dealt over several buckets; at most so many words are.
 CLASS_TOKENS, FREQUENT_WORDS = 250_000, 200_000
 #: Discounts and strengths of the root, the parents and the contexts.
@@ -59,6 +59,8 @@ BURN_IN, SAMPLES = 2, 3
 #: Up to so many customers the Stirling ratios are exact; beyond they follow the tilted limit law.
 STIRLING = 1024
 REMEMBERED = 300_000
+#: Buckets that a corpus gets if it has some tokens for each, however few.
+SPREAD = 16
 U = np.uint64
 
 
@@ -82,11 +84,11 @@ def spread(data: bytes, kind: str) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: unsigned integers in the smallest type that holds them, hashes in 6 bytes."""
+    """Arrays as bytes: unsigned integers in the smallest type that holds them, hashes in 8 bytes."""
     out = []
     for x in arrays:
         if x.dtype == U:
-            kind, raw = b"hash", np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+            kind, raw = b"hash", x.astype("<u8").tobytes()
         else:
             if x.dtype.kind != "f" and len(x) and x.min() >= 0:
                 x = x.astype(np.min_scalar_type(int(x.max())))
@@ -101,9 +103,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
         kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 12], "little")
         at += 12
         if kind == b"hash":
-            wide = np.zeros((size // 6, 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(data, dtype=np.uint8, count=size, offset=at).reshape(-1, 6)
-            out.append(wide.reshape(-1).view("<u8"))
+            out.append(np.frombuffer(data, dtype="<u8", count=size // 8, offset=at))
         elif size:
             out.append(spread(data[at : at + size], kind.decode().strip()))
         else:
@@ -116,7 +116,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def hash_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 16
+    return xxhash.xxh3_64_intdigest(word)
 
 
 #: The end token's hash is that of a string no word can be.
@@ -310,22 +310,29 @@ def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.T
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def frequent_words(docs: DataFrame, share: float) -> DataFrame:
-    """``hash`` and ``n`` of words that are ``share`` of a task's tokens, counted there; and all tokens under hash -1."""
+def frequent_words(docs: DataFrame, least: int) -> tuple[list[tuple[bytes, int]], int]:
+    """The words of over ``least`` tokens (at most ``FREQUENT_WORDS``) with their counts, and the number of all tokens.
+
+    All words are counted: a task adds up what it remembers and hands it on when it is too much, so the list does not depend on how rows are dealt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, total = Counter(), 0
+        handed = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 total += len(words) + 1
                 found.update(words)
                 if len(found) > REMEMBERED:
-                    found = Counter({w: n for w, n in found.items() if n > max(1.0, share * total / 4)})
-        most = [(hash_of(w), n) for w, n in found.items() if n >= max(2.0, share * total)] + [(-1, total)]
-        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in most], pa.int64()) for i in (0, 1)], names=["hash", "n"])
+                    yield handed(found)
+                    found.clear()
+        yield handed(found + Counter({b"": total}))
 
-    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    all_ = F.col("word") == F.lit(b"")
+    most = counts.filter(all_ | (F.col("n") > least)).orderBy(all_.desc(), F.desc("n"), "word").limit(FREQUENT_WORDS + 1).collect()
+    return [(bytes(r.word), r.n) for r in most if len(r.word)], next((r.n for r in most if not len(r.word)), 0)
 
 
 def _send(part: int, ids: list, lens: list[int], known: dict[bytes, int], tokens: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray], n_buckets: int) -> Iterator[tuple]:
@@ -450,13 +457,11 @@ class Bucket:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS, bucket_tokens: int = BUCKET_TOKENS, class_tokens: int = CLASS_TOKENS, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 7) -> DataFrame:
     """A row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counts = frequent_words(docs, class_tokens / 2 / max(1, size // 6))
-    total = (counts.filter("hash = -1").agg(F.sum("n")).first() or [0])[0] or 1
-    most = counts.filter(F.col("hash") >= 0).filter(F.col("n") > class_tokens).orderBy(F.desc("n"), "hash").limit(FREQUENT_WORDS).toArrow().sort_by("hash")
-    frequent = most["hash"].to_numpy().astype(U), (-(-most["n"].to_numpy() // class_tokens)).astype(U)
-    # a small corpus is dealt to all cores
-    n_buckets = max(-(-total // bucket_tokens), min(-(-total // SEATED_TOKENS), docs.sparkSession.sparkContext.defaultParallelism))
+    most, total = frequent_words(docs, class_tokens)
+    most = sorted((hash_of(w), n) for w, n in most)
+    frequent = np.array([h for h, _ in most], dtype=U), np.array([-(-n // class_tokens) for _, n in most], dtype=U)
+    # the corpus alone decides, so that one corpus gives one model; a small one is dealt to some buckets, too
+    n_buckets = max(1, -(-total // bucket_tokens), min(-(-total // SEATED_TOKENS), SPREAD))
     n_word_buckets = -(-n_buckets // 2)
     messages = sent(docs, frequent, n_buckets, part_tokens)
 

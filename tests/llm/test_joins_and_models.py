@@ -195,6 +195,20 @@ def test_frequent_words_over_several_buckets(spark):
     assert abs(sum(r.score for r in got.values()) / sum(r.score for r in want.values()) - 1) < 0.06
 
 
+def test_one_corpus_gives_one_model(spark, monkeypatch):
+    """Neither the number of cores nor how rows are dealt changes a score."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 40) + ["hot"] * (i % 5))) for i in range(150)], "doc_id long, text string")
+    assert sorted(hpylm.frequent_words(docs.repartition(3), 200)[0]) == sorted(hpylm.frequent_words(docs.coalesce(1), 200)[0]) == [(b"hot", sum(i % 5 for i in range(150)))]
+    monkeypatch.setattr(hpylm, "SEATED_TOKENS", 700)
+    scores = lambda d: {r.id: r.score for r in hpylm.score(d, class_tokens=100).collect()}
+    want = scores(docs)
+    for cores, n in ((1, 1), (2, 7), (64, 7)):
+        monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", cores)
+        got = scores(docs.repartition(n))
+        assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_seats_stay_possible():
     rng = np.random.default_rng(1)
     c = np.array([1, 2, 3, 30, 500, 5000, 100_000])
