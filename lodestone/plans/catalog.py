@@ -204,10 +204,9 @@ def add_nodes(g):
     return g.add_nodes(again.unionByName(new, allowMissingColumns=True)).nodes.filter("type = 'file' and id not like 'new/%' or id like 'new/%'").select("id", "name")
 
 
-@registered("select count(*) as edges, max(seq) as last from e where source not in (select id from n where type = 'file') and target not in (select id from n where type = 'file')")
+@registered("select id, source, target from e where source not in (select id from n where type = 'file') and target not in (select id from n where type = 'file')")
 def remove_nodes(g):
-    left = g.remove_nodes(g.nodes.filter("type = 'file'").select("id")).edges
-    return left.agg(F.count(F.lit(1)).alias("edges"), F.max("seq").alias("last"))
+    return g.remove_nodes(g.nodes.filter("type = 'file'").select("id")).edges.select("id", "source", "target")
 
 
 @registered("select type, count(*) as n from n where file is distinct from 'nation/3' group by type")
@@ -508,6 +507,19 @@ def rank_by_relevance(g):
     return context.rank_by_relevance(g, ["bench/1"], 2).withColumn("score", F.round("score", 6))
 
 
+@registered(f"""
+, k as (select target as id, 0 as side, seq, type from e where source = (select id from n where seq = 4000000000001) union all select source, 1, seq, type from e where target = (select id from n where seq = 4000000000001)),
+f as (select k.*, row_number() over (order by side, seq) as ord from k qualify row_number() over (partition by id order by side, seq) = 1),
+s as (select b.id, ord, 0.4 / 2 + 0.3 * case f.type when 'contains' then 1.0 when 'calls' then 0.9 when 'imports' then 0.8 when 'extends' then 0.85 when 'implements' then 0.85 when 'references' then 0.7
+  when 'exports' then 0.6 when 'depends_on' then 0.75 when 'documents' then 0.5 else 0.3 end + 0.3 * case when b.embedding is null then 0.5 else greatest(list_cosine_similarity({_V}), 0.0) end as score
+  from f join n as b using (id) join n as a on a.seq = 4000000000001 where f.id <> a.id)
+select id, round(score, 6) as score, cast(row_number() over (order by round(score, 9) desc, ord) as integer) as rank from s""")
+def relevance_with_vectors(g):
+    """A seed that has a vector: the meaning of its neighbours counts."""
+    own = g.nodes.filter("seq = 4000000000001").first()["id"]
+    return context.rank_by_relevance(g, [own], 1).withColumn("score", F.round("score", 6))
+
+
 @registered(_BENCH + """
 , k as (select id, ord from d1 union all select id, (select count(*) from d1) + ord from d2),
 x as materialized (select 'bench/1' as id, 1 as i, greatest(1, length(content) // 4 + length(signature) // 4) as cost from n where id = 'bench/1' union all
@@ -665,21 +677,35 @@ def tool_structure(g):
     return tools.structure(_projects(g), "nation/3").select("project", "id", "name", "signature")
 
 
+@registered("select p.id, string_agg(c.name || ' ' || c.type || ' ' || coalesce(nullif(c.signature, ''), '-'), '; ' order by e.seq) as children from n as p join e on e.source = p.id and e.type in ('contains', 'exports') join n as c on c.id = e.target where p.file = 'brand/Brand#11' and p.type = 'file' group by p.id")
+def tool_structure_children(g):
+    """The parts of a brand under a symbol of its file, as children in order."""
+    turned = g.edges.withColumn("type", F.when(F.col("type") == "exports", "contains").otherwise(F.col("type")))
+    nodes = g.nodes.withColumn("type", F.when(F.col("type") == "file", "module").otherwise(F.col("type")))
+    found = tools.structure({"one": Graph(nodes, turned)}, "brand/Brand#11").filter("children is not null")
+    child = F.transform("children", lambda x: F.concat_ws(" ", x["name"], x["type"], F.coalesce(x["signature"], F.lit("-"))))
+    return found.filter("type = 'module'").select("id", F.array_join(child, "; ").alias("children"))
+
+
 @registered("select 'rest' as project, id, 'no-references' as reason from n where type = 'class' and file = 'nation/3' and id not in (select target from e where type = 'calls')")
 def tool_unused(g):
     return tools.unused(_projects(g), "nation/3", "class").select("project", "id", "reason")
 
 
-_PATHS = [
-    ("src/a/b.ts", "./c", "src/a/c.ts"), ("src/a/b.tsx", "../c", "src/c.tsx"), ("b.jsx", "./x/./y", "x/y.jsx"), ("b.mjs", "../../z", "z.mjs"), ("a/b.js", "./c.json", "a/c.json"),
-    ("a/b.ts", "react", "react"), ("a/b.ts", "@x/y", "@x/y"), ("a.b/c", "./d", "a.b/d.ts"), ("a/b.mts", ".", "a.mts"),
-]
+_SPECIFIERS = ["./c", "../c", "./x/./y", "../../z", "./c.json", "react", "@x/y", "."]
+_ENDINGS = [".ts", ".tsx", ".jsx", ".mjs", ".mts"]
 
 
-@registered(" select * from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _PATHS) + ") as t(from_file, specifier, path)")
+@registered(f"""
+, f as (select id, 'src/b' || seq % 10 as folder, {_ENDINGS}[seq % 5 + 1] as ending, seq % 8 as k from n where type in ('variable', 'type'))
+select id, case k when 0 then folder || '/c' || ending when 1 then 'src/c' || ending when 2 then folder || '/x/y' || ending when 3 then 'z' || ending when 4 then folder || '/c.json'
+  when 5 then 'react' when 6 then '@x/y' else folder || ending end as path from f""")
 def module_paths(g):
-    rows = g.spark.createDataFrame([x[:2] for x in _PATHS], "from_file string, specifier string")
-    return rows.withColumn("path", columns.module_path(F.col("from_file"), F.col("specifier")))
+    """A file for each part, with an import of each kind in turn."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("seq") % len(values) + 1).cast("int"))
+    file = F.concat(F.lit("src/b"), F.col("seq") % 10, F.lit("/"), "name", pick(_ENDINGS))
+    rows = g.nodes.filter("type in ('variable', 'type')").withColumn("name", F.translate("name", "./#", "___"))
+    return rows.select("id", columns.module_path(file, pick(_SPECIFIERS)).alias("path"))
 
 
 _FOLDER = "['src', 'dist', 'docs', 'src/gen', 'a/node_modules/b'][seq % 5 + 1]"
@@ -722,12 +748,11 @@ def context_for_file(g):
     return context.context_for(g, file=file, max_tokens=1)
 
 
-@registered("select 'one' as scope, 2::bigint as projects, 90::bigint as last_sync union all select 'two', 1, 5")
+@registered("select 's' || seq % 4 as scope, count(*) as projects, max(seq) as last_sync from n where type in ('file', 'class') and seq % 4 <> 3 group by 1")
 def scope_info(g):
-    rows = g.spark.createDataFrame([], registry.COLUMNS)
-    for scope, project, now in (("one", "a", 10), ("one", "b", 90), ("two", "a", 5), ("one", "a", 20), ("three", "c", 1)):
-        rows = registry.register(rows, scope, project, f"/{project}", now)
-    return store.scopes(registry.delete_scope(rows, "three"))
+    """Each file and class as a project, some registered twice, a scope deleted."""
+    rows = g.nodes.filter("type in ('file', 'class')").select(F.concat(F.lit("s"), F.col("seq") % 4).alias("scope"), F.col("id").alias("project"), F.concat(F.lit("/"), "id").alias("path"), F.col("seq").alias("last_sync"))
+    return store.scopes(registry.delete_scope(rows.unionByName(rows.filter("seq % 2 = 0").withColumn("last_sync", F.lit(0).cast("long"))), "s3"))
 
 
 @registered("select 'a' as project, (select count(*) from n) as nodes, '9s ago' as age union all select 'b', null, '3m ago' union all select 'c', null, '2d ago' union all select 'd', null, 'never'")

@@ -160,3 +160,18 @@ def test_texts_for_a_reader(spark):
     whole = "\n".join(r.text for r in review)
     assert whole.startswith("## Changes\n\n### x.ts\n  function a:3 — a()\n  function b:9 — b()\n\n## Impact\n1 symbols affected across 1 files (max depth: 1)\n\n  x.ts:\n    b [function] — distance: 1, via: a\n\n## Code Context\n(~")
     assert "[TARGET] function a:3" in whole
+
+
+def test_points_and_edges(spark):
+    g = from_rows(spark, [{"id": x} for x in "abc"], [{"id": "e1", "source": "a", "target": "b"}, {"id": "e2", "source": "a", "target": "b", "type": "imports"}, {"id": "e3", "source": "b", "target": "a"}])
+    assert g.has_node("a") and not g.has_node("z") and g.node("b").first().id == "b" and g.node("z").isEmpty()
+    assert g.has_edge("e2") and not g.has_edge("e9") and g.edge("e3").first().source == "b"
+    assert [r.id for r in g.out_edges("a").orderBy("seq").collect()] == ["e1", "e2"] and g.out_edges("a", []).isEmpty()
+    assert sorted(r.id for r in g.in_edges("a").collect()) == ["e3"]
+    left = g.remove_edges(spark.createDataFrame([("e1",), ("e1",), ("none",)], "id string"))
+    assert sorted(r.id for r in left.edges.collect()) == ["e2", "e3"] and left.counts().first().asDict() == {"nodes": 3, "files": 0, "edges": 2}
+    assert [r.id for r in traverse.as_iterator(g.nodes.orderBy("seq"))] == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="unknown end"):
+        g.add_edges(from_rows(spark, [], [{"id": "e4", "source": "a", "target": "z"}]).edges)
+    with pytest.raises(ValueError, match="exists"):
+        g.add_edges(from_rows(spark, [], [{"id": "e1", "source": "a", "target": "c"}]).edges)
