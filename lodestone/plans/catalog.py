@@ -12,7 +12,7 @@ from lodestone import schema
 from lodestone.functions import columns
 from lodestone.graph import Graph
 from lodestone.operators import analysis, context, query, summary, tools, traverse
-from lodestone.scratch import numbered, saved, shared_dir, written
+from lodestone.scratch import numbered, passing, saved, shared_dir, written
 from lodestone.sources.adjacency import Adjacency
 from lodestone.sources import adjacency, files, folders, indexer, markdown, registry, sample, store
 
@@ -31,6 +31,7 @@ def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
         at = written(g.nodes, "graph-nodes"), written(g.edges, "graph-edges"), f"{shared_dir(spark)}/graph-steps-{uuid.uuid4().hex}"
         kept = Graph(spark.read.schema(schema.NODES).parquet(at[0]), spark.read.schema(schema.EDGES).parquet(at[1]))
         _STORED[key] = *at, adjacency.build(kept.nodes, kept.edges, at[2])
+        passing(spark, at[2])
     nodes, edges, _, steps = _STORED[key]
     return Graph(spark.read.schema(schema.NODES).parquet(nodes), spark.read.schema(schema.EDGES).parquet(edges), steps)
 
@@ -589,6 +590,7 @@ def json_roundtrip(g):
 def store_roundtrip(g):
     path = f"{shared_dir(g.spark)}/store-{uuid.uuid4().hex}"
     store.save(g, path, 1 << 20)
+    passing(g.spark, path)
     return _rows(store.load(g.spark, path))
 
 
@@ -596,6 +598,7 @@ def store_roundtrip(g):
 def snapshot_roundtrip(g):
     path = f"{shared_dir(g.spark)}/snapshot-{uuid.uuid4().hex}"
     store.snapshot(g, path)
+    passing(g.spark, path)
     back = store.from_snapshot(g.spark, path)
     total = back.nodes.agg(F.round(F.sum(F.get("embedding", F.lit(0))), 4).alias("seq")).withColumn("id", F.lit("sum"))
     rows = _rows(back)
@@ -811,7 +814,9 @@ def _project_files(g: Graph, late: bool) -> DataFrame:
 def _indexed(g: Graph, late: bool) -> tuple[indexer.Project, indexer.Synced, DataFrame]:
     project = indexer.Project(g.spark, f"{shared_dir(g.spark)}/project-{uuid.uuid4().hex}", indexer.EXTRACTORS | {"source": _lines})
     found = saved(_project_files(g, late), "project-files")
-    return project, project.init(found), found
+    first = project.init(found)
+    passing(g.spark, project.path)
+    return project, first, found
 
 
 _PROJECT = r""", s as (select 'src/f' || k || '.ts' as path, k, p from (select (seq - 4000000000000) // 50 as k, seq - 4000000000000 as p from n where type in ('variable', 'type'))),

@@ -29,9 +29,17 @@ def saved(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> str:
-    """The path of a new table in the shared folder that holds ``df``."""
+    """The path of a new table in the shared folder that holds ``df``. It is deleted when the application ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    passing(df.sparkSession, path)
+    return path
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """Mark a folder that is there as one that goes with the application (results may read it until then)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
 
