@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.common import saved
+from lodestone.llm.topk import narrow, wide
 from lodestone.llm.vectors import integer_vectors
 
 BLOCK_ROWS = 16384
@@ -136,7 +137,7 @@ def _met(blocks: DataFrame, chunks: DataFrame, n_blocks: int, copies: int, answe
             for r in range(batch.num_rows):
                 take = lambda name: _get(batch, name)[r].as_py()
                 key, ids = (take("block"), take("copy"), take("dim")), np.frombuffer(take("ids"), dtype=np.int64)
-                x = np.frombuffer(take("v"), dtype=np.int64).reshape(len(ids), -1)
+                x = wide(take("v"), len(ids) * key[2]).reshape(len(ids), -1)
                 labels, uids = np.frombuffer(take("labels"), dtype=np.int64), np.frombuffer(take("uids"), dtype=np.int64)
                 if take("kind") == 0:
                     last, block = key, (ids, labels, Planes(x))
@@ -175,7 +176,7 @@ def mine(
             ids, labels, uids = (t[c].to_numpy() for c in ("id", "label", "uid"))
             order = np.lexsort((labels, *v.T[::-1], ids))
             cols = [pa.array([kind], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32())]
-            cols += [pa.array([x[order].tobytes()], pa.binary()) for x in (ids, labels, uids, v)]
+            cols += [pa.array([x[order].tobytes()], pa.binary()) for x in (ids, labels, uids)] + [pa.array([narrow(v[order])], pa.binary())]
             names = ["kind", "part", "dim", "ids", "labels", "uids", "v"]
             if "positives" in t.column_names:
                 cols.append(pa.array([t["positives"].take(pa.array(order)).to_pylist()], pa.list_(pa.list_(pa.int64()))))
