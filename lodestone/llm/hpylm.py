@@ -84,11 +84,11 @@ def spread(data: bytes, kind: str) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: unsigned integers in the smallest type that holds them, hashes in 8 bytes."""
+    """Arrays as bytes: unsigned integers in the smallest type that holds them, hashes as differences, of which sorted ones have a byte or two less."""
     out = []
     for x in arrays:
         if x.dtype == U:
-            kind, raw = b"hash", x.astype("<u8").tobytes()
+            kind, raw = b"hash", squeezed(np.diff(x.astype("<u8"), prepend=U(0))) if len(x) else b""
         else:
             if x.dtype.kind != "f" and len(x) and x.min() >= 0:
                 x = x.astype(np.min_scalar_type(int(x.max())))
@@ -103,7 +103,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
         kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 12], "little")
         at += 12
         if kind == b"hash":
-            out.append(np.frombuffer(data, dtype="<u8", count=size // 8, offset=at))
+            out.append(np.cumsum(spread(data[at : at + size], "<u8"), dtype=U) if size else np.empty(0, dtype=U))
         elif size:
             out.append(spread(data[at : at + size], kind.decode().strip()))
         else:
