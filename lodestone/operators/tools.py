@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,24 @@ from lodestone.operators import analysis, context, query
 Projects = dict[str, Graph]
 
 
+def text_argument(args: dict, key: str, needed: bool = False) -> str | None:
+    """A text of a request's arguments. One that is needed must be a text that is not empty; others are turned into text."""
+    value = args.get(key)
+    if needed and (not isinstance(value, str) or not value):
+        raise ValueError(f'Invalid or missing parameter: "{key}" must be a non-empty string')
+    return None if value is None else value if isinstance(value, str) else str(value)
+
+
+def number_argument(args: dict, key: str, otherwise: float) -> float:
+    """A number of a request's arguments; texts that are numbers count, what is none (or not finite) gives ``otherwise``."""
+    value = args.get(key)
+    try:
+        number = otherwise if value is None else 0.0 if isinstance(value, str) and not value.strip() else float(value)
+    except (TypeError, ValueError):
+        return otherwise
+    return number if math.isfinite(number) else otherwise
+
+
 def chosen(projects: Projects, project: str | None) -> Projects:
     if project and project not in projects:
         raise ValueError(f"Project not found: {project}")

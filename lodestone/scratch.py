@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Largest number of narrow rows that is broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 100_000
@@ -61,5 +62,6 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     held = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     held = saved(held.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
     counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    earlier = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

@@ -47,6 +47,22 @@ def delete_scope(registry: DataFrame, scope: str, data: bool = False) -> DataFra
     return registry.filter(F.col("scope") != scope)
 
 
+def resolve_store(registry: DataFrame, root: str, scope: str = "default", shared: bool = False) -> str:
+    """The path of a project's store: the one in its folder, else the registered one of its scope, by path or else by the folder's name;
+    where there is neither, the one that its folder would have. With ``shared`` only the registered one, or an error."""
+    spark, root = registry.sparkSession, root.rstrip("/")
+    local = f"{root}/.lodestone/{store.check_scope(scope)}"
+    if not shared and Versions(spark, local).latest() is not None:
+        return local
+    name = root.rsplit("/", 1)[-1]
+    near = registry.filter((F.col("scope") == scope) & F.col("project").isin(root, name)).orderBy(F.col("project") == name).select("path").limit(1).collect()
+    if near:
+        return near[0].path
+    if shared:
+        raise ValueError(f"Project not found in registry: {root}")
+    return local
+
+
 @dataclass
 class Entry:
     """A project of a scope: its store's version, and its graph, which is opened when it is first asked for."""

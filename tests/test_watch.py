@@ -3,9 +3,11 @@
 import os
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.graph import from_rows
+from lodestone.operators import tools
 from lodestone.plans import catalog
 from lodestone.sources import files, indexer, registry, store
 from lodestone.streaming import watch
@@ -94,3 +96,25 @@ def test_corrupt_projects_are_passed_over_and_data_goes(spark, tmp_path):
     left = registry.remove_project(rows, "s", "b", data=True)
     assert not (tmp_path / "b").exists() and [r.project for r in left.collect()] == ["a"]
     assert registry.delete_scope(left, "s", data=True).count() == 0 and not (tmp_path / "a").exists()
+
+
+def test_stores_are_resolved(spark, tmp_path):
+    rows = spark.createDataFrame([("default", "app", "/far/app", 1), ("default", f"{tmp_path}/lib", "/far/lib", 1), ("other", "app", "/other/app", 1)], registry.COLUMNS)
+    assert registry.resolve_store(rows, f"{tmp_path}/app/") == "/far/app" and registry.resolve_store(rows, f"{tmp_path}/app", "other") == "/other/app"
+    assert registry.resolve_store(rows, f"{tmp_path}/lib", shared=True) == "/far/lib"
+    local = f"{tmp_path}/app/.lodestone/default"
+    assert registry.resolve_store(rows, f"{tmp_path}/none") == f"{tmp_path}/none/.lodestone/default"
+    store.save(from_rows(spark, [{"id": "n"}], []), local)
+    assert registry.resolve_store(rows, f"{tmp_path}/app") == local and registry.resolve_store(rows, f"{tmp_path}/app", shared=True) == "/far/app"
+    for bad in ({"shared": True}, {"scope": "Bad"}):
+        with pytest.raises(ValueError):
+            registry.resolve_store(rows, f"{tmp_path}/none", **bad)
+
+
+def test_arguments():
+    args = {"a": "x", "n": "12", "e": "", "f": 3.5, "b": "many", "i": float("inf"), "l": [1]}
+    assert tools.text_argument(args, "a", needed=True) == "x" and tools.text_argument(args, "z") is None and tools.text_argument(args, "f") == "3.5"
+    for key in ("e", "z", "f"):
+        with pytest.raises(ValueError, match=f'"{key}" must be a non-empty string'):
+            tools.text_argument(args, key, needed=True)
+    assert [tools.number_argument(args, k, 7) for k in ("n", "f", "b", "i", "z", "l", "e")] == [12, 3.5, 7, 7, 7, 7, 0]
