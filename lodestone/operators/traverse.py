@@ -28,7 +28,7 @@ def steps(graph: Graph, direction: str = "outbound", edge_types: list[str] | Non
 def level(graph: Graph, moves: list[DataFrame], now: DataFrame, size: int, width: int = 1) -> DataFrame:
     """The steps that leave the frontier ``now`` (``a`` and what goes along), whose ``size`` in rows is known. It is the frontier
     that moves: broadcast if it is small (a row counts ``width`` times), else dealt out to the buckets of the edges."""
-    if size <= FEW:
+    if graph.adjacency is not None and size <= FEW:
         ids = [r.a for r in now.select("a").distinct().collect()]
         moves = [x.filter(F.col("a").isin(ids)) for x in moves]
     side = sized(now, size * width)
