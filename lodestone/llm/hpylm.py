@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens and documents of a part, tokens of a bucket, and tokens that are seated in one go (they bound a task's memory).
-PART_TOKENS, PART_DOCS, BUCKET_TOKENS, SEATED_TOKENS = 2_000_000, 60_000, 2_400_000, 600_000
+PART_TOKENS, PART_DOCS, BUCKET_TOKENS, SEATED_TOKENS = 2_000_000, 60_000, 2_800_000, 600_000
 #: A word of more tokens than this is dealt over several buckets; at most so many words are.
 CLASS_TOKENS, FREQUENT_WORDS = 250_000, 200_000
 #: Discounts and strengths of the root, the parents and the contexts.
