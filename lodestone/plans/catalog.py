@@ -12,7 +12,7 @@ from lodestone import schema
 from lodestone.functions import columns
 from lodestone.graph import Graph
 from lodestone.operators import analysis, context, query, summary, tools, traverse
-from lodestone.scratch import numbered, passing, saved, shared_dir, written
+from lodestone.scratch import numbered, passing, saved, shared_dir, side_by_side, written
 from lodestone.sources.adjacency import Adjacency
 from lodestone.sources import adjacency, files, folders, indexer, markdown, registry, sample, store
 
@@ -28,7 +28,8 @@ def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
     key = spark.sparkContext.applicationId, state
     if key not in _STORED or not all(folders.exists(spark, p) for p in _STORED[key][:3]):
         g = sample.sample_graph(spark, sf_dir)
-        at = written(g.nodes, "graph-nodes"), written(g.edges, "graph-edges"), f"{shared_dir(spark)}/graph-steps-{uuid.uuid4().hex}"
+        at = [f"{shared_dir(spark)}/graph-steps-{uuid.uuid4().hex}"]
+        at = [*side_by_side(spark, lambda: written(g.nodes, "graph-nodes"), lambda: written(g.edges, "graph-edges")), *at]
         kept = Graph(spark.read.schema(schema.NODES).parquet(at[0]), spark.read.schema(schema.EDGES).parquet(at[1]))
         _STORED[key] = *at, adjacency.build(kept.nodes, kept.edges, at[2])
         passing(spark, at[2])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +40,12 @@ def written(df: DataFrame, name: str) -> str:
     return path
 
 
+def side_by_side(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """What independent actions give, run at the same time: one fills the cores that the last tasks of another leave idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 def passing(spark: SparkSession, path: str) -> str:
     """Mark a folder that is there as one that goes with the application (results may read it until then)."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

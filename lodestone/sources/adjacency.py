@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.scratch import saved
+from lodestone.scratch import saved, side_by_side
 from lodestone.sources import folders
 
 COLUMNS = "a string, b string, side int, edge_seq long, edge_type string"
@@ -46,9 +46,13 @@ def build(nodes: DataFrame, edges: DataFrame, path: str, bucket_edges: int = BUC
     known = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     known = saved(known.select("seq", "source", "target", "type"), "edges")
     n = max(FEWEST, -(-known.count() // bucket_edges))
-    for name, rows in zip(("out", "back"), walked(known)):
+
+    def write(name: str, rows: DataFrame) -> None:
         made = rows.repartition(n, "a").sortWithinPartitions("a", "edge_seq").write.format("parquet").bucketBy(n, "a").sortBy("a")
         made.option("path", f"{path}/{name}-{n}").saveAsTable(f"steps_{uuid.uuid4().hex}")
+
+    out, back = walked(known)
+    side_by_side(nodes.sparkSession, lambda: write("out", out), lambda: write("back", back))
     return attach(nodes.sparkSession, path)
 
 

@@ -50,10 +50,11 @@ def named(sql: str) -> str:
 
 
 def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+
     def run(sql: str) -> DataFrame:
         used = set(re.findall(r"\{(\w+)\}", sql))
-        frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-        return spark.sql(sql.replace("'{}'", "'{{}}'").replace('\'{"done":"true"}\'', '\'{{"done":"true"}}\''), **frames)
+        return spark.sql(sql.replace("'{}'", "'{{}}'").replace('\'{"done":"true"}\'', '\'{{"done":"true"}}\''), **{t: frames[t] for t in used})
 
     nodes = run(NODES_FULL)
     return Graph(nodes.withColumn("embedding", nodes["embedding"].cast("array<double>")), run(EDGES_FULL))
