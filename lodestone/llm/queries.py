@@ -43,10 +43,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    placed, _ = sharding.shard(table(spark, sf_dir, "documents"), 40, grown=41)
     return placed.select(
         F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
-        F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version",
+        F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version", "next_shard",
     )
 
 
@@ -147,6 +147,17 @@ select doc_id, n_lines, n_removed, sha256(kept) as kept_sha256 from k""",
 with d as (select doc_id, {_NORM} as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.t) as text_sha256 from d join g using (t)""",
+    "op8_suffix_dedup": """
+with d as materialized (select row_number() over () as rn, doc_id, encode(coalesce(text, '')) as x from documents),
+w as materialized (select rn, i, md5(x[i + 1:i + 200]) as k from (select rn, x, unnest(range(octet_length(x) - 199)) as i from d where octet_length(x) >= 200)),
+r as materialized (select rn, i from w where k in (select k from w group by k having count(*) > 1)),
+e as (select rn, i, coalesce(i > 200 + lag(i) over (partition by rn order by i), true) as first from r),
+s as (select rn, i, sum(first::integer) over (partition by rn order by i) as run from e),
+p as (select rn, run, min(i) as a, max(i) + 200 as b from s group by rn, run),
+g as (select rn, a, b, coalesce(lag(b) over (partition by rn order by a), 0) as last, lead(a) over (partition by rn order by a) is null as final from p),
+k as (select rn, sum(b - a)::bigint as n_removed, count(*) as n_spans,
+  string_agg(hex(x[last + 1:a]) || case when final then hex(x[b + 1:]) else '' end, '' order by a) as kept from g join d using (rn) group by rn)
+select doc_id, octet_length(x) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(coalesce(unhex(kept), x)) as kept_sha256 from d left join k using (rn)""",
     "op9_jaccard_join": r"""
 with recursive d as materialized (select row_number() over () as rn, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as materialized (select distinct rn, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as g

@@ -4,7 +4,12 @@ Every record falls into one of ``n_slots`` virtual slots by a hash of its
 text (in a hot group of equal texts, of its id and text), for good. Bytes are summed per slot, and a versioned map sends
 slots to shards so that the shards' bytes are near equal (the largest slot
 first, to the shard with the fewest bytes). Rebalancing edits that map: it
-moves as few slots as it can and gives the map the next version.
+moves as few slots as it can and gives the map the next version. Versions are
+stored side by side in a folder, each with what every slot was mapped to before.
+
+Whether a group of equal texts is hot is asked only for slots that are: a group
+never has more bytes than its slot, so where no slot is above the bound (as a
+rule) the sums per slot are all that is counted.
 
 Only the sums per slot (``n_slots`` rows, a fixed number) reach the driver,
 and only the map is broadcast. Positions in a shard are the slot's offset plus
@@ -21,12 +26,15 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.llm.common import shared_dir
+
 N_SLOTS = 8192
 OVERHEAD = 16
 #: A group of equal texts with more than one part in so many of all bytes is dealt over the slots.
@@ -42,25 +50,52 @@ class SlotMap:
     shard_of: list[int]
     edits: list[tuple[int, int, int, int]] = field(default_factory=list)
 
-    def to_df(self, spark) -> DataFrame:
-        rows = [(self.version, slot, shard) for slot, shard in enumerate(self.shard_of)]
-        return spark.createDataFrame(rows, "version int, slot int, shard int")
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        """A row a slot; ``before`` is its shard in the version before (null in the first)."""
+        before = dict(enumerate(self.shard_of)) if self.version > 1 else {}
+        before |= {slot: old for version, slot, old, _ in self.edits if version == self.version}
+        rows = [(self.version, self.n_shards, slot, shard, before.get(slot)) for slot, shard in enumerate(self.shard_of)]
+        return spark.createDataFrame(rows, "version int, n_shards int, slot int, shard int, before int")
+
+    @staticmethod
+    def from_df(df: DataFrame) -> SlotMap:
+        """The map of one version, with the edits that led to it."""
+        rows = sorted((r["slot"], r["shard"], r["version"], r["n_shards"], r["before"]) for r in df.collect())
+        if [r[0] for r in rows] != list(range(len(rows))) or len({r[2:4] for r in rows}) != 1:
+            raise ValueError("a map has one row for each slot, of one version")
+        version, n_shards = rows[0][2:4]
+        edits = [(version, slot, old, shard) for slot, shard, _, _, old in rows if old is not None and old != shard]
+        return SlotMap(version, n_shards, [r[1] for r in rows], edits)
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Store this version beside the others in ``folder``; one that is there already is an error."""
+        self.to_df(spark).coalesce(1).write.mode("error").parquet(f"{folder}/version-{self.version}")
 
     @staticmethod
-    def from_df(df: DataFrame, n_shards: int) -> SlotMap:
-        rows = sorted((r["slot"], r["shard"], r["version"]) for r in df.collect())
-        return SlotMap(max([r[2] for r in rows], default=1), n_shards, [r[1] for r in rows])
+    def load(spark: SparkSession, folder: str, version: int) -> SlotMap:
+        return SlotMap.from_df(spark.read.parquet(f"{folder}/version-{version}"))
 
 
 def with_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """id, size, crc, slot of each record: equal texts share a slot, but those of a hot group are dealt by their ids."""
+    return sized_slots(docs, id_col, text_col, n_slots)[0]
+
+
+def sized_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """As ``with_slots``, with the (bytes, rows) of every slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("_text"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    # at most HOT_GROUPS groups have such a share of the bytes
-    hot = [r["_text"] for r in rows.groupBy("_text").agg(F.sum("size").alias("b")).filter(F.col("b") > total / HOT_GROUPS).collect()]
-    own = F.when(F.col("_text").isin(hot), F.xxhash64("id", "_text")) if hot else F.lit(None)
-    return rows.withColumn("vslot", F.pmod(F.coalesce(own, F.xxhash64("_text")), F.lit(n_slots)).cast("int")).drop("_text")
+    slotted = rows.withColumn("vslot", F.pmod("_text", F.lit(n_slots)).cast("int"))
+    sizes = slot_sizes(slotted, n_slots)
+    bound = sum(b for b, _ in sizes) / HOT_GROUPS
+    wide = [slot for slot, (b, _) in enumerate(sizes) if b > bound]
+    # at most HOT_GROUPS slots, and as many groups, have such a share of the bytes
+    hot = [r["_text"] for r in slotted.filter(F.col("vslot").isin(wide)).groupBy("_text").agg(F.sum("size").alias("b")).filter(F.col("b") > bound).collect()] if wide else []
+    if not hot:
+        return slotted.drop("_text"), sizes
+    own = F.when(F.col("_text").isin(hot), F.pmod(F.xxhash64("id", "_text"), F.lit(n_slots)).cast("int"))
+    slotted = slotted.withColumn("vslot", F.coalesce(own, "vslot")).drop("_text")
+    return slotted, slot_sizes(slotted, n_slots)
 
 
 def slot_sizes(slotted: DataFrame, n_slots: int = N_SLOTS) -> list[tuple[int, int]]:
@@ -109,21 +144,30 @@ def rebalance(old: SlotMap, sizes: list[tuple[int, int]], n_shards: int, slack:
     return new
 
 
-def assign(slotted: DataFrame, sizes: list[tuple[int, int]], slot_map: SlotMap) -> DataFrame:
-    """id, size, crc, vslot, shard and the position in the shard (gapless from 0)."""
+def assign(slotted: DataFrame, sizes: list[tuple[int, int]], slot_map: SlotMap, later: SlotMap | None = None) -> DataFrame:
+    """id, size, crc, vslot, shard and the position in the shard (gapless from 0); next_shard by a later version of the map."""
     spark = slotted.sparkSession
     at, rows = [0] * slot_map.n_shards, []
     for slot, shard in enumerate(slot_map.shard_of):
-        rows.append((slot, shard, at[shard], slot_map.version))
+        rows.append((slot, shard, at[shard], slot_map.version, later.shard_of[slot] if later else None))
         at[shard] += sizes[slot][1]
-    known = spark.createDataFrame(rows, "vslot int, shard int, start long, map_version int")
+    known = spark.createDataFrame(rows, "vslot int, shard int, start long, map_version int, next_shard int")
     order = Window.partitionBy("vslot").orderBy("id", "crc", "size")
     numbered = slotted.withColumn("n", F.row_number().over(order) - 1)
     return numbered.join(F.broadcast(known), "vslot").withColumn("position", F.col("start") + F.col("n"))
 
 
-def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> tuple[DataFrame, SlotMap]:
-    slotted = with_slots(docs, id_col, text_col, n_slots)
-    sizes = slot_sizes(slotted, n_slots)
-    slot_map = build_map(sizes, n_shards)
-    return assign(slotted, sizes, slot_map), slot_map
+def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, grown: int | None = None, folder: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Rows with their places, and the map; with ``grown``, also by the map edited for so many shards.
+
+    The versions are stored in ``folder``, or in a new one of the shared folder, and read again from there.
+    """
+    spark = docs.sparkSession
+    slotted, sizes = sized_slots(docs, id_col, text_col, n_slots)
+    folder = folder or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    build_map(sizes, n_shards).save(spark, folder)
+    slot_map, later = SlotMap.load(spark, folder, 1), None
+    if grown:
+        rebalance(slot_map, sizes, grown).save(spark, folder)
+        later = SlotMap.load(spark, folder, 2)
+    return assign(slotted, sizes, slot_map, later), slot_map

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from lodestone.llm import line_dedup, mixing, sharding, topk, toxicity
 
@@ -111,8 +112,35 @@ def test_rebalancing_edits_the_map(spark):
         changed = {slot for slot in range(len(sizes)) if old.shard_of[slot] != new.shard_of[slot]}
         assert {e[1] for e in new.edits} == changed
         assert sum(sizes[s][0] for s in changed) < 0.25 * sum(load.values())
-    kept = sharding.SlotMap.from_df(new.to_df(spark), 7)
-    assert (kept.version, kept.shard_of) == (2, new.shard_of)
+    kept = sharding.SlotMap.from_df(new.to_df(spark))
+    assert (kept.version, kept.n_shards, kept.shard_of, sorted(kept.edits)) == (2, 7, new.shard_of, sorted(new.edits))
+
+
+def test_versions_of_the_map_are_stored(spark, tmp_path):
+    docs, rows = documents(spark)
+    placed, _ = sharding.shard(docs, 8, grown=9, folder=f"{tmp_path}/map")
+    got = placed.collect()
+    first, second = (sharding.SlotMap.load(spark, f"{tmp_path}/map", v) for v in (1, 2))
+    assert (first.n_shards, second.n_shards) == (8, 9) and len(got) == len(rows)
+    assert {(e[1], e[3]) for e in second.edits} == {(i, b) for i, (a, b) in enumerate(zip(first.shard_of, second.shard_of)) if a != b}
+    assert all((r.shard, r.next_shard) == (first.shard_of[r.vslot], second.shard_of[r.vslot]) for r in got)
+    with pytest.raises(Exception, match="(?i)exist"):
+        first.save(spark, f"{tmp_path}/map")
+    with pytest.raises(ValueError):
+        sharding.SlotMap.from_df(first.to_df(spark).filter("slot > 0"))
+
+
+def test_equal_texts_share_a_shard_unless_they_are_many(spark):
+    rows = [(i, "copy " * 20, 1) for i in range(400)] + [(1000 + i, f"text {i // 2} " * 15, 1) for i in range(600)]
+    rows += [(5000, None, 1), (5001, "", 1), (None, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, vslot int")
+    got = sharding.shard(docs, 5)[0].collect()
+    load, shards = Counter(), defaultdict(set)
+    for r in got:
+        load[r.shard] += r.size
+        shards[r.crc].add(r.shard)
+    assert len(got) == len(rows) and max(load.values()) - min(load.values()) < 0.02 * sum(load.values())
+    assert shards.pop(zlib.crc32(("copy " * 20).encode())) == set(range(5)) and all(len(s) == 1 for s in shards.values())
 
 
 def test_top_k_against_all_products(spark):
