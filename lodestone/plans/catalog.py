@@ -353,7 +353,22 @@ def review_totals(g):
     return analysis.review(g, ["nation/3", "nation/5"]).totals()
 
 
-@registered()
+@registered("""
+, t as materialized (select id, row_number() over (order by seq) - 1 as o, greatest(1, coalesce(length(content), 0) // 4 + coalesce(length(signature), 0) // 4) as cost from n where file = 'nation/3' and type <> 'file' qualify o < 20),
+fits as (select id, o, cost, sum(cost) over (order by o) as used from t qualify used <= 400 or o = 0),
+k as materialized (select source as a, target as b, 0 as side, seq, type from e union all select target, source, 1, seq, type from e),
+d1 as materialized (select o, b as id, type, row_number() over (partition by o order by side, seq) as ord from t join k on k.a = t.id where b <> t.id
+  qualify row_number() over (partition by o, b order by side, seq) = 1),
+d2 as materialized (select d1.o, b as id, k.type, row_number() over (partition by d1.o order by ord, side, seq) as ord from d1 join k on k.a = d1.id join t on t.o = d1.o where b <> t.id and (d1.o, b) not in (select (o, id) from d1)
+  qualify row_number() over (partition by d1.o, b order by ord, side, seq) = 1),
+s as (select *, round(0.4 / (1 + depth) + 0.3 * case type when 'contains' then 1.0 when 'calls' then 0.9 when 'imports' then 0.8 when 'extends' then 0.85 when 'implements' then 0.85 when 'references' then 0.7
+  when 'exports' then 0.6 when 'depends_on' then 0.75 when 'documents' then 0.5 else 0.3 end + 0.15, 9) as score from (select 1 as depth, * from d1 union all select 2, * from d2)),
+best as (select id, max(score) as score, min((o, depth, ord)) as first from s where id not in (select id from t) group by id),
+x as materialized (select id, row_number() over (order by score desc, first) as i, case when signature <> '' then greatest(1, length(signature) // 4 + coalesce(length(name), 0) // 4) else greatest(1, coalesce(length(content), 0) // 4) end as cost from best join n using (id)),
+f as (select '' as id, 0 as i, 0 as cost, (select max(used) from fits) as used, false as taken union all
+  select x.id, x.i, x.cost, f.used + case when f.used + x.cost <= 400 then x.cost else 0 end, f.used + x.cost <= 400 from f join x on x.i = f.i + 1 where f.used < 400)
+select id, cast(o as integer) as place, cast(cost as bigint) as tokens, 'target' as role from fits union all
+select id, cast(row_number() over (order by i) - 1 + (select count(*) from fits) as integer), cast(cost as bigint), 'context' from f where taken""")
 def review_context(g):
     return analysis.review(g, ["nation/3"]).context(400)
 
