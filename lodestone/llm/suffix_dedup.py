@@ -22,6 +22,7 @@ Defined results
 - Null and empty texts, and those under 200 bytes, lose nothing.
 - Matches never cross documents; the other start may be in the same document, and may overlap.
 - Rows that repeat are copies: all their bytes go, if there are 200.
+- Null ids are kept as they are: ids take no part in what is removed.
 - An empty table gives an empty result. Extra columns are left out.
 """
 

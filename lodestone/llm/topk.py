@@ -16,7 +16,7 @@ Defined results
 - Scores that could go beyond 64 bits are an error, and so are components beyond 2^63.
 - Vectors that are null, hold null or non-finite components, or are empty take no part.
 - A query meets only rows of its own length, and never the rows with its own id.
-- Ties go to the smaller id. Rows that repeat an id count as rows of their own. Null ids take no part.
+- Ties go to the smaller id. Rows that repeat an id count as rows of their own, but queries of one id share one ranking. Null ids take no part.
 - An empty table gives an empty result. Extra columns are left out.
 """
 
