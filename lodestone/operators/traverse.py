@@ -16,6 +16,8 @@ from lodestone.sources.adjacency import Adjacency, walked
 UNBOUNDED = 1_000_000
 #: Most rows of a frontier whose ids prune the edges that are read, and most tables of visited nodes.
 FEW, MERGED = 64, 8
+#: Rows of a range in which depth-first search orders the edges of its core.
+AT_ONCE = 1 << 18
 
 
 def steps(graph: Graph, direction: str = "outbound", edge_types: list[str] | None = None) -> list[DataFrame]:
@@ -124,33 +126,89 @@ def reach(graph: Graph, ids: list[str] | DataFrame, max_depth: int, direction: s
 def dfs(graph: Graph, start: str, max_depth: int = UNBOUNDED, direction: str = "outbound", edge_types: list[str] | None = None, most: int = 1_000_000) -> DataFrame:
     """``ord``, ``id``, ``depth``, ``parent_id`` in depth-first order, nodes marked when they are taken off the stack.
 
-    Depth-first order is sequential by nature: the ball that breadth-first search finds is walked in one group,
-    and a ball of more than ``most`` edges is an error rather than a silent overload.
+    Depth-first order is sequential by nature, but only where a node decides on others. A node that leads nowhere decides on none, so
+    of a ball of more than ``most`` edges such nodes are set aside by joins, again and again, until the core is no larger; the core is
+    walked in one group, and the others take their places in its order by joins, last ones first. Only a core that has more than
+    ``most`` edges and no such nodes left is an error rather than a silent overload.
+
+    A place is an array of numbers, and arrays in their order are the walk: of a core node its number; of another one the number of core nodes
+    before it, its core parent's depth (deeper ones are done with earlier), and the edges from there.
     """
     ball = bfs(graph, [start], max_depth, direction, edge_types, ordered=False).select("id")
     moves = union(steps(graph, direction, edge_types)).join(ball.withColumnRenamed("id", "a"), "a", "left_semi").join(ball.withColumnRenamed("id", "b"), "b", "left_semi")
-    moves = saved(moves.select("a", "b", "side", "edge_seq"), "dfs")
-    if moves.count() > most:
-        raise ValueError(f"more than {most} edges around {start}")
-    rows = moves.withColumn("group", F.lit(1)).unionByName(seeds_of(graph, [start]).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).alias("side"), F.lit(-1).cast("long").alias("edge_seq"), F.lit(1).alias("group")))
+    # of edges from a node to the same other one the first decides
+    first = moves.filter("a <> b").groupBy("a", "b").agg(F.min(F.struct("side", "edge_seq")).alias("k")).select("a", "b", "k.side", "k.edge_seq")
+    core, size = saved_counted(first, "dfs")
+    aside: list[DataFrame] = []  # edges into the nodes that each round sets aside
+    while size > most:
+        inner = core.select("a").distinct()
+        out, n_out = saved_counted(core.join(inner.withColumnRenamed("a", "b"), "b", "left_anti").filter(F.col("b") != start).select(*core.columns), "dfs-aside")
+        if not n_out:
+            raise ValueError(f"more than {most} edges around {start} lead on")
+        core, size = saved_counted(core.join(inner.withColumnRenamed("a", "b"), "b", "left_semi").select(*core.columns), "dfs") if n_out < size else (core.limit(0), 0)
+        aside.append(out)
+    rows = core.withColumn("group", F.lit(1)).unionByName(seeds_of(graph, [start]).select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).alias("side"), F.lit(-1).cast("long").alias("edge_seq"), F.lit(1).alias("group")))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
+        after: dict[str, list[tuple[str, int, int]]] = {}
         for r in pdf[pdf.b.notna()].sort_values(["side", "edge_seq"]).itertuples():
-            after.setdefault(r.a, []).append(r.b)
-        seen, out = set(), []
-        stack: list[tuple[str, int, str | None]] = [(start, 0, None)]
+            after.setdefault(r.a, []).append((r.b, r.side, r.edge_seq))
+        place: dict[str, int] = {}
+        out = []
+        stack = [(start, 0, None, 0, 0)]
         while stack:
-            node, depth, parent = stack.pop()
-            if node in seen:
+            node, depth, parent, side, edge = stack.pop()
+            if node in place:
                 continue
-            seen.add(node)
-            out.append((len(out), node, depth, parent))
+            place[node] = len(out)
+            out.append((len(out), node, depth, parent, side, edge))
             if depth < max_depth:
-                stack += [(x, depth + 1, node) for x in reversed(after.get(node, [])) if x not in seen]
-        return pd.DataFrame(out, columns=["ord", "id", "depth", "parent_id"])
-
-    return rows.groupBy("group").applyInPandas(walk, "ord long, id string, depth int, parent_id string")
+                stack += [(x, depth + 1, node, s, e) for x, s, e in reversed(after.get(node, [])) if x not in place]
+        found = pd.DataFrame(out, columns=["ord", "id", "depth", "parent_id", "side", "edge"])
+        end = [x[0] + 1 for x in out]  # the number after a node's last descendant
+        for n, _, _, parent, _, _ in reversed(out):
+            if parent is not None:
+                end[place[parent]] = max(end[place[parent]], end[n])
+        found["end"] = end
+        return found
+
+    found = rows.groupBy("group").applyInPandas(walk, "ord long, id string, depth int, parent_id string, side int, edge long, end long")
+    if not aside:
+        return found.select("ord", "id", "depth", "parent_id")
+    found = saved(found, "dfs-core")
+    long_ = lambda *c: F.array(*[F.col(x).cast("long") if isinstance(x, str) else x.cast("long") for x in c])
+    walked_ = found.select("id", "depth", "parent_id", long_("ord", F.lit(1)).alias("place"))
+    # an edge of a core node that is taken after those of some core children: the last of these children ends where it begins
+    hung = union(aside).join(found.filter(F.col("depth") < max_depth).select(F.col("id").alias("a"), "depth", "ord"), "a")
+    hung = hung.select("a", "b", "depth", (F.col("ord") + 1).alias("at"), F.struct(F.col("side"), F.col("edge_seq").alias("edge"), F.lit(1).alias("late")).alias("k"))
+    ends = found.filter("parent_id is not null").select(F.col("parent_id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("int").alias("depth"), F.col("end").alias("at"), F.struct("side", "edge", F.lit(0).alias("late")).alias("k"))
+    hung = _after_siblings(hung, ends)
+    near = saved(hung.select("a", "b", F.col("depth") + 1, long_("at", -F.col("depth"), "k.side", "k.edge").alias("place")).toDF("parent_id", "id", "depth", "place"), "dfs-near")
+    placed: list[DataFrame] = []
+    for edges in reversed(aside):
+        ids = edges.select(F.col("b").alias("id")).distinct()
+        reached = near.join(ids, "id", "left_semi").select("id", "depth", "parent_id", "place")
+        if placed:
+            known = union(placed).filter(F.col("depth") < max_depth).select(F.col("id").alias("a"), "depth", F.col("place").alias("from"))
+            reached = reached.unionByName(edges.join(known, "a").select(F.col("b").alias("id"), (F.col("depth") + 1).alias("depth"), F.col("a").alias("parent_id"), F.concat("from", long_("side", "edge_seq")).alias("place")))
+        best = reached.groupBy("id").agg(F.min(F.struct("place", "depth", "parent_id")).alias("x"))
+        placed.append(saved(best.select("id", "x.depth", "x.parent_id", "x.place"), "dfs-placed"))
+    return numbered(union([walked_, *placed]), "n", "place").select((F.col("n") - 1).alias("ord"), "id", "depth", "parent_id")
+
+
+def _after_siblings(hung: DataFrame, ends: DataFrame) -> DataFrame:
+    """``hung`` with ``at`` raised to the largest ``at`` of the rows of ``ends`` of the same ``a`` that come before it by ``k``. All rows are
+    put in one order and meet in ranges, so that a node with many edges is no single task."""
+    both = numbered(hung.unionByName(ends), "n", "a", "k").withColumn("range", F.floor(F.col("n") / AT_ONCE))
+    before = Window.partitionBy("range").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.when(F.col("b").isNull(), F.struct("n", "a", "at"))
+    both = saved(both.withColumn("last", F.max(last).over(before)), "dfs-ranges")
+    tails = both.groupBy("range").agg(F.max("last").alias("tail"))
+    earlier = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    tails = tails.select("range", F.max("tail").over(earlier).alias("tail"))
+    last = F.coalesce("last", "tail")
+    at = F.when(last["a"] == F.col("a"), F.greatest("at", last["at"])).otherwise(F.col("at"))
+    return both.filter("b is not null").join(tails, "range").select("a", "b", "depth", "k", at.alias("at"))
 
 
 def k_hop(graph: Graph, ids: list[str] | DataFrame, k: int, edge_types: list[str] | None = None, ordered: bool = False) -> DataFrame:
