@@ -6,18 +6,19 @@ and the ids of a very small one prune buckets and row groups.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.scratch import saved, side_by_side
+from lodestone.scratch import saved, saved_counted, side_by_side, sized
 from lodestone.sources import folders
 
 COLUMNS = "a string, b string, side int, edge_seq long, edge_type string"
-#: Edges of a bucket, and the fewest buckets.
-BUCKET_EDGES = 1 << 22
+#: Edges of a bucket (about 150 MB to sort, so that a task need not spill), and the fewest buckets.
+BUCKET_EDGES = 1 << 20
 FEWEST = 8
 
 
@@ -40,28 +41,42 @@ def walked(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, edges.select(ends[1].alias("a"), ends[0].alias("b"), F.lit(1).alias("side"), *rest)
 
 
+def known(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges whose ends are both known. Only the ends' ids move, each once a task; edges move if some ends are unknown, and too many to broadcast."""
+    ends = edges.select(F.explode(F.array("source", "target")).alias("end")).distinct()
+    loose, n = saved_counted(ends.join(nodes.select(F.col("id").alias("end")), "end", "left_anti"), "loose")
+    if not n:
+        return edges
+    out = edges.filter("source is not null and target is not null")
+    for c in ("source", "target"):
+        out = out.join(sized(loose.withColumnRenamed("end", c), n), c, "left_anti")
+    return out.select(*edges.columns)
+
+
 def build(nodes: DataFrame, edges: DataFrame, path: str, bucket_edges: int = BUCKET_EDGES) -> Adjacency:
     """Store the steps under ``path``; edges with an unknown end are left out, once, here."""
-    ids = nodes.select("id")
-    known = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    known = saved(known.select("seq", "source", "target", "type"), "edges")
-    n = max(FEWEST, -(-known.count() // bucket_edges))
+    sound = saved(known(nodes, edges.select("seq", "source", "target", "type")), "edges")
+    side_by_side(nodes.sparkSession, *[functools.partial(store, sound, path, name, bucket_edges) for name in ("out", "back")])
+    return attach(nodes.sparkSession, path)
 
-    def write(name: str, rows: DataFrame) -> None:
-        made = rows.repartition(n, "a").sortWithinPartitions("a", "edge_seq").write.format("parquet").bucketBy(n, "a").sortBy("a")
-        made.option("path", f"{path}/{name}-{n}").saveAsTable(f"steps_{uuid.uuid4().hex}")
 
-    out, back = walked(known)
-    side_by_side(nodes.sparkSession, lambda: write("out", out), lambda: write("back", back))
-    return attach(nodes.sparkSession, path)
+def store(edges: DataFrame, path: str, name: str, bucket_edges: int = BUCKET_EDGES) -> None:
+    """Store the steps of one direction (``out`` or ``back``) of edges that are stored and have known ends."""
+    n = max(FEWEST, -(-edges.count() // bucket_edges))
+    rows = dict(zip(("out", "back"), walked(edges)))[name]
+    # the writer sorts the rows of a task, once
+    made = rows.repartition(n, "a").write.format("parquet").option("compression", "zstd").bucketBy(n, "a").sortBy("a", "edge_seq")
+    made.option("path", f"{path}/{name}-{n}").saveAsTable(f"steps_{uuid.uuid4().hex}")
 
 
 def attach(spark: SparkSession, path: str) -> Adjacency:
     """What ``build`` has stored, as tables of this session's catalog; nothing is read."""
-    found = []
-    for name in ("out", "back"):
-        (folder,) = [x for x in folders.names(spark, path) if x.startswith(f"{name}-")]
-        table = f"steps_{uuid.uuid4().hex}"
-        spark.sql(f"create table {table} ({COLUMNS}) using parquet clustered by (a) sorted by (a) into {folder.split('-')[1]} buckets location '{path}/{folder}'")
-        found.append(spark.table(table))
-    return Adjacency(*found)
+    return Adjacency(*[opened(spark, path, name) for name in ("out", "back")])
+
+
+def opened(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """What ``store`` has stored of one direction."""
+    (folder,) = [x for x in folders.names(spark, path) if x.startswith(f"{name}-")]
+    table = f"steps_{uuid.uuid4().hex}"
+    spark.sql(f"create table {table} ({COLUMNS}) using parquet clustered by (a) sorted by (a, edge_seq) into {folder.split('-')[1]} buckets location '{path}/{folder}'")
+    return spark.table(table)

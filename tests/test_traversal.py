@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.graph import Graph, from_rows
 from lodestone.operators import analysis, context, summary, tools, traverse
+from lodestone.plans import catalog
 from lodestone.sources import adjacency, files
 
 
@@ -217,3 +218,16 @@ def test_depth_first_order_of_a_ball_that_no_group_holds(spark, monkeypatch, see
             traverse.dfs(from_rows(spark, [{"id": "a"}, {"id": "b"}], [{"source": "a", "target": "b"}, {"source": "b", "target": "a"}]), "a", most=0)
     else:
         assert parts == want
+
+
+def test_a_query_makes_only_the_tables_it_reads(spark):
+    sf = "/root/testdata/sf0.001"
+    catalog._STORED.clear()
+    found = catalog.queries()
+    found["similar_threshold"](spark, sf).collect()
+    (held,) = catalog._STORED.values()
+    assert set(held) == {"nodes"}
+    assert found["bfs_in"](spark, sf).count() > 1
+    assert "back" in held and "out" not in held
+    g = catalog.graph_of(spark, sf)
+    assert g.adjacency.back.count() == g.edges.count() == g.adjacency.out.count()
