@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import graph as G
 from lodestone.operators import analysis, context, query, tools, traverse
@@ -178,3 +179,20 @@ def test_entry_files_and_stored_ids(spark):
     assert [r.id for r in analysis.unused(g).collect()] == ["b"]
     twice = G.Graph(g.nodes.unionByName(g.nodes.withColumn("seq", g.nodes["seq"] + 9).withColumn("name", g.nodes["id"])), g.edges)
     assert sorted(r.seq for r in store.sound(twice).nodes.collect()) == [0, 1, 2]
+
+
+def test_rows_move_only_where_an_id_is_there_twice(spark, tmp_path):
+    """Later rows of an id go, null ids count as one, and whole rows of a sound graph stay where they are."""
+    g = G.from_rows(spark, [{"id": x} for x in "abc"], [{"id": "e1", "source": "a", "target": "b"}, {"id": "e2", "source": "b", "target": "c"}])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(store.sound(g).nodes) + plan(store.sound(g).edges)
+    added = g.add_nodes(spark.createDataFrame([(9, "a", "new"), (8, "d", "x"), (7, "d", "y"), (6, None, "n"), (5, None, "m")], "seq long, id string, name string"))
+    assert sorted((r.id or "", r.name) for r in added.nodes.collect()) == [("", "m"), ("a", "a"), ("b", "b"), ("c", "c"), ("d", "y")]
+    assert "Exchange" not in plan(g.add_nodes(spark.createDataFrame([(9, "z")], "seq long, id string")).nodes)
+    bad = g.edges.unionByName(g.edges.filter("id = 'e1'").withColumn("seq", g.edges["seq"] + 9)).unionByName(g.edges.limit(1).withColumn("target", F.lit("nobody")).withColumn("id", F.lit("e3")))
+    bad = bad.unionByName(g.edges.limit(1).withColumn("target", F.lit(None).cast("string")).withColumn("id", F.lit("e4")))
+    store.snapshot(G.Graph(g.nodes, bad), f"file://{tmp_path}/s")
+    back = store.from_snapshot(spark, f"file://{tmp_path}/s")
+    assert sorted((r.id, r.seq) for r in back.edges.collect()) == [("e1", 0), ("e2", 1)] and back.nodes.count() == 3
+    one = spark.read.schema("kind string, json string").json(f"file://{tmp_path}/s").filter("kind = 'node'")
+    assert one.count() == 3 and all("kind=node" in x for x in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
