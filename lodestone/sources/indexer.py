@@ -110,7 +110,9 @@ class Project:
             return Synced(base, 0, 0, 0, 0, 0, none)
 
         changed = state.filter("state <> 'deleted'").select(F.col("key").alias("path"))
-        read = found.join(changed, "path", "left_semi").withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
+        # of a new index all files are new, and their contents stay where they are
+        picked = found.filter("path is not null") if base is None else found.join(changed, "path", "left_semi")
+        read = picked.withColumn("text", F.try_validate_utf8(F.col("content").cast("string")))
         now = int(time.time()) if now is None else now
         nodes, refs, errors = self._extracted(read, now)
         numbers = numbered(state.filter("state = 'new'").select("key"), "file_no", "key")
