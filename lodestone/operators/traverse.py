@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.graph import Graph, of_types
-from lodestone.scratch import numbered, saved, saved_counted, sized
+from lodestone.scratch import dealt, numbered, saved, saved_counted, sized
 from lodestone.sources.adjacency import Adjacency, walked
 
 UNBOUNDED = 1_000_000
@@ -28,11 +28,8 @@ def steps(graph: Graph, direction: str = "outbound", edge_types: list[str] | Non
 
 
 def level(graph: Graph, moves: list[DataFrame], now: DataFrame, size: int, width: int = 1) -> DataFrame:
-    """The steps that leave the frontier ``now`` (``a`` and what goes along), whose ``size`` in rows is known. It is the frontier
+    """The steps (``pruned`` ones) that leave the frontier ``now`` (``a`` and what goes along), whose ``size`` in rows is known. It is the frontier
     that moves: broadcast if it is small (a row counts ``width`` times), else dealt out to the buckets of the edges."""
-    if graph.adjacency is not None and size <= FEW:
-        ids = [r.a for r in now.select("a").distinct().collect()]
-        moves = [x.filter(F.col("a").isin(ids)) for x in moves]
     side = sized(now, size * width)
     out = moves[0].join(side, "a")
     for x in moves[1:]:
@@ -42,6 +39,14 @@ def level(graph: Graph, moves: list[DataFrame], now: DataFrame, size: int, width
     return out
 
 
+def pruned(graph: Graph, moves: list[DataFrame], now: DataFrame, size: int) -> list[DataFrame]:
+    """The steps, or, of stored ones, those alone that leave a very small frontier."""
+    if graph.adjacency is None or size > FEW:
+        return moves
+    ids = [r.a for r in now.select("a").distinct().collect()]
+    return [x.filter(F.col("a").isin(ids)) for x in moves]
+
+
 def seeds_of(graph: Graph, ids: list[str] | DataFrame) -> DataFrame:
     """``seed_ord``, ``id`` of the seeds that exist, in the order given."""
     if isinstance(ids, list):
@@ -65,10 +70,14 @@ def bfs(graph: Graph, ids: list[str] | DataFrame, max_depth: int = UNBOUNDED, di
     depth = 0
     while depth < max_depth and size:
         now = frontier.withColumnRenamed("id", "a").withColumnRenamed("ord", "from_ord").drop("edge_type", "parent_id", "depth")
-        reached = level(graph, moves, now, size, 1 + depth if paths else 1)
+        moves_now = pruned(graph, moves, now, size)
+        reached = level(graph, moves_now, now, size, 1 + depth if paths else 1).withColumnRenamed("b", "id")
+        # a node of many edges has them in one bucket, and they meet all its seeds there: rows are dealt out before they are sorted
+        ends = sized(now.select("a"), size)
+        reached = dealt(reached, union([x.select("a").join(ends, "a") for x in moves_now]).count(), "seed_ord", "id")
         k = F.struct(*(["seed_ord", "from_ord"] if ordered else []), "side", "edge_seq", F.col("a").alias("via"))
         carry = F.struct("a", "edge_type", *(["path", "edge_path"] if paths else []))
-        new = reached.groupBy("seed_ord", F.col("b").alias("id")).agg(F.min_by(carry, k).alias("c"), F.min(k).alias("k"))
+        new = reached.groupBy("seed_ord", "id").agg(F.min_by(carry, k).alias("c"), F.min(k).alias("k"))
         new = new.join(sized(union(visited), sum(n_visited)), ["seed_ord", "id"], "left_anti")
         new = numbered(new, "place", "k") if ordered else new.withColumn("place", F.lit(0))
         cols = ["seed_ord", "id", F.lit(depth + 1).alias("depth"), F.col("place").cast("long").alias("ord"), F.col("c.a").alias("parent_id"), F.col("c.edge_type").alias("edge_type")]
@@ -107,7 +116,8 @@ def reach(graph: Graph, ids: list[str] | DataFrame, max_depth: int, direction: s
     for depth in range(1, max_depth + 1):
         if not size:
             break
-        reached = level(graph, moves, frontier.select(F.col("id").alias("a"), "seed_ord"), size).select(F.col("b").alias("id"), "seed_ord")
+        now = frontier.select(F.col("id").alias("a"), "seed_ord")
+        reached = level(graph, pruned(graph, moves, now, size), now, size).select(F.col("b").alias("id"), "seed_ord")
         if best == 1:
             new = reached.groupBy("id").agg(F.min("seed_ord").alias("seed_ord"))
         else:

@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import scratch
 from lodestone.graph import Graph, from_rows
 from lodestone.operators import analysis, context, summary, tools, traverse
 from lodestone.plans import catalog
@@ -231,3 +232,23 @@ def test_a_query_makes_only_the_tables_it_reads(spark):
     assert "back" in held and "out" not in held
     g = catalog.graph_of(spark, sf)
     assert g.adjacency.back.count() == g.edges.count() == g.adjacency.out.count()
+
+
+def test_the_edges_of_a_hub_are_dealt_out_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 8)
+    dealt, counts = traverse.dealt, []
+
+    def watched(df, rows, *keys):
+        out = dealt(df, rows, *keys)
+        counts.append((rows, out.count(), out.select(F.spark_partition_id()).distinct().count()))
+        return out
+
+    monkeypatch.setattr(traverse, "dealt", watched)
+    leaves = [f"x{i}" for i in range(60)]
+    g = from_rows(spark, [{"id": x} for x in ["a", "b", "hub", *leaves]], [{"source": x, "target": "hub"} for x in ("a", "b")] + [{"source": "hub", "target": x} for x in leaves])
+    for graph in (g, stored(g, tmp_path / "hub")):
+        counts.clear()
+        found = traverse.bfs(graph, ["a", "b"], 2, ordered=True).filter("depth = 2").collect()
+        assert sorted((r.seed_ord, r.ord, r.id) for r in found) == [(s, s * 60 + i + 1, x) for s in (0, 1) for i, x in enumerate(leaves)]
+        rows, there, tasks = counts[1]  # both seeds meet all edges of the hub
+        assert rows == there == 120 and tasks > 8
