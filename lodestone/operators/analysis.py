@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.graph import Graph, of_types
 from lodestone.operators.context import build_context
 from lodestone.operators.traverse import bfs, reach
-from lodestone.scratch import numbered
+from lodestone.scratch import dealt, numbered
 
 # Edge types that carry an impact, edges that count as use, and kinds of symbols.
 IMPACT_EDGES = ["calls", "imports", "depends_on", "references", "extends", "implements"]
@@ -111,7 +111,8 @@ def review(graph: Graph, files: list[str]) -> Review:
 
 def degrees(graph: Graph) -> DataFrame:
     """``id``, ``degree``: edges at each node that is not a file; a self-loop counts twice."""
-    ends = graph.edges.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    ends = dealt(graph.edges.select(F.explode(F.array("source", "target")).alias("id")), graph.nodes.count(), "id")
+    ends = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     return graph.nodes.filter("type <> 'file'").select("id", "seq").join(ends, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 

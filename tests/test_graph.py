@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import graph as G
+from lodestone import scratch
 from lodestone.operators import analysis, context, query, tools, traverse
 from lodestone.scratch import numbered
 from lodestone.sources import files, markdown, registry, store
@@ -196,3 +197,15 @@ def test_rows_move_only_where_an_id_is_there_twice(spark, tmp_path):
     assert sorted((r.id, r.seq) for r in back.edges.collect()) == [("e1", 0), ("e2", 1)] and back.nodes.count() == 3
     one = spark.read.schema("kind string, json string").json(f"file://{tmp_path}/s").filter("kind = 'node'")
     assert one.count() == 3 and all("kind=node" in x for x in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
+
+
+def test_parts_follow_the_rows_that_a_task_keeps(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 8)
+    names = [f"n{i}" for i in range(100)]
+    edges = [{"source": "hub", "target": x, "type": "contains"} for x in names] + [{"source": "n1", "target": x, "type": "contains"} for x in names[:9]] + [{"source": "n3", "target": "n3"}]
+    g = G.from_rows(spark, [{"id": "hub", "type": "file"}, *[{"id": x} for x in names]], edges)
+    dealt, tasks = scratch.dealt, []
+    monkeypatch.setattr(analysis, "dealt", lambda *x: tasks.append(dealt(*x).select(F.spark_partition_id()).distinct().count()) or dealt(*x))
+    assert {r.id: r.degree for r in analysis.degrees(g).collect()} == {x: 1 + (i < 9) + 9 * (i == 1) + 2 * (i == 3) for i, x in enumerate(names)}
+    assert analysis.status(g).first().isolated == 0
+    assert len(tasks) == 2 and min(tasks) > 8
