@@ -148,7 +148,10 @@ def file_children(graph: Graph, file_id: str) -> Graph:
 
 
 def child_counts(graph: Graph) -> DataFrame:
-    rows = graph.nodes.select("id").join(parents(graph), "id", "left")
+    # dealt out before they are sorted for their last rows: a table of edges may hold very many in a file
+    held = graph.edges.filter("type = 'contains'").select("type", "seq", "source", "target")
+    held = dealt(held, graph.nodes.count(), "target")
+    rows = graph.nodes.select("id").join(parents(Graph(graph.nodes, held)), "id", "left")
     return rows.groupBy(F.coalesce("parent", "id").alias("id")).agg(F.count(F.lit(1)).alias("children"))
 
 

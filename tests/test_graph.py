@@ -208,4 +208,6 @@ def test_parts_follow_the_rows_that_a_task_keeps(spark, monkeypatch):
     monkeypatch.setattr(analysis, "dealt", lambda *x: tasks.append(dealt(*x).select(F.spark_partition_id()).distinct().count()) or dealt(*x))
     assert {r.id: r.degree for r in analysis.degrees(g).collect()} == {x: 1 + (i < 9) + 9 * (i == 1) + 2 * (i == 3) for i, x in enumerate(names)}
     assert analysis.status(g).first().isolated == 0
-    assert len(tasks) == 2 and min(tasks) > 8
+    # the last edge decides: the first nine belong to n1
+    assert {r.id: r.children for r in analysis.child_counts(g).collect()} == {"hub": 92, "n1": 9}
+    assert len(tasks) == 3 and min(tasks) > 8
