@@ -211,3 +211,51 @@ def test_parts_follow_the_rows_that_a_task_keeps(spark, monkeypatch):
     # the last edge decides: the first nine belong to n1
     assert {r.id: r.children for r in analysis.child_counts(g).collect()} == {"hub": 92, "n1": 9}
     assert len(tasks) == 3 and min(tasks) > 8
+
+
+def exchanged(plan) -> int:
+    """Rows that the exchanges of a plan have moved, each exchange once."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return exchanged(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return exchanged(plan.plan())
+    if kind == "ReusedExchangeExec":
+        return 0
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(exchanged(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_a_sync_moves_only_edges_that_may_go(spark, monkeypatch, few, words):
+    """Odd rows too: ends that are null or no nodes, an id in two files, ids that go and come back."""
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(scratch, "FILTER_WORDS", words)
+    rng, ids = random.Random(5), [f"n{i}" for i in range(500)]
+    node = lambda i, file: {"id": i, "file": file}
+    old = [node(x, f"f{i % 25}" if i % 9 else None) for i, x in enumerate(ids)]
+    twice = [node(x, "f9") for x in ids[1:60:25]]
+    ends = [*ids, "nobody", None]
+    edges = [{"id": f"e{i}", "source": rng.choice(ends), "target": rng.choice(ends)} for i in range(4000)]
+    new = [node(x, "f1") for x in ids[26:300:25]] + [node("fresh", "f2")]
+    more = [{"id": f"m{i}", "source": rng.choice([n["id"] for n in new]), "target": rng.choice([*ends, "fresh"])} for i in range(300)]
+    g, own = G.from_rows(spark, old, edges), G.from_rows(spark, new, more)
+    g = G.Graph(g.nodes.unionByName(G.from_rows(spark, twice, []).nodes), g.edges)
+    dirty = {"f1", "f2", "gone"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        synced = store.sync(g, own, spark.createDataFrame([(x,) for x in sorted(dirty)], "path string"))
+        found = synced.edges.select("id", "source", "target")
+        rows = [tuple(r) for r in found.collect()]
+        some = spark.createDataFrame([(x,) for x in ids[::7]], "id string")
+        assert sorted(r.id for r in scratch.within(g.edges, "source", some, len(ids[::7])).collect()) == sorted(e["id"] for e in edges if e["source"] in ids[::7])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    gone = {n["id"] for n in old + twice if n["file"] in dirty}
+    there = {n["id"] for n in old + twice if n["file"] not in dirty} | {n["id"] for n in new}
+    kept = [e for e in edges if e["source"] not in gone] + more
+    assert sorted(rows) == sorted((e["id"], e["source"], e["target"]) for e in kept if {e["source"], e["target"]} <= there)
+    assert synced.nodes.count() == sum(n["file"] not in dirty for n in old + twice) + len(new)
+    if few or words > 1:
+        assert exchanged(found._jdf.queryExecution().executedPlan()) < len(edges) / 2
