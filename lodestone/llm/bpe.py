@@ -9,7 +9,8 @@ New words of a batch are encoded together, those of one length in one matrix:
 a row holds the parts of a word (its boundaries are implied by the parts left)
 and beside them the ranks of adjacent parts. A step finds each row's minimum
 rank, leftmost first, deletes that boundary, and refreshes the two neighbouring
-ranks. Known words are kept in a table of bounded size per Python worker.
+ranks. Known words are kept in a table of bounded size per Python worker, which
+goes when the worker turns to other work.
 
 Scale: a map over the documents, nothing is shuffled; the vocabulary is read
 once per worker from the path given to it, or from the broadcast bytes of the
@@ -294,27 +295,28 @@ class WordBpe:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
-_encoders: dict[str, WordBpe] = {}
+class Shared:
+    """The bytes of a tokenizer file, for a broadcast. A worker makes its encoder once and keeps it, with what it remembers,
+    as long as the broadcast: until its first task that does not use it."""
 
+    def __init__(self, data: bytes):
+        self.data = data
 
-def encoder(data: bytes) -> WordBpe:
-    """One encoder per worker and tokenizer."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = WordBpe(data)
-    return _encoders[key]
+    @functools.cached_property
+    def encoder(self) -> WordBpe:
+        return WordBpe(self.data)
 
 
 def _mapped(docs: DataFrame, tokenizer_path: str, text_col: str, fields: list[T.StructField], make) -> DataFrame:
     """Add ``fields`` to every row; ``make`` turns (n, ids, decoded) into their values."""
     with open(tokenizer_path, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = docs.sparkSession.sparkContext.broadcast(Shared(f.read()))
     names = [f.name for f in fields]
     kept = [c for c in docs.columns if c not in names]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(data.value)
+        bpe = shared.value.encoder
         kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.list_(pa.int32()) if isinstance(f.dataType, T.ArrayType) else pa.string() for f in fields]
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):

@@ -65,10 +65,10 @@ def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[first] >> 24, key[first] & (TERMS - 1), np.diff(np.append(first, len(key)))
 
 
-def in_batches(texts: list) -> Iterator[tuple[int, list[bytes]]]:
+def in_batches(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """Numbers of the first texts, and texts ready to be counted, bounded in number and bytes."""
     held, size, at = [], 0, 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(t for k in range(0, len(texts), BATCH) for t in texts.slice(k, BATCH).to_pylist()):
         held.append(plain(t))
         size += len(held[-1])
         if len(held) == BATCH or size > BATCH_BYTES:
@@ -229,7 +229,7 @@ def frequencies(texts: DataFrame) -> DataFrame:
         df, n = np.zeros(TERMS, dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, texts in in_batches(batch.column(0).to_pylist()):
+            for _, texts in in_batches(batch.column(0)):
                 _, term, _ = counted(texts)
                 found, times = np.unique(term, return_counts=True)
                 df[found] += times
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def plain_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # distinct terms and their counts stand for the text, however long it is
-            for at, some in in_batches(batch.column(2).to_pylist()):
+            for at, some in in_batches(batch.column(2)):
                 text, term, n = counted(some)
                 cut = starts_of(text, len(some))
                 got = [np.stack([term[i:j], n[i:j]]).tobytes() for i, j in zip(cut[:-1], cut[1:])]
@@ -278,7 +278,7 @@ def _searched(rows: DataFrame, index: Index, k: int, kind: str, keep: int = EVID
         index = shared.value
         for batch in batches:
             own = batch.column(1).to_pylist()
-            for at, texts in in_batches(batch.column(2).to_pylist()):
+            for at, texts in in_batches(batch.column(2)):
                 votes, shown = [], []
                 for text, (found, cosine) in zip(texts, index.nearest(texts, own[at : at + len(texts)], k)):
                     votes.append(index.vote(found, cosine) if text else None)

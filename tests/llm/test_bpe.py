@@ -71,3 +71,19 @@ def test_long_words_by_the_heap(spark):
     library.no_truncation()
     got = {r.doc_id: r.ids for r in bpe.encode(docs, tokenizer_path()).collect()}
     assert all(got[i] == library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
+
+
+def test_workers_let_go_of_the_encoder(spark):
+    docs = spark.createDataFrame([(i, "some words") for i in range(8)], "doc_id long, text string").repartition(4)
+
+    def living(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for batch in batches:
+            n = sum(type(x).__name__ == "WordBpe" for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows)], names=["n"])
+
+    assert bpe.digests(docs, tokenizer_path()).filter("n_tokens > 0").count() == 8
+    assert [r.n for r in docs.mapInArrow(living, "n long").collect()] == [0] * 8
