@@ -133,7 +133,7 @@ class Index:
         first = np.zeros(n_texts, dtype=np.int64)
         order = np.lexsort((term, n, text))
         first[text[order]] = term[order]
-        place = np.empty(n_texts, dtype=np.int64)
+        place = np.empty(n_texts, dtype=np.int32)
         by_first = np.lexsort((self.ids, np.bincount(text, minlength=n_texts), first))
         place[by_first] = np.arange(n_texts)
         self.ids, self.labels = self.ids[by_first], self.labels[by_first]
@@ -146,6 +146,7 @@ class Index:
         self.list_term, self.list_start = term[begin].astype(np.int32), np.append(begin, len(row))
         self.list_top = np.maximum.reduceat(w, begin) if len(begin) else np.empty(0, dtype=np.float32)
         self.block = starts_of(block[begin], -(-n_texts // self.size))
+        del self.number, self.idf  # made again where texts are searched
 
     def cosines(self, texts: list[bytes], own: list, k: int) -> np.ndarray:
         """Cosines of the texts with all examples; -1 where a bound shows that one is not among the k best."""
@@ -255,15 +256,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for at, some in in_batches(batch.column(2)):
                 text, term, n = counted(some)
                 cut = starts_of(text, len(some))
-                got = [np.stack([term[i:j], n[i:j]]).tobytes() for i, j in zip(cut[:-1], cut[1:])]
+                got = [np.stack([term[i:j], n[i:j]]).astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:])]
                 part = batch.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.binary())], names=["id", "label", "terms"])
 
-    rows = sample.select("id", "label", "text").mapInArrow(plain_texts, "id long, label int, terms binary").toArrow().sort_by("id").to_pylist()
-    index = Index(n_docs, terms, df, np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["label"] for r in rows], dtype=float), block)
-    if rows:
-        stored = [np.frombuffer(r["terms"], dtype=np.int64).reshape(2, -1) for r in rows]
-        index.invert(np.repeat(np.arange(len(rows)), [x.shape[1] for x in stored]), *np.concatenate(stored, axis=1))
+    # the driver keeps each form of the examples only until the next is made
+    rows = sample.select("id", "label", "text").mapInArrow(plain_texts, "id long, label int, terms binary").toArrow().sort_by("id")
+    index = Index(n_docs, terms, df, rows["id"].to_numpy(), rows["label"].to_numpy().astype(float), block)
+    stored = [np.frombuffer(x, dtype=np.int32).reshape(2, -1) for x in rows["terms"].to_pylist()]
+    del rows
+    if stored:
+        text = np.repeat(np.arange(len(stored), dtype=np.int32), [x.shape[1] for x in stored])
+        counts = np.concatenate(stored, axis=1)
+        del stored
+        index.invert(text, *counts)
+        del text, counts
         got = _searched(sample.select(F.struct("id", "label").alias("row"), "id", "text"), index, k, "struct<id:bigint,label:int>").select("row.label", "vote").toArrow()
         index.calibrate(got["vote"].to_numpy(), got["label"].to_numpy())
     return index

@@ -259,3 +259,10 @@ def test_toxicity_without_examples(spark):
     for d, n in ((docs, labels.limit(0)), (docs, labels.withColumn("toxic", labels["toxic"] * 0)), (docs.limit(0), labels)):
         clash = d.withColumns({c: d["text"] for c in ("row", "id", "vote", "evidence", "tox_score")})
         assert {r.tox_score for r in toxicity.score(clash, toxicity.fit(clash, n)).collect()} <= {0.0}
+
+
+def test_the_fitted_index_holds_no_table_of_all_terms_on_the_driver(spark):
+    docs = spark.createDataFrame([(i, "some words" if i % 2 else None) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels)
+    assert len(index.ids) and not hasattr(index, "number") and max(x.nbytes for x in vars(index).values() if hasattr(x, "nbytes")) < 1 << 20
