@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone import scratch
 from lodestone.graph import Graph, of_types
-from lodestone.scratch import dealt, numbered, saved, saved_counted, sized
+from lodestone.scratch import dealt, known_of, marked, numbered, saved, saved_counted, sized, within
 from lodestone.sources.adjacency import Adjacency, walked
 
 UNBOUNDED = 1_000_000
@@ -22,7 +23,7 @@ AT_ONCE = 1 << 18
 
 def steps(graph: Graph, direction: str = "outbound", edge_types: list[str] | None = None) -> list[DataFrame]:
     """``a``, ``b``, ``side``, ``edge_seq``, ``edge_type``: each edge in the direction in which it is walked, a table a direction."""
-    known = graph.adjacency or Adjacency(*walked(graph.edges))
+    known = graph.adjacency or Adjacency(*walked(graph.edges), stored=False)
     kept = F.lit(True) if edge_types is None else F.col("edge_type").isin(edge_types) if edge_types else F.lit(False)
     return [x.filter(kept) for x in known.steps(direction)]
 
@@ -30,18 +31,33 @@ def steps(graph: Graph, direction: str = "outbound", edge_types: list[str] | Non
 def level(graph: Graph, moves: list[DataFrame], now: DataFrame, size: int, width: int = 1) -> DataFrame:
     """The steps (``pruned`` ones) that leave the frontier ``now`` (``a`` and what goes along), whose ``size`` in rows is known. It is the frontier
     that moves: broadcast if it is small (a row counts ``width`` times), else dealt out to the buckets of the edges."""
+    return leaving(graph, moves, now, size, width)[0]
+
+
+def indexed(graph: Graph) -> bool:
+    """Whether steps are stored in buckets."""
+    return graph.adjacency is not None and graph.adjacency.stored
+
+
+def leaving(graph: Graph, moves: list[DataFrame], now: DataFrame, size: int, width: int = 1) -> tuple[DataFrame, int | None]:
+    """``level``, and its number of rows, which is known where edges are walked that are not in buckets: of these only the ones move that leave
+    the frontier (or that a filter of it lets through), and nodes only if they are their ends."""
     side = sized(now, size * width)
-    out = moves[0].join(side, "a")
-    for x in moves[1:]:
-        out = out.unionByName(x.join(side, "a"))
-    if graph.adjacency is None:
-        out = out.join(graph.nodes.select(F.col("id").alias("b")), "b", "left_semi")
-    return out
+    if indexed(graph):
+        return union([x.join(side, "a") for x in moves]), None
+    if size * width > scratch.BROADCAST_ROWS:
+        ids = now.select(F.col("a").alias("id"))
+        moves = [marked(x, "a", ids, size) for x in moves]
+    out, n = saved_counted(union([x.join(side, "a") for x in moves]), "level")
+    ends = graph.nodes.select(F.col("id").alias("b"))
+    if n <= scratch.BROADCAST_ROWS:
+        ends = F.broadcast(ends.join(F.broadcast(out.select("b").distinct()), "b", "left_semi"))
+    return out.join(ends, "b", "left_semi"), n
 
 
 def pruned(graph: Graph, moves: list[DataFrame], now: DataFrame, size: int) -> list[DataFrame]:
     """The steps, or, of stored ones, those alone that leave a very small frontier."""
-    if graph.adjacency is None or size > FEW:
+    if not indexed(graph) or size > FEW:
         return moves
     ids = [r.a for r in now.select("a").distinct().collect()]
     return [x.filter(F.col("a").isin(ids)) for x in moves]
@@ -51,7 +67,8 @@ def seeds_of(graph: Graph, ids: list[str] | DataFrame) -> DataFrame:
     """``seed_ord``, ``id`` of the seeds that exist, in the order given."""
     if isinstance(ids, list):
         ids = graph.spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "seed_ord long, id string")
-    return ids.join(graph.nodes.select("id"), "id", "left_semi").select("seed_ord", "id")
+    ids, n = saved_counted(ids.select("seed_ord", "id"), "seeds")
+    return ids.join(sized(known_of(graph.nodes.select("id"), ids, n).distinct(), n), "id", "left_semi").select("seed_ord", "id")
 
 
 def bfs(graph: Graph, ids: list[str] | DataFrame, max_depth: int = UNBOUNDED, direction: str = "outbound", edge_types: list[str] | None = None, ordered: bool = False, paths: bool = False) -> DataFrame:
@@ -71,10 +88,12 @@ def bfs(graph: Graph, ids: list[str] | DataFrame, max_depth: int = UNBOUNDED, di
     while depth < max_depth and size:
         now = frontier.withColumnRenamed("id", "a").withColumnRenamed("ord", "from_ord").drop("edge_type", "parent_id", "depth")
         moves_now = pruned(graph, moves, now, size)
-        reached = level(graph, moves_now, now, size, 1 + depth if paths else 1).withColumnRenamed("b", "id")
+        reached, n = leaving(graph, moves_now, now, size, 1 + depth if paths else 1)
         # a node of many edges has them in one bucket, and they meet all its seeds there: rows are dealt out before they are sorted
-        ends = sized(now.select("a"), size)
-        reached = dealt(reached, union([x.select("a").join(ends, "a") for x in moves_now]).count(), "seed_ord", "id")
+        if n is None:
+            ends = sized(now.select("a"), size)
+            n = union([x.select("a").join(ends, "a") for x in moves_now]).count()
+        reached = dealt(reached.withColumnRenamed("b", "id"), n, "seed_ord", "id")
         k = F.struct(*(["seed_ord", "from_ord"] if ordered else []), "side", "edge_seq", F.col("a").alias("via"))
         carry = F.struct("a", "edge_type", *(["path", "edge_path"] if paths else []))
         new = reached.groupBy("seed_ord", "id").agg(F.min_by(carry, k).alias("c"), F.min(k).alias("k"))
@@ -234,12 +253,11 @@ def subgraph(graph: Graph, ids: list[str] | DataFrame, max_depth: int = 3, edge_
     """What is within ``max_depth`` of the seeds; node types filter the result, not the walk."""
     seeds = seeds_of(graph, ids).select(F.lit(0).cast("long").alias("seed_ord"), "id").distinct()  # one label for all
     inside = reach(graph, seeds, max_depth, direction, edge_types).select("id")
-    nodes = graph.nodes.join(inside, "id", "left_semi")
+    nodes = known_of(graph.nodes, inside)
     if node_types:
         nodes = nodes.filter(of_types(node_types))
-    kept = nodes.select("id")
-    edges = graph.edges.filter(of_types(edge_types)).join(kept.withColumnRenamed("id", "source"), "source", "left_semi").join(kept.withColumnRenamed("id", "target"), "target", "left_semi")
-    return Graph(nodes, edges.select(*graph.edges.columns))
+    kept = saved_counted(nodes.select("id"), "inside")
+    return Graph(nodes, within(within(graph.edges.filter(of_types(edge_types)), "source", *kept), "target", *kept))
 
 
 def file_structure(graph: Graph, file: str) -> DataFrame:
