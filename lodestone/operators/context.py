@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.graph import Graph
 from lodestone.operators.traverse import bfs
-from lodestone.scratch import numbered, saved
+from lodestone.scratch import known_of, numbered, saved, saved_counted
 
 # How much each edge type counts, and the weights of proximity, edge and meaning.
 PRIORITY = {
@@ -68,8 +68,10 @@ def rank_by_relevance(graph: Graph, ids: list[str], max_depth: int = 3, weights:
     """``id``, ``score``, ``rank`` of what is around the seeds, without them; each node counts by its best seed."""
     found = bfs(graph, ids, max(1, max_depth), "both", ordered=True)
     n = graph.nodes
-    seeds = found.filter("depth = 0").join(n.select("id", F.col("embedding").alias("seed_vector")), "id").select("seed_ord", "seed_vector")
-    rows = found.filter("depth > 0").join(F.broadcast(seeds), "seed_ord").join(n.select("id", "embedding"), "id")
+    first = found.filter("depth = 0")
+    seeds = first.join(known_of(n.select("id", F.col("embedding").alias("seed_vector")), first), "id").select("seed_ord", "seed_vector")
+    near = found.filter("depth > 0")
+    rows = near.join(F.broadcast(seeds), "seed_ord").join(known_of(n.select("id", "embedding"), near), "id")
     rows = rows.withColumn("s", relevance(F.col("depth"), F.col("edge_type"), cosine(F.col("embedding"), F.col("seed_vector")), weights))
     best = rows.groupBy("id").agg(F.max("s").alias("score"), F.min(F.struct("seed_ord", "depth", "ord")).alias("first"))
     best = best.filter(~F.col("id").isin(ids))
@@ -108,7 +110,8 @@ def build_context(graph: Graph, ids: list[str], max_tokens: int = 4000, signatur
     later = n.select("id", "type", cost.alias("cost")).filter(F.col("cost") <= max_tokens - used)
     if not docs:
         later = later.filter("type <> 'doc'")
-    later = saved(rank_by_relevance(graph, ids, depth).join(later, "id").select("id", "rank", "cost"), "context")
+    ranked, n_ranked = saved_counted(rank_by_relevance(graph, ids, depth).select("id", "rank"), "ranked")
+    later = saved(ranked.join(known_of(later, ranked, n_ranked), "id").select("id", "rank", "cost"), "context")
     after = -1
     while used < max_tokens:
         most = min(max_tokens - used, BLOCK)
