@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.graph import Graph
 from lodestone.operators.analysis import Review
-from lodestone.scratch import numbered
+from lodestone.scratch import known_of, numbered, saved
 
 
 def by_file(rows: DataFrame, line: Column, *order: str) -> DataFrame:
@@ -43,7 +43,7 @@ def context_text(graph: Graph, chosen: DataFrame, signatures: bool = True) -> Da
     """``ord`` and ``text``: a piece for each file of what was chosen (id, place, role), in the order of its first row, then one for all
     that has no file. Targets are marked and whole; others too, unless ``signatures`` says that a signature stands for them.
     Pieces in order, a line break between them, are the text for a reader."""
-    rows = chosen.select("id", "place", (F.col("role") == "target").alias("target")).join(graph.nodes.select("id", "type", "name", "content", "signature", "file", "start_line"), "id")
+    rows = chosen.select("id", "place", (F.col("role") == "target").alias("target")).join(known_of(graph.nodes.select("id", "type", "name", "content", "signature", "file", "start_line"), chosen), "id")
     head = F.concat(F.when(F.col("target"), "[TARGET] ").otherwise(""), "type", F.lit(" "), "name", F.when(F.col("file").isNotNull(), F.concat(F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit("0")))).otherwise(""))
     signed = F.when(F.col("signature") != "", F.concat(F.lit("  signature: "), "signature"))
     body = F.when((F.col("target") | F.lit(not signatures)) & (F.col("content") != ""), F.col("content"))
@@ -75,11 +75,13 @@ def review_summary(result: Review, most: int = 50) -> tuple[DataFrame, DataFrame
     nodes = result.graph.nodes.select("id", "signature", "start_line")
     at = F.when(F.coalesce("start_line", F.lit(0)) != 0, F.concat(F.lit(":"), "start_line")).otherwise("")
     sign = F.when(F.col("signature") != "", F.concat(F.lit(" — "), "signature")).otherwise("")
-    changed = by_file(result.changed.join(nodes, "id"), F.concat(F.lit("  "), "type", F.lit(" "), "name", at, sign), "change_ord")
+    changed = by_file(result.changed.join(known_of(nodes, result.changed), "id"), F.concat(F.lit("  "), "type", F.lit(" "), "name", at, sign), "change_ord")
     changed = changed.withColumn("text", F.regexp_replace("text", r"^  ([^\n]*):\n", "### $1\n"))
     text = F.format_string("%d symbols affected across %d files (max depth: %d)", "total", "files", "max_depth")
     head = result.totals().select(F.when(F.col("total") > 0, text).otherwise("No downstream impact detected.").alias("text"))
     names = result.graph.nodes.select("id", "name", "type", "file")
-    via = names.select(F.col("id").alias("via"), F.col("name").alias("via_name"))
-    rows = result.top(most).join(names, "id").join(via, "via")
+    top = saved(result.top(most), "top")
+    by = top.select(F.col("via").alias("id"))
+    via = known_of(names, by).select(F.col("id").alias("via"), F.col("name").alias("via_name"))
+    rows = top.join(known_of(names, top), "id").join(via, "via")
     return changed, head, by_file(rows, F.format_string("    %s [%s] — distance: %d, via: %s", "name", "type", "distance", "via_name"), "rank")
