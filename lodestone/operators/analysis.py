@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.graph import Graph, of_types
 from lodestone.operators.context import build_context
 from lodestone.operators.traverse import bfs, reach
-from lodestone.scratch import dealt, numbered
+from lodestone.scratch import dealt, known_of, numbered, saved_counted
 
+#: Ids (some 10 MB of them) that a task counts before they move.
+COUNTED = 1 << 19
 # Edge types that carry an impact, edges that count as use, and kinds of symbols.
 IMPACT_EDGES = ["calls", "imports", "depends_on", "references", "extends", "implements"]
 USES = ["calls", "imports", "references"]
@@ -49,7 +54,8 @@ def impact_of(graph: Graph, id_: str, **options) -> DataFrame:
 
 def impact_stats(graph: Graph, found: DataFrame) -> DataFrame:
     """One row: total, files, max_depth."""
-    rows = found.join(graph.nodes.select("id", "file"), "id")
+    found, n = saved_counted(found.select("id", "distance"), "impact")
+    rows = found.join(known_of(graph.nodes.select("id", "file"), found, n), "id")
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("file").alias("files"), F.coalesce(F.max("distance"), F.lit(0)).alias("max_depth"))
 
 
@@ -111,8 +117,22 @@ def review(graph: Graph, files: list[str]) -> Review:
 
 def degrees(graph: Graph) -> DataFrame:
     """``id``, ``degree``: edges at each node that is not a file; a self-loop counts twice."""
-    ends = dealt(graph.edges.select(F.explode(F.array("source", "target")).alias("id")), graph.nodes.count(), "id")
-    ends = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    most = COUNTED
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often an id occurs in each run of ``most`` rows. A task keeps one run, however many rows it reads."""
+        held, n = [], 0
+        for b in itertools.chain(batches, [None]):
+            if held and (b is None or n + b.num_rows > most):
+                found = pa.Table.from_batches(held).group_by("id").aggregate([([], "count_all")])
+                yield from pa.table({"id": found["id"], "n": found["count_all"]}).to_batches()
+                held, n = [], 0
+            if b is not None:
+                held.append(b)
+                n += b.num_rows
+
+    ends = graph.edges.select(F.explode(F.array("source", "target")).alias("id")).mapInArrow(counted, "id string, n long")
+    ends = dealt(ends, graph.nodes.count(), "id").groupBy("id").agg(F.sum("n").alias("degree"))
     return graph.nodes.filter("type <> 'file'").select("id", "seq").join(ends, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 

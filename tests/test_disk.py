@@ -75,6 +75,17 @@ def test_plain_edges_of_a_large_frontier_and_of_unknown_ends(spark, monkeypatch)
     assert sorted((r.source, r.target) for r in found.edges.collect()) == sorted((e["source"], e["target"]) for e in edges if {e["source"], e["target"]} <= inside)
 
 
+def test_ends_are_counted_in_runs_before_they_move(spark, monkeypatch):
+    edges = [{"source": f"n{i % 5}", "target": f"n{i % 7}"} for i in range(2000)]
+    g = from_rows(spark, [{"id": f"n{i}"} for i in range(7)], edges)
+    want = {f"n{k}": sum((e["source"] == f"n{k}") + (e["target"] == f"n{k}") for e in edges) for k in range(7)}
+    for most in (1 << 19, 1):  # a run holds a batch at least
+        monkeypatch.setattr(analysis, "COUNTED", most)
+        found = analysis.degrees(g).select("id", "degree")
+        assert {r.id: r.degree for r in found.collect()} == want
+        assert exchanged(found._jdf.queryExecution().executedPlan()) < len(edges) / 2
+
+
 def test_what_is_written_frees_its_shuffles(spark, tmp_path):
     before, seen = spark.conf.get(scratch.CLEANUP), []
     with scratch.freeing(spark):
