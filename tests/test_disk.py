@@ -86,6 +86,18 @@ def test_ends_are_counted_in_runs_before_they_move(spark, monkeypatch):
         assert exchanged(found._jdf.queryExecution().executedPlan()) < len(edges) / 2
 
 
+def test_bins_move_nodes_few_times(spark):
+    n = 300
+    g = from_rows(spark, [{"id": f"n{i}", "file": f"a/f{i % 3}"} for i in range(n)], [])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = store.bins(g, 5_000)
+        assert found.count() == len(found.collect()) == n
+        assert exchanged(found._jdf.queryExecution().executedPlan()) <= 4 * n + 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_what_is_written_frees_its_shuffles(spark, tmp_path):
     before, seen = spark.conf.get(scratch.CLEANUP), []
     with scratch.freeing(spark):
